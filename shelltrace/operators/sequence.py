@@ -22,7 +22,7 @@ GAP_SECONDS = 5 * 60
 MIN_COMMANDS = 3
 
 
-def content_key(events: DataFrame) -> Column:
+def content_key() -> Column:
     """Digest of command and processed output, to compare rows narrowly."""
     return F.unhex(
         F.sha2(
