@@ -32,9 +32,7 @@ def fields(text: Column) -> Column:
 
 def first_field(text: Column) -> Column:
     """First white-space separated field, or the empty string."""
-    spaced = F.translate(
-        trim_space(text), F.lit(WHITESPACE), F.lit(" " * len(WHITESPACE))
-    )
+    spaced = F.translate(trim_space(text), WHITESPACE, " " * len(WHITESPACE))
     return F.substring_index(spaced, " ", 1)
 
 
@@ -70,7 +68,7 @@ def parse_int(text: Column) -> Column:
 
 def decode_base64(text: Column) -> Column:
     """Standard padded base64 to text; NULL when malformed."""
-    bare = F.translate(text, F.lit("\r\n"), F.lit(""))
+    bare = F.translate(text, "\r\n", "")
     well_formed = bare.rlike(r"^[A-Za-z0-9+/]*={0,2}\z") & (
         F.length(bare) % 4 == 0
     )
@@ -82,7 +80,7 @@ def decode_base64(text: Column) -> Column:
 def parse_time(text: Column) -> Column:
     """RFC 3339 time with optional fraction; year 1 when malformed."""
     return F.coalesce(
-        F.when(text.rlike(_RFC3339), F.translate(text, F.lit(","), F.lit(".")))
+        F.when(text.rlike(_RFC3339), F.translate(text, ",", "."))
         .try_cast("timestamp"),
         F.lit(_ZERO_TIME).cast("timestamp"),
     )

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,12 +34,14 @@ class Before:
     """A value carried into a slice from the other slices of its session.
 
     ``how``: ``sum`` of the preceding slices, ``last`` non-null value of the
-    preceding slices, ``next`` non-null value of the following slices, or
-    ``total`` / ``max`` over all slices of the session.
+    preceding slices, ``next`` non-null value of the following slices,
+    ``total`` / ``max`` over all slices of the session, or ``suffix``: the last
+    ``length`` characters of the preceding slices' non-empty texts.
     """
 
     value: Column
     how: str
+    length: int = 0
 
 
 @dataclass(frozen=True)
@@ -97,16 +98,23 @@ class LogOrder:
         earlier = slices.rowsBetween(W.unboundedPreceding, -1)
         later = slices.rowsBetween(1, W.unboundedFollowing)
         all_slices = W.partitionBy(*self.keys)
-        over = {
-            "sum": lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)),
-            "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
-            "next": lambda c: F.first(c, ignorenulls=True).over(later),
-            "total": lambda c: F.sum(c).over(all_slices),
-            "max": lambda c: F.max(c).over(all_slices),
-        }
+
+        def across(name: str, v: Before) -> Column:
+            c = F.col(name)
+            if v.how == "sum":
+                return F.coalesce(F.sum(c).over(earlier), F.lit(0))
+            if v.how == "last":
+                return F.last(c, ignorenulls=True).over(earlier)
+            if v.how == "next":
+                return F.first(c, ignorenulls=True).over(later)
+            if v.how == "suffix":
+                # Each of the preceding texts adds at least one character.
+                return suffix_before(c, slices, v.length)
+            return {"total": F.sum, "max": F.max}[v.how](c).over(all_slices)
+
         carried = summary.select(
             *self.group,
-            *[over[v.how](F.col(name)).alias(name) for name, v in values.items()],
+            *[across(name, v).alias(name) for name, v in values.items()],
         )
         return df.join(carried, self.group)
 
@@ -124,6 +132,8 @@ class LogOrder:
         for name, v in values.items():
             if v.how == "sum":
                 columns[name] = F.lit(0).cast("long")
+            elif v.how == "suffix":
+                columns[name] = F.lit("")
             elif v.how in ("last", "next"):
                 columns[name] = F.lit(None).cast(types[name].dataType)
             else:
@@ -131,6 +141,12 @@ class LogOrder:
         return df.withColumns(columns)
 
 
+def suffix_before(text: Column, window, length: int) -> Column:
+    """Last ``length`` characters of the preceding non-empty texts."""
+    earlier = [F.lag(text, n).over(window) for n in range(length, 0, -1)]
+    return F.right(F.concat_ws("", *earlier), F.lit(length))
+
+
 def choose_order(
     df: DataFrame,
     keys: tuple[str, ...] = ("session_id",),
@@ -225,11 +241,25 @@ def fold_ends_udf(step, n_states: int):
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def _walk_slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for groups in batches:
         out = []
         for ends in groups:
-            state, states = 0, [0]
+            composed = np.asarray(ends[0], dtype=np.int32)
+            for end in ends[1:]:
+                composed = np.asarray(end, dtype=np.int32)[composed]
+            out.append(composed)
+        yield pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _walk(
+    batches: Iterator[tuple[pd.Series, pd.Series]],
+) -> Iterator[pd.Series]:
+    for groups, starts in batches:
+        out = []
+        for ends, state in zip(groups, starts):
+            states = [state]
             for end in ends:
                 state = int(end[state])
                 states.append(state)
@@ -237,31 +267,54 @@ def _walk_slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
+SLICES_PER_SPAN = 1024
+
+
 def start_states(
     slices: DataFrame, keys: tuple[str, ...], slice_col: str, ends: str
 ) -> DataFrame:
     """State at the start of each slice: ``(keys, slice, state, end_state)``.
 
     ``ends`` holds a slice's end state per start state; ``end_state`` is the
-    state after the group's last slice. One row per slice enters a group.
+    state after the group's last slice. Slices are first composed in spans of
+    1024, so a group meets one row per span.
     """
+    listed = F.sort_array(F.collect_list(F.struct(slice_col, ends))).alias("_s")
+    spans = slices.withColumn(
+        "_span", F.floor(F.col(slice_col) / SLICES_PER_SPAN)
+    )
+    spans = spans.groupBy(*keys, "_span").agg(listed)
+    composed = spans.select(*keys, "_span", _compose(F.col(f"_s.{ends}")).alias("_e"))
     walked = (
-        slices.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(slice_col, ends))).alias("_s"))
-        .withColumn("_states", _walk_slices(F.col(f"_s.{ends}")))
+        composed.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("_span", "_e"))).alias("_p"))
+        .withColumn("_states", _walk(F.col("_p._e"), F.lit(0)))
+        .select(
+            *keys,
+            F.element_at("_states", -1).alias("end_state"),
+            F.posexplode("_p._span").alias("_i", "_span"),
+            "_states",
+        )
+        .select(
+            *keys,
+            "_span",
+            F.get("_states", F.col("_i")).alias("_start"),
+            "end_state",
+        )
     )
-    return walked.select(
-        *keys,
-        F.element_at("_states", -1).alias("end_state"),
-        F.posexplode(f"_s.{slice_col}").alias("_i", slice_col),
-        "_states",
-    ).select(
-        *keys,
-        slice_col,
-        F.get("_states", F.col("_i")).alias("state"),
-        "end_state",
+    return (
+        spans.join(walked, [*keys, "_span"])
+        .withColumn("_states", _walk(F.col(f"_s.{ends}"), F.col("_start")))
+        .select(
+            *keys,
+            "end_state",
+            F.posexplode(f"_s.{slice_col}").alias("_i", slice_col),
+            "_states",
+        )
+        .select(
+            *keys,
+            slice_col,
+            F.get("_states", F.col("_i")).alias("state"),
+            "end_state",
+        )
     )
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

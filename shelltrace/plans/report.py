@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelltrace.operators import render, templates
 from shelltrace.operators.clean import clean_events
 from shelltrace.operators.detect import detect_sessions
+from shelltrace.operators.joins import join_by_session
 from shelltrace.operators.ordered import Before, LogOrder, assemble, choose_order
 from shelltrace.operators.preprocess import process_events
 from shelltrace.operators.sequence import (
@@ -227,7 +228,7 @@ def _direct_prompts(events, session_plan, context, order, max_part_bytes):
             "session_id", occurrences[F.col("template")].alias("_lists")
         ).where("_lists > 0")
         lines = (
-            lines.join(per_session, "session_id")
+            join_by_session(lines, per_session, spread="_at")
             .withColumn(
                 "_list", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1))
             )

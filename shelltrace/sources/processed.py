@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from shelltrace import schema as S
 from shelltrace.operators.clean import clean_events
+from shelltrace.operators.joins import join_by_session
 from shelltrace.operators.preprocess import to_cached
-from shelltrace.session import broadcast_if_bounded, write_through
+from shelltrace.session import write_through
 
 SESSION_BUCKETS = 256
 BUCKET = "session_bucket"
@@ -60,9 +61,9 @@ def rebuild_processed(events: DataFrame, path: str) -> None:
     rebuilt = events.select("session_id").distinct()
     buckets = _buckets_of(rebuilt)
     stored = read_processed(spark, path)
-    kept = stored.join(broadcast_if_bounded(buckets), BUCKET, "left_semi").join(
-        broadcast_if_bounded(rebuilt), "session_id", "left_anti"
-    )
+    # At most SESSION_BUCKETS rows.
+    kept = stored.join(F.broadcast(buckets), BUCKET, "left_semi")
+    kept = join_by_session(kept, rebuilt, "left_anti")
     merged = write_through(
         kept.select(*TABLE.fieldNames()).unionByName(fresh), "rebuild"
     )
@@ -108,10 +109,10 @@ def usable_processed(cached: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Stored rows where fresh, rows processed now elsewhere."""
     raw_counts = cleaned.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_raw"))
     stale = staleness(raw_counts, cached).where("is_stale").select("session_id")
-    stale = broadcast_if_bounded(write_through(stale, "stale"))
+    stale = write_through(stale, "stale")
     columns = [c for c in TABLE.fieldNames() if c not in (BUCKET, "cache_version")]
-    reused = cached.join(stale, "session_id", "left_anti").select(*columns)
     # Sessions without stored rows are stale, so every raw row has one source.
-    redone = to_cached(cleaned.join(stale, "session_id", "left_semi")).select(*columns)
-    known = broadcast_if_bounded(raw_counts.select("session_id"))
-    return reused.join(known, "session_id", "left_semi").unionByName(redone)
+    redone = to_cached(join_by_session(cleaned, stale, "left_semi")).select(*columns)
+    reused = join_by_session(cached, stale, "left_anti").select(*columns)
+    known = raw_counts.select("session_id")
+    return join_by_session(reused, known, "left_semi").unionByName(redone)
