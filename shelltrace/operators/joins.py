@@ -25,6 +25,8 @@ def join_by_session(
     shuffles, and each session above ``rows_per_task`` rows is split into that
     many shares, its single session row being copied to every share.
     """
+    if rows.isStreaming:
+        return rows.join(broadcast_if_bounded(sessions, max_broadcast_rows), "session_id", how)
     if sessions.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         return rows.join(F.broadcast(sessions), "session_id", how)
     large = (

@@ -166,6 +166,7 @@ def count_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-empty lines per log directory, malformed ones included:
     ``(session_id, n_lines)``, the session being the file's folder."""
     folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    folder = F.regexp_replace(folder, "^session_id=", "")
     lines = _read_lines(spark, paths, [folder.alias("session_id")])
     if lines is None:
         return spark.createDataFrame([], "session_id string, n_lines long")

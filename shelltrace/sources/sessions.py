@@ -10,8 +10,10 @@ from shelltrace import schema as S
 from shelltrace.functions import text as X
 
 
-def read_sessions(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
-    """Metadata documents below ``path`` (a file, folder or pattern)."""
+def read_session_documents(
+    spark: SparkSession, path: str, missing_ok: bool = True
+) -> DataFrame:
+    """Metadata files of one JSON document each, below ``path`` (a pattern)."""
     try:
         meta = (
             spark.read.option("multiLine", True)
@@ -26,6 +28,16 @@ def read_sessions(spark: SparkSession, path: str, missing_ok: bool = True) -> Da
     return meta.fillna("")
 
 
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The sessions table; a missing one has no rows."""
+    try:
+        return spark.read.schema(S.META).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], S.META)
+        raise
+
+
 def new_sessions(
     requests: DataFrame, now=None, version: str = S.META_VERSION
 ) -> DataFrame:
@@ -40,7 +52,7 @@ def new_sessions(
 
 
 def append_sessions(sessions: DataFrame, path: str) -> None:
-    sessions.select(*S.META.fieldNames()).write.mode("append").json(path)
+    sessions.select(*S.META.fieldNames()).write.mode("append").parquet(path)
 
 
 def resolve_session(sessions: DataFrame, session_id: str | None = None) -> DataFrame:

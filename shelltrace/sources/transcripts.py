@@ -278,6 +278,15 @@ def read_transcripts(
     return _events(commands.where(F.col("body").startswith("E;")))
 
 
+def decode_commands(commands: DataFrame) -> DataFrame:
+    """Events of commands whose ``output`` and ``body`` are bytes."""
+    return _events(
+        commands.withColumns(
+            {c: F.decode(F.col(c), _BYTES) for c in ("output", "body")}
+        )
+    )
+
+
 def _events(commands: DataFrame) -> DataFrame:
     parts = F.split(F.substring("body", F.lit(3), F.length("body")), ";", 4)
     fraction = r"\.?0+\z"
@@ -301,7 +310,7 @@ def _events(commands: DataFrame) -> DataFrame:
             F.lit("").alias("stderr"),
             X.parse_int(F.col("_p")[0]).alias("exit_code"),
             X.parse_int(F.col("_p")[1]).alias("duration_ms"),
-            F.col("command").alias("seq"),
+            F.col("command").cast("long").alias("seq"),
             "ts",
         )
     )
