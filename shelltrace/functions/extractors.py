@@ -2,12 +2,15 @@
 
 An extractor maps a column of cleaned output to a column of findings. Custom
 extractors are ``Column -> Column`` functions, built-in or a pandas UDF.
+
+The built-in ones pick whole lines with one regex pass over the output, rather
+than splitting it and testing line by line.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,76 +20,102 @@ from shelltrace.functions import text as X
 
 Extractor = Callable[[Column], Column]
 
+# White space and blanks inside a line.
+_SPACE = "[" + X.WHITESPACE.replace("\n", "") + "]"
+_WORD = "[^" + X.WHITESPACE + "]"
+_BLANK = r"[\t\f\r ]"
+_REST = r"[^\n]*"
+
+
+def _any(literals: tuple[str, ...]) -> str:
+    return "|".join(re.escape(text) for text in literals)
+
+
+def _lines_like(stdout: Column, pattern: str) -> Column:
+    """Whole lines whose beginning matches ``pattern``."""
+    return F.regexp_extract_all(
+        stdout, F.lit(f"(?dm)^(?:{pattern}){_REST}"), F.lit(0)
+    )
+
 
-def _starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.startswith(p) for p in prefixes])
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _joined_or(kept: Column, placeholder: str) -> Column:
-    return F.transform(
-        F.array(kept),
+    return _bind(
+        kept,
         lambda ls: F.when(F.size(ls) == 0, F.lit(placeholder)).otherwise(
             X.unlines(ls)
         ),
-    )[0]
+    )
 
 
-def nmap(stdout: Column) -> Column:
-    """Open ports, hosts, operating systems, script output."""
+# A trailing blank is trimmed before a line is tested, so a blank that has to
+# follow is one with a word after it.
+_BLANK_WITHIN = f"{_BLANK}{_SPACE}*{_WORD}"
+_CODES = f"(?:{_any(P.STATUS_CODES)})"
+_STATUS = f"{_REST}{P.STATUS_LABEL}{_BLANK}*{_CODES}"
+
+_NMAP = (
+    f"{_SPACE}*(?:"
+    + P.NMAP_LINE[0].replace(r"open\s", "open" + _BLANK_WITHIN).replace(r"\s", _BLANK)
+    + "|"
+    + _any(P.NMAP_LINE[1:])
+    + ")"
+)
+_GOBUSTER = f"{_STATUS}|{_SPACE}*{_CODES}{_BLANK_WITHIN}"
+_NIKTO = f"{_SPACE}*{re.escape(P.NIKTO_LINE)}"
+_LINPEAS = f"{_REST}(?:{P.LINPEAS_HEADER}|(?iu:{P.LINPEAS_FINDING}))"
+# Two words or more, the last of them not in brackets.
+_KERNEL_THREAD = rf"{_REST}{_SPACE}\[{_WORD}*\]{_SPACE}*$"
+_PROCESS = f"(?!{_KERNEL_THREAD}){_SPACE}*{_WORD}+{_SPACE}+{_WORD}"
 
-    def keep(line: Column) -> Column:
-        t = X.trim_space(line)
-        return _starts_with_any(t, P.NMAP_STARTS) | t.rlike(P.NMAP_PORT)
 
-    return _joined_or(F.filter(X.lines(stdout), keep), P.NO_PORTS)
+def nmap(stdout: Column) -> Column:
+    """Open ports, hosts, operating systems, script output."""
+    return _joined_or(_lines_like(stdout, _NMAP), P.NO_PORTS)
 
 
 def gobuster(stdout: Column) -> Column:
     """Paths found with an interesting status."""
-
-    def keep(line: Column) -> Column:
-        t = X.trim_space(line)
-        return t.rlike(P.STATUS) | t.rlike(P.LEADING_STATUS)
-
-    return _joined_or(F.filter(X.lines(stdout), keep), P.NO_STATUS)
+    return _joined_or(_lines_like(stdout, _GOBUSTER), P.NO_STATUS)
 
 
 def ffuf(stdout: Column) -> Column:
     """Trimmed result lines with an interesting status."""
-    kept = F.filter(X.lines(stdout), lambda line: line.rlike(P.STATUS))
+    kept = _lines_like(stdout, _STATUS)
     return _joined_or(F.transform(kept, X.trim_space), P.NO_STATUS)
 
 
 def nikto(stdout: Column) -> Column:
     """Trimmed finding lines."""
-    trimmed = F.transform(X.lines(stdout), X.trim_space)
-    return _joined_or(F.filter(trimmed, lambda t: t.startswith("+")), P.NO_FINDINGS)
+    kept = _lines_like(stdout, _NIKTO)
+    return _joined_or(F.transform(kept, X.trim_space), P.NO_FINDINGS)
 
 
 def ps(stdout: Column) -> Column:
     """Header and user-space processes."""
-
-    def keep(line: Column, i: Column) -> Column:
-        words = X.fields(line)
-        program = F.element_at(words, -1)
-        kernel = program.startswith("[") & program.endswith("]")
-        return (X.trim_space(line) != "") & (
-            (i == 0) | ((F.size(words) >= 2) & ~kernel)
-        )
-
-    return F.transform(
-        F.array(F.filter(X.lines(stdout), keep)),
-        lambda kept: F.when(F.size(kept) <= 1, F.lit(P.NO_PROCESSES)).otherwise(
-            X.unlines(kept)
+    header = F.substring_index(stdout, "\n", 1)
+    rest = F.substring(stdout, F.length(header) + 2, F.length(stdout))
+    kept = F.concat(
+        F.when(X.trim_space(header) == "", F.array().cast("array<string>")).otherwise(
+            F.array(header)
         ),
-    )[0]
+        _lines_like(rest, _PROCESS),
+    )
+    return _bind(
+        kept,
+        lambda ls: F.when(F.size(ls) <= 1, F.lit(P.NO_PROCESSES)).otherwise(
+            X.unlines(ls)
+        ),
+    )
 
 
 def git(stdout: Column) -> Column:
     """File and hunk headers of a diff; other output unchanged."""
-    kept = F.filter(
-        X.lines(stdout), lambda line: _starts_with_any(line, P.GIT_STARTS)
-    )
+    kept = _lines_like(stdout, _any(P.GIT_LINE))
     return F.when(
         F.contains(stdout, F.lit(P.GIT_DIFF)), _joined_or(kept, P.NO_DIFF)
     ).otherwise(stdout)
@@ -95,10 +124,7 @@ def git(stdout: Column) -> Column:
 def linpeas(stdout: Column) -> Column:
     """Sections with findings: header, findings, blank line."""
     marked = F.transform(
-        F.filter(
-            X.lines(stdout),
-            lambda line: line.rlike(P.LINPEAS_HEADER) | line.rlike(P.LINPEAS_FINDING),
-        ),
+        _lines_like(stdout, _LINPEAS),
         lambda line: F.struct(
             line.rlike(P.LINPEAS_HEADER).alias("header"),
             X.trim_space(line).alias("text"),
@@ -130,10 +156,7 @@ def linpeas(stdout: Column) -> Column:
             F.concat(X.unlines(text), F.lit("\n"))
         )
 
-    one = F.array(marked)
-    for stage in (from_first_header, with_findings, render):
-        one = F.transform(one, stage)
-    return one[0]
+    return _bind(_bind(_bind(marked, from_first_header), with_findings), render)
 
 
 _extractors: dict[str, Extractor] = {
@@ -165,8 +188,8 @@ def register_signature(pattern: str, tool: str) -> None:
     _signatures.append((pattern, tool))
 
 
-def unregister_signature(tool: str) -> None:
-    _signatures[:] = [s for s in _signatures if s[1] != tool]
+def unregister_signature(pattern: str) -> None:
+    _signatures[:] = [s for s in _signatures if s[0] != pattern]
 
 
 def has_extractor(tool: Column) -> Column:

@@ -39,8 +39,8 @@ SIGNATURES = (
 )
 
 # Line patterns of the tool extractors.
-NMAP_PORT = rf"^\d+/(tcp|udp){BLANK}+open{BLANK}"
-NMAP_STARTS = (
+NMAP_LINE = (
+    r"\d+/(?:tcp|udp)\s+open\s",
     "Nmap scan report for",
     "Host is up",
     "OS details:",
@@ -49,15 +49,16 @@ NMAP_STARTS = (
     "|",
     "Service Info:",
 )
-STATUS = rf"Status:{BLANK}*(200|301|302|403)"
-LEADING_STATUS = rf"^(200|301|302|403){BLANK}+"
+STATUS_CODES = ("200", "301", "302", "403")
+STATUS_LABEL = "Status:"
+NIKTO_LINE = "+"
 LINPEAS_HEADER = r"[═╔╗╚╝]{3,}"
 LINPEAS_FINDING = (
-    r"(?iu)(99%|95%|CVE-|SGID|SUID|writable|Vulnerable|root|password"
-    r"|credential|\.ssh|id_rsa|shadow|sudoers)"
+    r"99%|95%|CVE-|SGID|SUID|writable|Vulnerable|root|password"
+    r"|credential|\.ssh|id_rsa|shadow|sudoers"
 )
 GIT_DIFF = "diff --git"
-GIT_STARTS = ("diff --git", "---", "+++", "@@")
+GIT_LINE = ("diff --git", "---", "+++", "@@")
 
 # Text that replaces an extraction without results.
 NO_PORTS = "[no open ports or services found]"

@@ -137,12 +137,15 @@ FROM d LEFT JOIN cut USING (doc_id)
 """
 
 _OUTPUT_CAP = """
-SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 5000 THEN text ELSE
-  (SELECT concat(substring(text, 1, max(k)),
-      CASE WHEN max(octet_length(encode(substring(text, 1, k)))) < 5000 THEN '�' ELSE '' END)
-   FROM range(1250, 5001) r(k)
-   WHERE octet_length(encode(substring(text, 1, k))) <= 5000) END AS stdout
-FROM documents
+WITH chars AS (
+  SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
+  FROM documents WHERE octet_length(encode(text)) > 5000),
+ends AS (
+  SELECT *, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM chars),
+heads AS (
+  SELECT doc_id, concat(string_agg(c, '' ORDER BY i), CASE WHEN max(pos) < 5000 THEN '�' ELSE '' END) AS head
+  FROM ends WHERE pos <= 5000 GROUP BY doc_id)
+SELECT doc_id, coalesce(head, text) AS stdout FROM documents LEFT JOIN heads USING (doc_id)
 """
 
 # Session view, filtered, redacted and processed.

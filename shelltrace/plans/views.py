@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelltrace.functions import text as X
-from shelltrace.session import prepare
+from shelltrace.session import prepare, spread
 
 # One command per event, one session per user.
 SESSION_SQL = """
@@ -140,7 +140,7 @@ FROM documents
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _events(spark, sf_dir):

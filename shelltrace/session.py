@@ -69,6 +69,16 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for input that Spark cannot split far enough.
+
+    A file of one row group, or a compressed log, is one task however many
+    cores wait. Input with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def broadcast_if_bounded(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``dim`` for broadcast only when it has at most ``max_rows`` rows."""
     if dim.limit(max_rows + 1).count() <= max_rows:

@@ -57,39 +57,40 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     fields become ``''`` or 0. Field names are case-sensitive.
     """
     value = F.col("value")
-    item = F.try_variant_get("_json", "$[0]", "variant")
     # The parser stops at the end of the first value. A line can only end the
     # enclosing array early with a bracket; an object wrapper catches those.
     closed = F.when(
         F.contains(value, F.lit("]")),
         F.try_parse_json(F.concat(F.lit('{"line":'), value, F.lit("}"))).isNotNull(),
     ).otherwise(F.lit(True))
-    parsed = (
-        lines.withColumn(
-            "_json", F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+
+    def decode(json: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(json, "$[0]", "variant"))
+        accepted = (
+            (kind.startswith("OBJECT<") | (kind == "VOID"))
+            & F.try_variant_get(json, "$[1]", "variant").isNull()
+            & closed
         )
-        .where(F.col("_json").isNotNull() & closed)
-        .withColumn("_kind", F.schema_of_variant(item))
-        .where(
-            F.col("_kind").startswith("OBJECT<") | (F.col("_kind") == "VOID")
+        fields = []
+        for f in schema.fields:
+            path = f"$[0].{f.name}"
+            item = F.try_variant_get(json, path, "variant")
+            accepted = accepted & _accepts(F.schema_of_variant(item), f.dataType)
+            zero = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0)
+            found = F.try_variant_get(json, path, f.dataType.simpleString())
+            fields.append(F.coalesce(found, zero.cast(f.dataType)).alias(f.name))
+        return F.struct(
+            F.coalesce(accepted, F.lit(False)).alias("_accepted"), *fields
         )
-        .where(F.try_variant_get("_json", "$[1]", "variant").isNull())
+
+    # One expression, so that each line is parsed once: a filter on a parsed
+    # column would be pushed below it and parse again.
+    parsed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    rows = F.filter(
+        F.transform(F.array(parsed), decode), lambda r: r["_accepted"]
     )
-    kinds = [
-        _accepts(
-            F.schema_of_variant(F.try_variant_get("_json", f"$[0].{f.name}", "variant")),
-            f.dataType,
-        )
-        for f in schema.fields
-    ]
-    for kind in kinds:
-        parsed = parsed.where(kind)
-    decoded = {}
-    for f in schema.fields:
-        field = F.try_variant_get("_json", f"$[0].{f.name}", f.dataType.simpleString())
-        zero = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0)
-        decoded[f.name] = F.coalesce(field, zero.cast(f.dataType))
-    return parsed.withColumns(decoded).drop("value", "_json", "_kind")
+    others = [c for c in lines.columns if c != "value"]
+    return lines.select(*others, F.inline(rows)).drop("_accepted")
 
 
 def check_line_length(

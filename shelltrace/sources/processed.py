@@ -17,7 +17,7 @@ from shelltrace.operators.joins import join_by_session
 from shelltrace.operators.preprocess import to_cached
 from shelltrace.session import write_through
 
-SESSION_BUCKETS = 256
+SESSION_BUCKETS = 64
 BUCKET = "session_bucket"
 
 TABLE = T.StructType(
