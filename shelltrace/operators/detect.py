@@ -64,7 +64,10 @@ def event_signals(
     A session whose events raise none keeps rows with a NULL key.
     """
     if weights is None:
-        weights = tool_weights(events.sparkSession)
+        # A fixed list.
+        weights = F.broadcast(tool_weights(events.sparkSession))
+    else:
+        weights = broadcast_if_bounded(weights)
     weights = weights.select(
         F.col("tool").alias("_tool"),
         F.col("type").alias("_type"),
@@ -98,7 +101,7 @@ def event_signals(
             command.alias("_command"),
             terminal.base_tool(F.col("stdin")).alias("_tool"),
         )
-        .join(broadcast_if_bounded(weights), "_tool", "left")
+        .join(weights, "_tool", "left")
         .select(
             "session_id",
             "seq",

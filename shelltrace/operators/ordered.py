@@ -86,6 +86,17 @@ class LogOrder:
     def so_far(self):
         return self.rows().rowsBetween(W.unboundedPreceding, W.currentRow)
 
+    def before(self):
+        return self.rows().rowsBetween(W.unboundedPreceding, -1)
+
+    def after(self):
+        """The rows after the current one, nearest last."""
+        return (
+            W.partitionBy(*self.group)
+            .orderBy(F.desc(self.seq))
+            .rowsBetween(W.unboundedPreceding, -1)
+        )
+
     def carry(self, df: DataFrame, **values: Before) -> DataFrame:
         """Add one column per value, as known from the other slices."""
         if not self.sliced:
@@ -96,7 +107,13 @@ class LogOrder:
         )
         slices = W.partitionBy(*self.keys).orderBy(_SLICE)
         earlier = slices.rowsBetween(W.unboundedPreceding, -1)
-        later = slices.rowsBetween(1, W.unboundedFollowing)
+        # The following rows, as the preceding ones in reverse: a frame that
+        # ends at the last row is evaluated anew for every row.
+        later = (
+            W.partitionBy(*self.keys)
+            .orderBy(F.desc(_SLICE))
+            .rowsBetween(W.unboundedPreceding, -1)
+        )
         all_slices = W.partitionBy(*self.keys)
 
         def across(name: str, v: Before) -> Column:
@@ -106,7 +123,7 @@ class LogOrder:
             if v.how == "last":
                 return F.last(c, ignorenulls=True).over(earlier)
             if v.how == "next":
-                return F.first(c, ignorenulls=True).over(later)
+                return F.last(c, ignorenulls=True).over(later)
             if v.how == "suffix":
                 # Each of the preceding texts adds at least one character.
                 return suffix_before(c, slices, v.length)

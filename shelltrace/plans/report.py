@@ -55,12 +55,13 @@ class ReportPlan:
     """``session_id, chunk_index, n_commands, start_time, end_time``"""
     context: str
     max_part_bytes: int
+    order: LogOrder
 
     def final_prompts(self, summaries: DataFrame) -> DataFrame:
         """``session_id, part, system, text`` from the chunk summaries."""
         chunks = render.join_summaries(self.chunks, summaries)
         prompts = render.final_prompts(
-            chunks, self.sessions, self.context, self.max_part_bytes
+            chunks, self.sessions, self.context, self.max_part_bytes, self.order
         )
         return prompts.join(
             self.sessions.select("session_id", "system"), "session_id"
@@ -182,7 +183,13 @@ def plan_processed(
         None if bounded else max_part_bytes,
     )
     return ReportPlan(
-        session_plan, direct_prompts, chunk_prompts, chunks, context, max_part_bytes
+        session_plan,
+        direct_prompts,
+        chunk_prompts,
+        chunks,
+        context,
+        max_part_bytes,
+        order,
     )
 
 

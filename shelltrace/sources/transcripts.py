@@ -4,16 +4,17 @@ A transcript is the byte stream of a terminal, cut into rows at arbitrary
 places. Shell hooks put markers into the stream: ``S`` when a command starts,
 ``E;exit;duration;cwd;command`` when it ends. Bytes between become the output.
 
-Two narrow tables, in stream order, decide everything that crosses rows: where
-a marker cut in two is put together, and which capture a row's text belongs
-to. The bytes themselves are only ever grouped by the row or by the command
-they end in, so no task reads a whole stream.
+Two narrow sets of columns, in stream order, decide everything that crosses
+rows: where a marker cut in two is put together, and which capture a row's
+text belongs to. While terminals are bounded they are worked out in windows
+over the rows themselves, with one shuffle in all. A terminal beyond that is
+worked out on narrow tables in slices; its bytes are only ever grouped by the
+row or by the command they end in, so no task reads a whole stream.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelltrace.functions import patterns as P
@@ -28,6 +29,9 @@ from shelltrace.session import write_through
 
 KEYS = ("session_id", "terminal_id")
 
+# Terminals up to this many reads, of some 4 KiB each, stay in one window.
+MAX_WINDOW_ROWS = 50_000
+
 # Bytes are handled as Latin-1 text, one character per byte.
 _BYTES = "ISO-8859-1"
 _START, _END = P.MARKER_START, P.MARKER_END
@@ -63,7 +67,9 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
     ``lead`` is a cut marker start taken from the rows before, ``lag_length``
     the length of one left to the rows after. ``in_marker`` tells that the row
     begins inside a marker, and ``closed_by`` is the next row with an end.
+    Without slices the rows keep their bytes.
     """
+    wide = [] if order.sliced else ["ts", "bytes"]
     after_end = F.substring_index("bytes", _END, -1)
     rows = stream.select(
         *KEYS,
@@ -72,6 +78,7 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
         F.right("bytes", F.lit(_PARTIAL)).alias("tail"),
         F.contains("bytes", F.lit(_END)).alias("closes"),
         F.contains(after_end, F.lit(_START)).alias("opens"),
+        *wide,
     )
     in_order = F.array_join(
         F.transform(
@@ -108,13 +115,13 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
             "last",
         ),
     )
-    earlier = order.rows().rowsBetween(W.unboundedPreceding, -1)
-    later = order.rows().rowsBetween(1, W.unboundedFollowing)
     in_marker = F.coalesce(
-        F.last("_state", ignorenulls=True).over(earlier), "_last_state", F.lit(0)
+        F.last("_state", ignorenulls=True).over(order.before()), "_last_state", F.lit(0)
     )
     closed_by = F.coalesce(
-        F.first(F.when(F.col("closes"), F.col("seq")), ignorenulls=True).over(later),
+        F.last(F.when(F.col("closes"), F.col("seq")), ignorenulls=True).over(
+            order.after()
+        ),
         "_closed_by",
     )
     return rows.select(
@@ -125,12 +132,15 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
         (in_marker == 1).alias("in_marker"),
         "closes",
         closed_by.alias("closed_by"),
+        *wide,
     )
 
 
 def _whole_markers(stream: DataFrame, order: LogOrder) -> DataFrame:
     """The stream with every marker in one row: the row that holds its end."""
-    rows = stream.join(_cuts(stream, order), [*KEYS, "seq"])
+    rows = _cuts(stream, order)
+    if order.sliced:
+        rows = stream.join(rows, [*KEYS, "seq"])
     shifted = F.concat("lead", "bytes")
     rows = rows.withColumn(
         "bytes",
@@ -181,13 +191,18 @@ def _segments(rows: DataFrame) -> DataFrame:
 
 def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
     """The capture open at each row's start: ``(keys, seq, n_before,
-    capturing, captured)``, with the bytes captured so far."""
+    capturing, captured)``, with the bytes captured so far.
+
+    Without slices the rows keep their texts.
+    """
+    wide = [] if order.sliced else ["ts", "texts", "bodies"]
     rows = segments.select(
         *KEYS,
         "seq",
         F.size("bodies").cast("long").alias("n"),
         F.try_element_at("bodies", F.lit(-1)).alias("last_body"),
         F.length(F.element_at("texts", -1)).cast("long").alias("open_length"),
+        *wide,
     )
     rows = order.carry(
         order.start(rows),
@@ -197,7 +212,7 @@ def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
             F.max_by("last_body", F.when(F.col("n") > 0, F.col("seq"))), "last"
         ),
     )
-    earlier = order.rows().rowsBetween(W.unboundedPreceding, -1)
+    earlier = order.before()
 
     def total(column: str, base: str) -> Column:
         return F.coalesce(F.sum(column).over(earlier), F.lit(0)) + F.col(base)
@@ -218,6 +233,7 @@ def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
         F.col("_n").alias("n_before"),
         (last_body == "S").alias("capturing"),
         (F.col("_length") - began_before).alias("captured"),
+        *wide,
     )
 
 
@@ -232,11 +248,13 @@ def read_transcripts(
     is that of the row in which its end marker ends.
     """
     stream = _stream(transcripts)
-    order = order or choose_order(stream, KEYS)
-    segments = write_through(
-        _segments(_whole_markers(stream, order)), "transcript"
-    )
-    rows = segments.join(_captures(segments, order), [*KEYS, "seq"])
+    order = order or choose_order(stream, KEYS, max_window_rows=MAX_WINDOW_ROWS)
+    segments = _segments(_whole_markers(stream, order))
+    if order.sliced:
+        segments = write_through(segments, "transcript")
+    rows = _captures(segments, order)
+    if order.sliced:
+        rows = segments.join(rows, [*KEYS, "seq"])
     body = F.get("bodies", F.col("i"))
     opened = F.when(F.col("i") == 0, F.col("capturing")).otherwise(
         F.get("bodies", F.col("i") - 1) == "S"
