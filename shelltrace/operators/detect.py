@@ -14,7 +14,11 @@ from shelltrace.session import broadcast_if_bounded
 
 DEFAULT_TYPE = "educational"
 _WEIGHT = "decimal(10,2)"
+_TOOL = "tool:"
 _TOOLS_SCHEMA = "tool string, type string, weight string, reason string"
+_SIGNALS_SCHEMA = (
+    "key string, type string, weight string, reason string, signal_ord int"
+)
 
 
 @dataclass(frozen=True)
@@ -44,14 +48,33 @@ def tool_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, _TOOLS_SCHEMA)
 
 
-def _signal(key, type_, weight, reason, order) -> Column:
-    return F.struct(
-        key.alias("key"),
-        type_.alias("type"),
-        weight.cast(_WEIGHT).alias("weight"),
-        reason.alias("reason"),
-        F.lit(order).alias("ord"),
+def signal_table(
+    spark: SparkSession,
+    weights: DataFrame | None = None,
+    command_signals: tuple[CommandSignal, ...] = COMMAND_SIGNALS,
+) -> DataFrame:
+    """What each signal means: ``(key, type, weight, reason, signal_ord)``.
+
+    ``signal_ord`` orders the signals of one event, tools first.
+    """
+    tools = (tool_weights(spark) if weights is None else weights).select(
+        tool_key(F.col("tool")).alias("key"),
+        "type",
+        "weight",
+        "reason",
+        F.lit(0).alias("signal_ord"),
     )
+    patterns = [
+        (s.key, s.type, s.weight, s.reason, i + 1)
+        for i, s in enumerate(command_signals)
+    ]
+    if patterns:
+        tools = tools.unionByName(spark.createDataFrame(patterns, _SIGNALS_SCHEMA))
+    return tools.withColumn("weight", F.col("weight").cast(_WEIGHT))
+
+
+def tool_key(tool: Column) -> Column:
+    return F.concat(F.lit(_TOOL), tool)
 
 
 def event_signals(
@@ -59,56 +82,31 @@ def event_signals(
     weights: DataFrame | None = None,
     command_signals: tuple[CommandSignal, ...] = COMMAND_SIGNALS,
 ) -> DataFrame:
-    """Signals of every event: ``(session_id, seq, key, type, ...)``.
+    """Keys of the signals each event raises: ``(session_id, seq, key)``.
 
-    A session whose events raise none keeps rows with a NULL key.
+    An event that raises none has one row with a NULL key.
     """
-    if weights is None:
-        # A fixed list.
-        weights = F.broadcast(tool_weights(events.sparkSession))
-    else:
-        weights = broadcast_if_bounded(weights)
-    weights = weights.select(
-        F.col("tool").alias("_tool"),
-        F.col("type").alias("_type"),
-        F.col("weight").alias("_weight"),
-        F.col("reason").alias("_reason"),
-    )
     command = X.trim_space(F.col("stdin"))
-    by_tool = F.when(
-        F.col("_type").isNotNull(),
-        _signal(
-            F.concat(F.lit("tool:"), F.col("_tool")),
-            F.col("_type"),
-            F.col("_weight"),
-            F.col("_reason"),
-            0,
-        ),
-    )
     by_pattern = [
-        F.when(
-            F.col("_command").rlike(s.pattern),
-            _signal(
-                F.lit(s.key), F.lit(s.type), F.lit(s.weight), F.lit(s.reason), i + 1
-            ),
-        )
-        for i, s in enumerate(command_signals)
+        F.when(F.col("_command").rlike(s.pattern), F.lit(s.key))
+        for s in command_signals
     ]
-    return (
-        events.select(
-            "session_id",
-            "seq",
-            command.alias("_command"),
-            terminal.base_tool(F.col("stdin")).alias("_tool"),
-        )
-        .join(weights, "_tool", "left")
-        .select(
-            "session_id",
-            "seq",
-            F.explode_outer(F.array_compact(F.array(by_tool, *by_pattern))).alias("s"),
-        )
-        .select("session_id", "seq", "s.*")
+    rows = events.select(
+        "session_id",
+        "seq",
+        command.alias("_command"),
+        tool_key(terminal.base_tool(F.col("stdin"))).alias("_key"),
     )
+    if weights is None:
+        tools = [_TOOL + t for t in (*P.PENTEST_TOOLS, *P.DEV_TOOLS)]
+        by_tool = F.when(F.col("_key").isin(*tools), F.col("_key"))
+    else:
+        known = weights.select(tool_key(F.col("tool")).alias("_key")).distinct()
+        known = known.withColumn("_known", F.col("_key"))
+        rows = rows.join(broadcast_if_bounded(known), "_key", "left")
+        by_tool = F.col("_known")
+    keys = F.array_compact(F.array(by_tool, *by_pattern))
+    return rows.select("session_id", "seq", F.explode_outer(keys).alias("key"))
 
 
 def session_signals(
@@ -116,21 +114,21 @@ def session_signals(
     weights: DataFrame | None = None,
     command_signals: tuple[CommandSignal, ...] = COMMAND_SIGNALS,
 ) -> DataFrame:
-    """Each signal once per session, at its first occurrence."""
-    first = F.min(F.struct("seq", "ord", "type", "weight", "reason"))
-    return (
+    """Each signal once per session, at its first occurrence.
+
+    Only a key and a position are shuffled; what the key means is looked up
+    afterwards. Sessions that raise no signal keep a row with a NULL key.
+    """
+    first = (
         event_signals(events, weights, command_signals)
         .groupBy("session_id", "key")
-        .agg(first.alias("s"))
-        .select(
-            "session_id",
-            "key",
-            "s.type",
-            "s.weight",
-            "s.reason",
-            F.col("s.seq").alias("first_seq"),
-            F.col("s.ord").alias("signal_ord"),
-        )
+        .agg(F.min("seq").alias("first_seq"))
+    )
+    table = signal_table(events.sparkSession, weights, command_signals)
+    # Without a weights table of the caller's, a fixed list.
+    table = F.broadcast(table) if weights is None else broadcast_if_bounded(table)
+    return first.join(table, "key", "left").select(
+        "session_id", "key", "type", "weight", "reason", "first_seq", "signal_ord"
     )
 
 

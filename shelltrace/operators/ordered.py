@@ -27,6 +27,7 @@ MAX_WINDOW_ROWS = 1_000_000
 ROWS_PER_SLICE = 65_536
 
 _SLICE = "_slice"
+_OVERALL = {"total": F.sum, "min": F.min, "max": F.max}
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class Before:
 
     ``how``: ``sum`` of the preceding slices, ``last`` non-null value of the
     preceding slices, ``next`` non-null value of the following slices,
-    ``total`` / ``max`` over all slices of the session, or ``suffix``: the last
+    ``total`` / ``min`` / ``max`` over all slices of the session, or ``suffix``: the last
     ``length`` characters of the preceding slices' non-empty texts.
     """
 
@@ -127,7 +128,7 @@ class LogOrder:
             if v.how == "suffix":
                 # Each of the preceding texts adds at least one character.
                 return suffix_before(c, slices, v.length)
-            return {"total": F.sum, "max": F.max}[v.how](c).over(all_slices)
+            return _OVERALL[v.how](c).over(all_slices)
 
         carried = summary.select(
             *self.group,
@@ -136,7 +137,8 @@ class LogOrder:
         return df.join(carried, self.group)
 
     def _carry_in_window(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
-        whole = W.partitionBy(*self.keys)
+        # In order, although order is of no account, to share the rows' sort.
+        whole = self.rows().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         outside = [n for n, v in values.items() if v.how in ("last", "next")]
         types = (
             df.groupBy(*self.keys)
@@ -194,25 +196,31 @@ def first_rows(df: DataFrame, order: LogOrder, n: int) -> DataFrame:
 
 
 def assemble(
-    df: DataFrame, order: LogOrder, text: str, max_part_bytes: int | None
+    df: DataFrame,
+    order: LogOrder,
+    text: str,
+    max_part_bytes: int | None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Concatenate ``text`` per group in order, as ``(keys, part, text)``.
 
     A document longer than ``max_part_bytes`` comes in several parts, in
     ``part`` order; joined they are the document. Pass ``None`` where the
     number of rows per group is bounded, which saves the running length.
+    ``keep`` names columns with one value per group.
     """
     in_order = F.expr(f"listagg({text}, '') within group (order by {order.seq})")
-    df = df.select(*order.keys, order.seq, text)
+    df = df.select(*order.keys, order.seq, text, *keep)
+    kept = [F.max(c).alias(c) for c in keep]
     if max_part_bytes is None:
         return df.groupBy(*order.keys).agg(
-            F.lit(0).cast("long").alias("part"), in_order.alias(text)
+            F.lit(0).cast("long").alias("part"), in_order.alias(text), *kept
         )
     size = F.octet_length(text).cast("long")
     df = order.carry(order.start(df), _before=Before(F.sum(size), "sum"))
     offset = F.sum(size).over(order.so_far()) - size + F.col("_before")
     df = df.withColumn("part", F.floor(offset / max_part_bytes).cast("long"))
-    return df.groupBy(*order.keys, "part").agg(in_order.alias(text))
+    return df.groupBy(*order.keys, "part").agg(in_order.alias(text), *kept)
 
 
 # Folds whose state resets cannot be written as window functions. The fold

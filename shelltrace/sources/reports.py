@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelltrace import schema as S
 from shelltrace.functions import text as X
-from shelltrace.operators.ordered import LogOrder, assemble, choose_order
+from shelltrace.operators.ordered import Before, LogOrder, assemble, choose_order
 from shelltrace.operators.render import MAX_PART_BYTES
 
 # Request options.
@@ -69,24 +69,14 @@ def assemble_responses(
     ``fragments`` has ``request_id, seq, content, done``.
     """
     order = order or choose_order(fragments, ("request_id",))
-    # The end of a response is an aggregate, so it is found before the join.
-    ends = fragments.groupBy("request_id").agg(
-        F.min(F.when(F.col("done"), F.col("seq"))).alias("_end")
+    first_done = F.min(F.when(F.col("done"), F.col(order.seq)))
+    rows = order.carry(order.start(fragments), _end=Before(first_done, "min")).where(
+        F.col("_end").isNull() | (F.col(order.seq) <= F.col("_end"))
+    )
+    rows = order.carry(rows, n_tokens=Before(F.count(F.lit(1)), "total"))
+    return assemble(
+        order.finish(rows), order, "content", max_part_bytes, keep=("n_tokens",)
     )
-    wanted = F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))
-    counts = _up_to(fragments, ends, order, wanted)
-    text = assemble(counts, order, "content", max_part_bytes)
-    tokens = counts.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return text.join(tokens, "request_id")
-
-
-def _up_to(fragments, ends, order, wanted):
-    if not order.sliced:
-        return fragments.join(ends, "request_id").where(wanted)
-    # Ends are copied to each slice, so that no request loads one task.
-    sliced = order.start(fragments)
-    slices = sliced.select(*order.group).distinct().join(ends, "request_id")
-    return order.finish(sliced.join(slices, order.group).where(wanted))
 
 
 def render_reports(
