@@ -10,7 +10,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "report_prompts",
     "clean_events",
     "redact_documents",
     "clean_output",
@@ -36,6 +35,7 @@ HEADLINE = (
     "transcript_events",
     "stream_transcript",
     "stream_preprocess",
+    "report_prompts",
 )
 
 
@@ -55,8 +55,9 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the JVM's and Python's workers before timing.
-    spark.range(1000).selectExpr("sum(id)").collect()
+    # Load the JVM's SQL classes and start Python workers before timing.
+    for name in ("clean_events", "merge_small_chunks"):
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     names = sys.argv[1:] or HEADLINE
     seconds = {}
     for name in names:

@@ -58,13 +58,8 @@ _BLANK_WITHIN = f"{_BLANK}{_SPACE}*{_WORD}"
 _CODES = f"(?:{_any(P.STATUS_CODES)})"
 _STATUS = f"{_REST}{P.STATUS_LABEL}{_BLANK}*{_CODES}"
 
-_NMAP = (
-    f"{_SPACE}*(?:"
-    + P.NMAP_LINE[0].replace(r"open\s", "open" + _BLANK_WITHIN).replace(r"\s", _BLANK)
-    + "|"
-    + _any(P.NMAP_LINE[1:])
-    + ")"
-)
+_NMAP_PORT = f"{P.NMAP_PORT}{_BLANK}+{P.NMAP_OPEN}{_BLANK_WITHIN}"
+_NMAP = f"{_SPACE}*(?:{_NMAP_PORT}|{_any(P.NMAP_STARTS)})"
 _GOBUSTER = f"{_STATUS}|{_SPACE}*{_CODES}{_BLANK_WITHIN}"
 _NIKTO = f"{_SPACE}*{re.escape(P.NIKTO_LINE)}"
 _LINPEAS = f"{_REST}(?:{P.LINPEAS_HEADER}|(?iu:{P.LINPEAS_FINDING}))"

@@ -39,8 +39,9 @@ SIGNATURES = (
 )
 
 # Line patterns of the tool extractors.
-NMAP_LINE = (
-    r"\d+/(?:tcp|udp)\s+open\s",
+NMAP_PORT = r"\d+/(?:tcp|udp)"
+NMAP_OPEN = "open"
+NMAP_STARTS = (
     "Nmap scan report for",
     "Host is up",
     "OS details:",

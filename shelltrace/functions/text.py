@@ -13,7 +13,7 @@ WHITESPACE = "".join(
         *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
     )
 )
-_SPLIT_FIELDS = "[" + WHITESPACE + "]+"
+_FIELD = "[^" + WHITESPACE + "]+"
 _ZERO_TIME = "0001-01-01 00:00:00Z"
 _RFC3339 = (
     r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})\z"
@@ -26,14 +26,13 @@ def trim_space(text: Column) -> Column:
 
 
 def fields(text: Column) -> Column:
-    """Split on runs of Unicode white space; ``['']`` for blank text."""
-    return F.split(trim_space(text), _SPLIT_FIELDS)
+    """The runs of text between Unicode white space."""
+    return F.regexp_extract_all(text, F.lit(_FIELD), F.lit(0))
 
 
 def first_field(text: Column) -> Column:
     """First white-space separated field, or the empty string."""
-    spaced = F.translate(trim_space(text), WHITESPACE, " " * len(WHITESPACE))
-    return F.substring_index(spaced, " ", 1)
+    return F.regexp_extract(text, _FIELD, 0)
 
 
 def lines(text: Column) -> Column:

@@ -74,7 +74,7 @@ class LogOrder:
         if not self.sliced:
             return df
         return df.withColumn(
-            _SLICE, F.floor(F.col(self.seq) / self.rows_per_slice).cast("long")
+            _SLICE, F.expr(f"{self.seq} div {self.rows_per_slice}")
         )
 
     def finish(self, df: DataFrame) -> DataFrame:

@@ -485,7 +485,7 @@ def event_log_round_trip(spark, sf_dir):
     event_logs.append_events(V.sessions_log(spark, sf_dir), path)
     return event_logs.read_events(spark, path).select(
         "timestamp", "session_id", "terminal_id", "cwd", "stdin", "stdout", "stderr",
-        "exit_code", "duration_ms",
+        "exit_code", "duration_ms", "seq",
     )
 
 

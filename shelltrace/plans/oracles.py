@@ -565,7 +565,7 @@ ORACLES: dict[str, str] = {
         SELECT {_STAMP} AS timestamp, session_id, stdin, stdout, exit_code, duration_ms FROM sv
         UNION ALL SELECT '', '', 'only', '', 0, 0 FROM sv""",
     "event_log_round_trip": f"""WITH {_SV}
-        SELECT {_STAMP} AS timestamp, session_id, terminal_id, cwd, stdin, stdout, stderr, exit_code, duration_ms
+        SELECT {_STAMP} AS timestamp, session_id, terminal_id, cwd, stdin, stdout, stderr, exit_code, duration_ms, seq
         FROM sv""",
     "log_line_counts": f"WITH {_SV} SELECT session_id, count(*) * 9 AS n_lines FROM sv GROUP BY session_id",
     "processed_round_trip": f"""WITH {_SV}, {_CLEAN}, {_processed("clean")},

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelltrace import schema as S
 from shelltrace.functions import patterns as P
 from shelltrace.functions import text as X
-from shelltrace.session import prepare
+from shelltrace.session import broadcast_if_bounded, prepare
 
 _ROW_IN_PARTITION = (1 << 33) - 1
+# Room for files of 512 GiB.
+_POSITIONS_PER_FILE = 1 << 40
+_STORED = T.StructType([T.StructField("seq", T.LongType())])
 
 
 def _read_lines(spark: SparkSession, paths, columns: list[Column]) -> DataFrame | None:
@@ -49,12 +53,15 @@ def _accepts(kind: Column, data_type: T.DataType) -> Column:
     return kind.isNull() | kind.isin("VOID", *names[data_type])
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+def parse_lines(
+    lines: DataFrame, schema: T.StructType, optional: T.StructType | None = None
+) -> DataFrame:
     """Strictly decode the JSON object in ``value`` into ``schema``.
 
     A line is dropped when it is not one JSON object, has text after it, or
     has a field of another type. Unknown fields are ignored; missing and null
-    fields become ``''`` or 0. Field names are case-sensitive.
+    fields become ``''`` or 0. Field names are case-sensitive. ``optional``
+    fields are NULL when missing or of another type.
     """
     value = F.col("value")
     # The parser stops at the end of the first value. A line can only end the
@@ -79,6 +86,9 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
             zero = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0)
             found = F.try_variant_get(json, path, f.dataType.simpleString())
             fields.append(F.coalesce(found, zero.cast(f.dataType)).alias(f.name))
+        for f in optional or []:
+            path, kind = f"$[0].{f.name}", f.dataType.simpleString()
+            fields.append(F.try_variant_get(json, path, kind).alias(f.name))
         return F.struct(
             F.coalesce(accepted, F.lit(False)).alias("_accepted"), *fields
         )
@@ -111,7 +121,7 @@ def check_line_length(
 def _read_log(spark, paths, schema, max_line_bytes, on_long_line) -> DataFrame:
     prepare(spark)
     columns = [
-        log_position().alias("seq"),
+        log_position().alias("_position"),
         F.col("_metadata.file_path").alias("log_file"),
     ]
     lines = _read_lines(spark, paths, columns)
@@ -119,8 +129,11 @@ def _read_log(spark, paths, schema, max_line_bytes, on_long_line) -> DataFrame:
         empty = S.with_engine_columns(schema).add("log_file", T.StringType())
         return spark.createDataFrame([], empty)
     lines = check_line_length(lines, max_line_bytes, on_long_line)
-    return parse_lines(lines, schema).select(
-        *schema.fieldNames(), "seq", X.parse_time(F.col("timestamp")).alias("ts"), "log_file"
+    return parse_lines(lines, schema, _STORED).select(
+        *schema.fieldNames(),
+        F.coalesce("seq", "_position").alias("seq"),
+        X.parse_time(F.col("timestamp")).alias("ts"),
+        "log_file",
     )
 
 
@@ -132,8 +145,9 @@ def read_events(
 ) -> DataFrame:
     """Events of JSON-lines logs, with ``seq`` and ``ts``.
 
-    A session's log is one file and ``seq`` follows its lines. Malformed lines
-    are skipped; a missing path gives no rows.
+    ``seq`` is the position stored with the line or else that of the line in
+    its file; see ``order_across_files`` for sessions of several files without
+    stored positions. Malformed lines are skipped; a missing path gives no rows.
     """
     return _read_log(spark, paths, S.EVENT, max_line_bytes, on_long_line)
 
@@ -148,9 +162,27 @@ def read_processed_log(
     return _read_log(spark, paths, S.CACHED, max_line_bytes, on_long_line)
 
 
+def order_across_files(events: DataFrame) -> DataFrame:
+    """Number the lines of sessions whose log is several files, in the order of
+    the file names."""
+    files = events.select("session_id", "log_file").distinct()
+    by_name = W.partitionBy("session_id").orderBy("log_file")
+    ranked = files.withColumn("_rank", F.row_number().over(by_name).cast("long") - 1)
+    return (
+        events.join(broadcast_if_bounded(ranked), ["session_id", "log_file"])
+        .withColumn("seq", F.col("_rank") * F.lit(_POSITIONS_PER_FILE) + F.col("seq"))
+        .drop("_rank")
+    )
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines; null fields are written."""
-    events.select(*S.EVENT.fieldNames()).write.mode("append").option(
+    """Append events as JSON lines; null fields are written.
+
+    ``seq`` is stored where there is one, as an append may spread a session
+    over several files.
+    """
+    position = [c for c in _STORED.fieldNames() if c in events.columns]
+    events.select(*S.EVENT.fieldNames(), *position).write.mode("append").option(
         "ignoreNullFields", "false"
     ).json(path)
 

@@ -74,6 +74,22 @@ def test_positions_follow_the_lines_of_a_split_file(spark, tmp_path):
         assert len({seq for seq, _ in mine}) == n
 
 
+def test_sessions_of_several_files_are_ordered_by_name(spark, tmp_path):
+    for name, commands in (("2.jsonl", "cd"), ("1.jsonl", "ab"), ("3.jsonl", "e")):
+        write(tmp_path / "log" / name, [line(session_id="s", stdin=c) for c in commands])
+    df = events.order_across_files(events.read_events(spark, str(tmp_path / "log")))
+    assert "".join(r.stdin for r in df.orderBy("seq").select("stdin").collect()) == "abcde"
+
+
+def test_stored_positions_survive_appends(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for batch in ((3, 4), (0, 1, 2)):
+        rows = event_rows(spark, [("s", i, f"c{i}", "") for i in batch])
+        events.append_events(rows.repartition(2), path)
+    got = events.read_events(spark, path).select("seq", "stdin").collect()
+    assert sorted(map(tuple, got)) == [(i, f"c{i}") for i in range(5)]
+
+
 def test_long_lines(spark, tmp_path):
     path = write(tmp_path / "s" / "e.jsonl", [line(stdin="ok"), line(stdin="x" * 100)])
     assert events.read_events(spark, path, 50, "skip").count() == 1

@@ -20,7 +20,7 @@ def cases(spark, function, pairs, *more):
 
 def test_trim_and_fields(spark):
     cases(spark, X.trim_space, [("　 a\tb \x85\n", "a\tb"), ("\x0b", ""), ("x", "x")])
-    cases(spark, X.fields, [(" a  b\tc", ["a", "b", "c"]), ("", [""])])
+    cases(spark, X.fields, [(" a  b\tc", ["a", "b", "c"]), ("", [])])
     cases(spark, X.first_field, [("\tls  -la", "ls"), ("  ", ""), ("cd　/x", "cd")])
 
 
