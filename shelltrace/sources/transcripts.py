@@ -317,17 +317,17 @@ def _events(commands: DataFrame) -> DataFrame:
     return (
         commands.withColumn("_p", parts)
         .where(F.size("_p") == 4)
-        .withColumn("stdin", X.decode_base64(F.col("_p")[3]))
+        .withColumn("stdin", X.decode_base64(F.get("_p", F.lit(3))))
         .where("stdin is not null")
         .select(
             stamp.alias("timestamp"),
             *KEYS,
-            _as_text(F.col("_p")[2]).alias("cwd"),
+            _as_text(F.get("_p", F.lit(2))).alias("cwd"),
             F.make_valid_utf8("stdin").alias("stdin"),
             _as_text(F.col("output")).alias("stdout"),
             F.lit("").alias("stderr"),
-            X.parse_int(F.col("_p")[0]).alias("exit_code"),
-            X.parse_int(F.col("_p")[1]).alias("duration_ms"),
+            X.parse_int(F.get("_p", F.lit(0))).alias("exit_code"),
+            X.parse_int(F.get("_p", F.lit(1))).alias("duration_ms"),
             F.col("command").cast("long").alias("seq"),
             "ts",
         )
