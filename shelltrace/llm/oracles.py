@@ -39,6 +39,45 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+_BLANK = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+
+OP8 = f"""
+WITH doc AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text, string_split(text, chr(10)) AS ls
+  FROM documents
+), line AS (
+  SELECT r, p, ls[p] AS raw, trim(ls[p], {_BLANK}) AS l,
+         len(regexp_extract_all(ls[p], '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS p FROM doc)
+), placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY r ORDER BY p) AS e FROM line WHERE n > 0
+), frame AS (
+  SELECT r, min(p) OVER d AS f, max(p) OVER d AS t, sum(n) OVER d AS n, list(l) OVER d AS c
+  FROM (SELECT *, e - n AS b FROM placed)
+  WINDOW d AS (PARTITION BY r ORDER BY b RANGE BETWEEN 0 FOLLOWING AND 49 FOLLOWING)
+  UNION
+  SELECT r, min(p) OVER u, max(p) OVER u, sum(n) OVER u, list(l) OVER u
+  FROM placed
+  WINDOW u AS (PARTITION BY r ORDER BY e RANGE BETWEEN 49 PRECEDING AND 0 FOLLOWING)
+), later AS (
+  SELECT r, f, t FROM (
+    SELECT r, f, t, row_number() OVER (PARTITION BY c ORDER BY r, f) AS k
+    FROM frame WHERE n >= 50)
+  WHERE k > 1
+), dead AS (
+  SELECT DISTINCT r, unnest(range(f, t + 1)) AS p FROM later
+), kept AS (
+  SELECT r, count(p2) AS n_deleted, string_agg(raw, chr(10) ORDER BY p) FILTER (p2 IS NULL) AS text
+  FROM (SELECT line.r, line.p, raw, dead.p AS p2
+        FROM line LEFT JOIN dead ON line.r = dead.r AND line.p = dead.p)
+  GROUP BY r
+)
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
+       CASE WHEN doc.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM doc LEFT JOIN kept USING (r)
+"""
+
 ORACLES = {
     "op2_decontaminate": OP2,
+    "op8_line_dedup": OP8,
 }

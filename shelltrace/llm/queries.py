@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import decontaminate, mix
+from shelltrace.llm import decontaminate, lines, mix
 
 
 def _table(spark, sf_dir, name):
@@ -35,7 +35,13 @@ def op2_decontaminate(spark, sf_dir):
     )
 
 
+def op8_line_dedup(spark, sf_dir):
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", "text")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
 }
