@@ -198,25 +198,35 @@ class Mix:
         chunk = _DRAWS_AT_ONCE
         some = (
             self.sources.where("draws > 0")
+            .withColumn("whole", F.expr(f"source_size div {b}"))
+            .withColumn(
+                "passes",
+                F.array(
+                    *[
+                        permutation(F.col("whole"), F.lit(seed), F.col("sid"), F.lit(p))
+                        for p in range(self.max_repeats + 1)
+                    ]
+                ),
+            )
             .withColumn("_c", F.explode(F.expr(f"sequence(0L, (draws - 1) div {chunk})")))
             .repartition("sid", "_c")
         )
         k = F.explode(
             F.expr(f"sequence(_c * {chunk}L, least(draws, (_c + 1) * {chunk}L) - 1)")
         )
-        whole = F.expr(f"source_size div {b}")
         tail = F.col("source_size") - F.col("whole") * b
         last = (F.col("k") == F.col("draws") - 1) & (F.col("rest") > 0)
         return (
             some.withColumn("k", k)
             .withColumn("pass", F.expr("k div blocks"))
             .withColumn("j", F.expr("k % blocks"))
-            .withColumn("whole", whole)
             .withColumn(
                 "block",
                 F.when(
                     F.col("j") < F.col("whole"),
-                    permuted(F.col("j"), F.col("whole"), F.lit(seed), "sid", "pass"),
+                    permuted(
+                        F.col("j"), F.col("whole"), F.get("passes", F.col("pass").cast("int"))
+                    ),
                 ).otherwise(F.col("whole")),
             )
             .withColumn(
@@ -284,33 +294,51 @@ class Mix:
         return drawn.drop("offset", "sid").unionByName(empty.drop("offset", "sid"))
 
 
-def permuted(j: Column, n: Column, *key) -> Column:
-    """Image of ``j`` under a pseudorandom permutation of ``0..n-1``.
+def _bits(n: Column) -> Column:
+    """Bits that the numbers below ``n`` need; 1 at least."""
+    return F.greatest(F.ceil(F.log2(n.cast("double"))), F.lit(1)).cast("int")
+
+
+def _ones(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+
+
+def permutation(n: Column, *key) -> Column:
+    """The constants of a pseudorandom permutation of ``0..n-1``, by ``key``."""
+    room = _ones(F.least(F.lit(62) - _bits(n), F.lit(31)))
+    return F.array(
+        *[
+            F.struct(
+                F.xxhash64(F.lit(i), *key)
+                .bitwiseAND(room)
+                .bitwiseOR(F.lit(1).cast("long"))
+                .alias("odd"),
+                F.xxhash64(F.lit(-1 - i), *key).bitwiseAND(_ones(_bits(n))).alias("add"),
+            )
+            for i in range(_ROUNDS)
+        ]
+    )
+
+
+def permuted(j: Column, n: Column, constants: Column) -> Column:
+    """Image of ``j`` under the permutation of ``0..n-1``.
 
     Multiplications by odd numbers and shifted xors permute the numbers of as
     many bits as ``n - 1`` has; the walk repeats that until it is below ``n``,
     which every second step does on average. ``n`` is below 2^48.
     """
-    bits = F.greatest(F.ceil(F.log2(n.cast("double"))), F.lit(1)).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    half = F.ceil(bits / 2).cast("int")
-    room = F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.least(F.lit(62) - bits, F.lit(31))
-    ) - 1
+    half = F.ceil(_bits(n) / 2).cast("int")
 
     def mixed(x: Column) -> Column:
-        for i in range(_ROUNDS):
-            odd = F.xxhash64(F.lit(i), *key).bitwiseAND(room).bitwiseOR(F.lit(1).cast("long"))
-            add = F.xxhash64(F.lit(-1 - i), *key).bitwiseAND(mask)
-            x = (x * odd + add).bitwiseAND(mask)
-            x = x.bitwiseXOR(F.call_function("shiftright", x, half))
-        return x
+        def one(x: Column, c: Column) -> Column:
+            y = (x * c["odd"] + c["add"]).bitwiseAND(_ones(_bits(n)))
+            return y.bitwiseXOR(F.call_function("shiftright", y, half))
+
+        return F.aggregate(constants, x, one)
 
     walked = F.aggregate(
         F.sequence(F.lit(1), F.lit(_WALK)),
-        mixed(j),
-        lambda x, _: F.when(x < n, x).otherwise(mixed(x)),
-    )
-    return F.when(walked < n, walked).otherwise(
-        F.raise_error(F.lit("walk too long")).cast("long")
+        j,
+        lambda x, i: F.when((i > 1) & (x < n), x).otherwise(mixed(x)),
     )
+    return F.when(walked >= n, F.raise_error(F.lit("walk too long")).cast("long")).otherwise(walked)
