@@ -77,7 +77,49 @@ SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_deleted, 0) AS n_dele
 FROM doc LEFT JOIN kept USING (r)
 """
 
+OP3 = r"""
+WITH rest AS (
+  SELECT page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u
+  FROM pages
+), part AS (
+  SELECT page_id,
+         translate(regexp_extract(u, '^[^/?#]*'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/')
+      THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/')
+      THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule
+  FROM part)
+"""
+
+OP10 = """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS p,
+         CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n
+  FROM pages
+), first AS (
+  SELECT *, min(page_id) OVER (PARTITION BY p) AS f FROM page
+)
+SELECT page_id, n AS payload_bytes, sha256(p) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > f THEN f END AS refers_to
+FROM first
+"""
+
 ORACLES = {
     "op2_decontaminate": OP2,
+    "op3_url_filter": OP3,
+    "op10_warc": OP10,
     "op8_line_dedup": OP8,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import decontaminate, lines, mix
+from shelltrace.llm import decontaminate, lines, mix, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -35,13 +35,42 @@ def op2_decontaminate(spark, sf_dir):
     )
 
 
+#: (host, path, verdict)
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op3_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), rules).withColumnRenamed(
+        "id", "page_id"
+    )
+
+
 def op8_line_dedup(spark, sf_dir):
     done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op10_warc(spark, sf_dir):
+    index = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_records(index).select(
+        F.col("id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op10_warc": op10_warc,
 }
