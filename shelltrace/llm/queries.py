@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import decontaminate, lines, mix, urls, warc
+from shelltrace.llm import decontaminate, lines, mix, near, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -51,6 +51,11 @@ def op3_url_filter(spark, sf_dir):
     )
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    found = near.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.drop("text_key").withColumnRenamed("id", "doc_id")
+
+
 def op8_line_dedup(spark, sf_dir):
     done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_deleted", "text")
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op10_warc": op10_warc,
 }
