@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import decontaminate, lines, mix, near, urls, warc
+from shelltrace.llm import decontaminate, lines, mix, near, toxic, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -56,6 +56,13 @@ def op4_ngram_jaccard(spark, sf_dir):
     return found.drop("text_key").withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark, sf_dir):
+    found = toxic.toxicity(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+    return found.select("doc_id", "p_junk", "p_toxic", "toxic")
+
+
 def op8_line_dedup(spark, sf_dir):
     done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_deleted", "text")
@@ -77,6 +84,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_toxicity": op5_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op10_warc": op10_warc,
 }
