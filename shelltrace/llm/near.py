@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelltrace.llm.common import compared_words, components, text_key
+from shelltrace.llm.common import bounded, compared_words, components, text_key
 from shelltrace.session import write_through
 
 SHINGLE_WORDS = 5
@@ -409,7 +409,7 @@ def near_duplicates(
     )
     # Texts of one document per class; a repeated row is as good as the first.
     texts = texts.join(
-        placed,
+        F.broadcast(placed) if bounded(placed) else placed,
         (F.col("text_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")),
     ).dropDuplicates(["class"])
     i, j = F.least("block", "_x"), F.greatest("block", "_x")
