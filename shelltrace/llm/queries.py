@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import decontaminate, lines, mix, near, toxic, urls, warc
+from shelltrace.llm import decontaminate, lines, mix, near, toxic, urls, vectors, warc
 
 
 def _table(spark, sf_dir, name):
@@ -68,6 +68,11 @@ def op8_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op9_vector_dedup(spark, sf_dir):
+    found = vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op10_warc(spark, sf_dir):
     index = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_records(index).select(
@@ -86,5 +91,6 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_warc": op10_warc,
 }
