@@ -40,6 +40,7 @@ BUCKET_ROWS = 65_536
 MIN_BUCKETS = 256
 #: Draws that one row is expanded into at a time.
 _DRAWS_AT_ONCE = 16_384
+_TASKS = 10_000
 _ROUNDS = 4
 _WALK = 64
 
@@ -196,6 +197,8 @@ class Mix:
         total = self.sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
         shards = max(1, -(-total // self.shard_blocks))
         chunk = _DRAWS_AT_ONCE
+        # A number of its own: few short rows become very many here.
+        tasks = max(1, min(-(-total // chunk), _TASKS))
         some = (
             self.sources.where("draws > 0")
             .withColumn("whole", F.expr(f"source_size div {b}"))
@@ -209,7 +212,7 @@ class Mix:
                 ),
             )
             .withColumn("_c", F.explode(F.expr(f"sequence(0L, (draws - 1) div {chunk})")))
-            .repartition("sid", "_c")
+            .repartition(tasks, "sid", "_c")
         )
         k = F.explode(
             F.expr(f"sequence(_c * {chunk}L, least(draws, (_c + 1) * {chunk}L) - 1)")
@@ -253,7 +256,9 @@ class Mix:
         slots = self.draws.withColumn("slot", F.row_number().over(order) - 1)
         taken = F.least(F.col("_limit"), F.col("start") + F.col("words")) - F.col("start")
         return (
-            self.pieces.join(slots.withColumnRenamed("words", "_limit"), ["sid", "block"])
+            self.pieces.join(
+                slots.withColumnRenamed("words", "_limit").hint("merge"), ["sid", "block"]
+            )
             .withColumn("taken", taken)
             .where("taken > 0")
             .select(
@@ -275,6 +280,8 @@ class Mix:
         limits = self.draws.groupBy("sid", "block").agg(
             F.collect_list("words").alias("_limits")
         )
+        # Estimates do not foresee how many draws a source has.
+        limits = limits.hint("merge")
         words = F.aggregate(
             F.coalesce("_limits", F.array().cast("array<bigint>")),
             F.lit(0).cast("long"),
