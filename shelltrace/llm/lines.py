@@ -57,7 +57,7 @@ def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.size(blank_words(F.col("line"))).alias("words"),
         )
         .where("words > 0")
-        .repartition("key")
+        .repartition("key", "id")
         .dropDuplicates(["key", "id", "pos"])
     )
 
