@@ -44,7 +44,7 @@ ARCHIVE_BYTES = 1 << 28
 GAP_BYTES = 1 << 16
 #: ... up to so many bytes. A longer record is read by itself.
 RANGE_BYTES = 1 << 23
-_BUFFER = 1 << 20
+_READ_TASKS = 100_000
 _LINE = b"\r\n"
 
 INDEX = (
@@ -296,7 +296,9 @@ def read_records(index: DataFrame) -> DataFrame:
 
     The payload of a revisit is null; it is that of the record it refers to.
     """
-    ranges = index.select("id", "archive", "offset", "length").repartitionByRange(
-        "archive", "offset"
-    )
+    places = index.select("id", "archive", "offset", "length")
+    # Few bytes of index stand for many of records.
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, min(-(-size // RANGE_BYTES), _READ_TASKS))
+    ranges = places.repartitionByRange(tasks, "archive", "offset")
     return ranges.sortWithinPartitions("archive", "offset").mapInArrow(_reader, RECORD)
