@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import decontaminate, lines, mix, near, toxic, urls, vectors, warc
+from shelltrace.llm import chat, decontaminate, lines, mix, near, private, toxic, urls, vectors, warc
 
 
 def _table(spark, sf_dir, name):
@@ -63,6 +63,16 @@ def op5_toxicity(spark, sf_dir):
     return found.select("doc_id", "p_junk", "p_toxic", "toxic")
 
 
+def op6_chat_format(spark, sf_dir):
+    done = chat.format_chats(_table(spark, sf_dir, "conversations"))
+    return done.withColumnRenamed("conv", "conv_id")
+
+
+def op7_private_surrogates(spark, sf_dir):
+    done = private.replace_private(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_entities", "text")
+
+
 def op8_line_dedup(spark, sf_dir):
     done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_deleted", "text")
@@ -90,6 +100,8 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
+    "op6_chat_format": op6_chat_format,
+    "op7_private_surrogates": op7_private_surrogates,
     "op8_line_dedup": op8_line_dedup,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_warc": op10_warc,

@@ -242,7 +242,7 @@ def _searcher(threshold: float):
             graph.append(at[points[at] == near])
         start = medoid(unit)
         out_a, out_b = [], []
-        for i in np.flatnonzero(shard["own"].to_numpy()):
+        for i in range(len(points)):
             found = range_search(i, unit, graph, start, threshold)
             a = np.minimum(points[i], points[found])
             out_a.append(a)
