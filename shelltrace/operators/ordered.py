@@ -134,7 +134,10 @@ class LogOrder:
             *self.group,
             *[across(name, v).alias(name) for name, v in values.items()],
         )
-        return df.join(carried, self.group)
+        # A null key is a group like any other.
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in self.group]
+        carried = carried.withColumnsRenamed({c: f"_of_{c}" for c in self.group})
+        return df.join(carried, same).drop(*[f"_of_{c}" for c in self.group])
 
     def _carry_in_window(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
         # In order, although order is of no account, to share the rows' sort.
