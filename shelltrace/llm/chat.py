@@ -84,8 +84,8 @@ def linked_replies(messages: DataFrame) -> DataFrame:
     # Only lines that someone quotes are ordered; of a line that many messages
     # hold, a quote takes the nearest one before it.
     held = lines.join(asked, ["conv", "level", "h"], "left_semi")
-    marked = held.withColumn("asks", F.lit(0)).union(
-        quoted.select("conv", "turn", "level", "h", F.lit(1))
+    marked = held.withColumn("asks", F.lit(0)).unionByName(
+        quoted.withColumn("asks", F.lit(1))
     )
     before = (
         W.partitionBy("conv", "level", "h")

@@ -25,7 +25,7 @@ DOCS = "doc_id long, text string, source string, extra int"
 @pytest.fixture(scope="module")
 def docs(spark):
     def words(a, n):
-        return " ".join(f"w{(a * 31 + i * 7) % 97}" for i in range(n))
+        return " ".join(f"w{a}x{i}" for i in range(n))
 
     rows = [
         (1, words(1, 60) + "\n" + words(2, 70), "a", 1),
@@ -88,7 +88,8 @@ def test_near_duplicates(docs):
     assert len(rows) == 9
     got = {(r.id, r.class_id, r.component_id, r.n_links) for r in rows}
     assert (7, 7, 7, 2) in got and (8, 8, 7, 2) in got
-    assert (4, 4, 4, 0) in got and (3, 3, 3, 0) in got
+    # 66 of 76 shingles are common to 2 and 3.
+    assert (4, 4, 4, 0) in got and (3, 3, 2, 1) in got and (1, 1, 1, 0) in got
 
 
 def test_near_large_group(spark):
