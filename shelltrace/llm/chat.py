@@ -14,9 +14,9 @@
    left out.
 
 The result has one row per message, with its place; a conversation is its
-rows in order, so none is gathered however long it is. A hot conversation or
-line is spread: lines are joined by conversation and hash, and per hash only
-the messages around a quote are kept by an aggregate.
+rows in order, so none is gathered however long it is. Lines are matched by
+conversation and hash; of a line that is quoted, the messages of one
+conversation that hold it are ordered in one window.
 
 Nulls and corner cases: a null text has no lines and gives an empty text; a
 message that quotes nothing known answers none and begins a thread; messages

@@ -8,7 +8,7 @@ the graph, however many copies there are.
    angle is within ``reach`` of its nearest one: shards overlap.
 2. In each shard every point gets neighbours by robust pruning: the nearest
    candidate stays and rules out those that are much closer to it than to the
-   point, and so on. A second round adds the reverse edges and prunes again.
+   point, and so on. A second round adds all reverse edges.
 3. The adjacency lists that a point has in its shards are united.
 4. Each point is searched for in its shards, from the shard's medoid and along
    the united edges: the best few points met are expanded until nothing better
@@ -174,10 +174,9 @@ def build_graph(unit: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) ->
         for j in near:
             back[j].append(i)
     for i in range(n):
-        both = np.union1d(graph[i], back[i]).astype(np.int64)
-        if len(both) > degree:
-            both = robust_prune(i, both, unit[both] @ unit[i], unit, degree, alpha)
-        graph[i] = both
+        # Not pruned again: of points that almost coincide all but one would go,
+        # and nothing would lead to them.
+        graph[i] = np.union1d(graph[i], back[i]).astype(np.int64)
     return graph
 
 
