@@ -20,7 +20,7 @@ from shelltrace.operators.ordered import LogOrder
 from shelltrace.operators.preprocess import from_cached, preprocess, process_events, to_cached
 from shelltrace.plans import views as V
 from shelltrace.plans.report import plan_reports
-from shelltrace.session import scratch_path
+from shelltrace.session import scratch_path, write_through
 from shelltrace.sources import events as event_logs
 from shelltrace.sources import processed as processed_table
 from shelltrace.sources import reports, sessions, transcripts
@@ -612,16 +612,30 @@ def transcript_events_sliced(spark, sf_dir):
 
 
 def stream_transcript(spark, sf_dir):
-    """Transcripts ingested as a stream of files, with state per terminal."""
+    """Transcripts ingested as a stream of files, with state per terminal.
+
+    A file stream takes files by age. So the feed is written in slices of
+    time, one after the other, and a terminal's part of a slice is one file.
+    """
     source, target = scratch_path(spark, "feed"), scratch_path(spark, "ingested")
-    _cut_transcripts(spark, sf_dir).withColumn(
-        "batch", F.floor(F.col("seq") / 10_000)
-    ).repartitionByRange(4, "batch").sortWithinPartitions("seq").drop("batch").write.parquet(source)
+    rows = write_through(_cut_transcripts(spark, sf_dir), "transcripts")
+    for part in _quarters(rows):
+        part.repartition("session_id", "terminal_id").write.mode("append").parquet(source)
     feed = spark.readStream.schema(S.TRANSCRIPT).option("maxFilesPerTrigger", 2).parquet(source)
     ingest.run_ingest(feed, target, scratch_path(spark, "checkpoint"))
     return _recorded(spark.read.schema(ingest.EVENTS).parquet(target))
 
 
+def _quarters(rows):
+    """Four ranges of ``seq`` that together hold all of ``rows``, in order."""
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        return [rows]
+    step = (high - low) // 4 + 1
+    quarter = F.floor((F.col("seq") - low) / step)
+    return [rows.where(quarter == i) for i in range(4)]
+
+
 def _event_stream(spark, sf_dir):
     """The events table as a file stream, in the shape of the session view."""
     schema = V.table(spark, sf_dir, "events").schema

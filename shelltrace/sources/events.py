@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelltrace import schema as S
-from shelltrace.functions import patterns as P
 from shelltrace.functions import text as X
 from shelltrace.session import broadcast_if_bounded, prepare
 
@@ -140,7 +139,7 @@ def _read_log(spark, paths, schema, max_line_bytes, on_long_line) -> DataFrame:
 def read_events(
     spark: SparkSession,
     paths: str | list[str],
-    max_line_bytes: int | None = P.MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
     on_long_line: str = "error",
 ) -> DataFrame:
     """Events of JSON-lines logs, with ``seq`` and ``ts``.
@@ -155,7 +154,7 @@ def read_events(
 def read_processed_log(
     spark: SparkSession,
     paths: str | list[str],
-    max_line_bytes: int | None = P.MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
     on_long_line: str = "error",
 ) -> DataFrame:
     """Processed events of JSON-lines caches; same rules as ``read_events``."""

@@ -70,6 +70,11 @@ def rebuild_processed(events: DataFrame, path: str) -> None:
     merged.write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(BUCKET).parquet(path)
+    # A dynamic overwrite leaves buckets alone that it has no rows for.
+    emptied = buckets.join(F.broadcast(merged.select(BUCKET).distinct()), BUCKET, "left_anti")
+    nothing = merged.drop(BUCKET).limit(0)
+    for row in emptied.collect():
+        nothing.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BUCKET}={row[BUCKET]}")
 
 
 def _buckets_of(sessions: DataFrame) -> DataFrame:

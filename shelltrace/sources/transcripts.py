@@ -239,13 +239,14 @@ def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
 
 def read_transcripts(
     transcripts: DataFrame,
-    max_output_bytes: int = P.MAX_OUTPUT_BYTES,
+    max_output_bytes: int | None = None,
     order: LogOrder | None = None,
 ) -> DataFrame:
     """Events recorded in ``(session_id, terminal_id, seq, ts, payload)``.
 
     ``seq`` of the result numbers the markers of a terminal; an event's time
-    is that of the row in which its end marker ends.
+    is that of the row in which its end marker ends. ``max_output_bytes`` limits
+    the output of a command; it is not set unless asked for.
     """
     stream = _stream(transcripts)
     order = order or choose_order(stream, KEYS, max_window_rows=MAX_WINDOW_ROWS)
@@ -259,12 +260,15 @@ def read_transcripts(
     opened = F.when(F.col("i") == 0, F.col("capturing")).otherwise(
         F.get("bodies", F.col("i") - 1) == "S"
     )
-    room = F.greatest(
-        F.lit(max_output_bytes)
-        - F.when(F.col("i") == 0, F.col("captured")).otherwise(F.lit(0)),
-        F.lit(0),
-    )
-    # At most max_output_bytes bytes and one body reach a command's group.
+    shown = F.col("piece")
+    if max_output_bytes is not None:
+        # At most max_output_bytes bytes and one body reach a command's group.
+        room = F.greatest(
+            F.lit(max_output_bytes)
+            - F.when(F.col("i") == 0, F.col("captured")).otherwise(F.lit(0)),
+            F.lit(0),
+        )
+        shown = F.left("piece", room.cast("int"))
     pieces = (
         rows.select(
             *KEYS,
@@ -280,9 +284,7 @@ def read_transcripts(
             *KEYS,
             "seq",
             (F.col("n_before") + F.col("i")).alias("command"),
-            F.when(opened, F.left("piece", room.cast("int")))
-            .otherwise(F.lit(""))
-            .alias("piece"),
+            F.when(opened, shown).otherwise(F.lit("")).alias("piece"),
             body.alias("body"),
             F.when(body.isNotNull(), F.col("ts")).alias("ended"),
         )

@@ -1,8 +1,8 @@
 """Transcripts to events as a stream, with state per terminal.
 
 The state is what a terminal has open between two batches: bytes that may be
-the beginning of a marker, and the output captured so far, which is bounded.
-Input per batch is bounded by the source's trigger options.
+the beginning of a marker, and the output captured so far. Input per batch is
+bounded by the source's trigger options.
 """
 
 from __future__ import annotations
@@ -44,9 +44,13 @@ _STATE = T.StructType(
         T.StructField("output", T.BinaryType()),
         T.StructField("n_markers", T.LongType()),
         T.StructField("n_events", T.LongType()),
+        T.StructField("last_seq", T.LongType()),
     ]
 )
 
+#: Bytes of an unfinished marker beyond which ingest stops with an error.
+MAX_MARKER_BYTES = 64 << 20
+
 _START, _END = P.MARKER_START.encode(), P.MARKER_END.encode()
 _MARKER = re.compile(re.escape(_START) + rb"([^\x07]*)" + _END)
 
@@ -63,27 +67,46 @@ def _open_at(text: bytes) -> int:
 class _Terminal:
     """What is open in one terminal."""
 
-    def __init__(self, state: tuple, max_output: int, max_events: int | None):
-        pending, self.capturing, output, self.n_markers, self.n_events = state
-        self.pending, self.output = bytes(pending), bytearray(output)
-        self.max_output, self.max_events = max_output, max_events
+    def __init__(
+        self,
+        state: tuple,
+        max_output: int | None,
+        max_events: int | None,
+        max_marker: int = MAX_MARKER_BYTES,
+    ):
+        pending, self.capturing, output, self.n_markers, self.n_events, self.last_seq = state
+        self.pending, self.output = bytearray(pending), bytearray(output)
+        self.max_output, self.max_events, self.max_marker = max_output, max_events, max_marker
 
     def state(self) -> tuple:
         return (
-            self.pending,
+            bytes(self.pending),
             self.capturing,
             bytes(self.output),
             self.n_markers,
             self.n_events,
+            self.last_seq,
         )
 
     def _capture(self, text: bytes) -> None:
         if self.capturing:
-            self.output += text[: self.max_output - len(self.output)]
+            room = None if self.max_output is None else self.max_output - len(self.output)
+            self.output += text[:room]
+
+    def follow(self, seq: int) -> None:
+        """Take note of the next row's place; rows out of order are an error."""
+        if self.last_seq is not None and seq <= self.last_seq:
+            raise ValueError(f"row {seq} of a terminal arrived after row {self.last_seq}")
+        self.last_seq = seq
 
     def read(self, payload: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         """``(command, output, body)`` of the commands that end in ``payload``."""
-        data, at = self.pending + payload, 0
+        if self.pending.startswith(_START) and _END not in payload:
+            # Nothing but an end can follow, so nothing is searched again.
+            self.pending += payload
+            self._check_marker()
+            return
+        data, at = bytes(self.pending) + payload, 0
         for marker in _MARKER.finditer(data):
             self._capture(data[at : marker.start()])
             at, body = marker.end(), marker.group(1)
@@ -100,19 +123,28 @@ class _Terminal:
         rest = data[at:]
         keep = _open_at(rest)
         self._capture(rest[:keep])
-        self.pending = rest[keep:]
+        self.pending = bytearray(rest[keep:])
+        self._check_marker()
+
+    def _check_marker(self) -> None:
+        if len(self.pending) > self.max_marker:
+            raise ValueError(f"a marker is longer than {self.max_marker} bytes")
 
 
 def ingest_stream(
     feed: DataFrame,
-    max_output_bytes: int = P.MAX_OUTPUT_BYTES,
-    max_events: int | None = P.MAX_EVENTS_PER_TERMINAL,
+    max_output_bytes: int | None = None,
+    max_events: int | None = None,
     idle_seconds: int | None = None,
+    max_marker_bytes: int = MAX_MARKER_BYTES,
 ) -> DataFrame:
     """Events from a stream of ``(session_id, terminal_id, seq, ts, payload)``.
 
-    The rows of a terminal arrive in ``seq`` order from batch to batch.
-    ``max_events`` limits the events per terminal. A terminal without input
+    The rows of a terminal arrive in ``seq`` order from batch to batch; a row
+    that is late, repeated or without ``seq`` stops the stream with an error,
+    as does an unfinished marker of more than ``max_marker_bytes``.
+    ``max_output_bytes`` limits the output of a command, ``max_events`` the
+    events per terminal; neither is set unless asked for. A terminal without input
     for ``idle_seconds`` is forgotten, with anything it has left open.
     """
 
@@ -122,14 +154,18 @@ def ingest_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        start = state.get if state.exists else (b"", False, b"", 0, 0)
-        terminal = _Terminal(start, max_output_bytes, max_events)
+        start = state.get if state.exists else (b"", False, b"", 0, 0, None)
+        terminal = _Terminal(start, max_output_bytes, max_events, max_marker_bytes)
         rows = pd.concat(frames).sort_values("seq")
-        found = [
-            (*key, *command, ts)
-            for payload, ts in zip(rows["payload"], rows["ts"])
-            for command in terminal.read(bytes(payload))
-        ]
+        if rows["seq"].isna().any():
+            raise ValueError("rows of a terminal without seq have no order")
+        found = []
+        for seq, payload, ts in zip(rows["seq"], rows["payload"], rows["ts"]):
+            terminal.follow(int(seq))
+            found += [
+                (*key, *command, ts)
+                for command in terminal.read(b"" if payload is None else bytes(payload))
+            ]
         state.update(terminal.state())
         if idle_seconds is not None:
             state.setTimeoutDuration(idle_seconds * 1000)

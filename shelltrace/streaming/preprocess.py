@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from shelltrace.functions import patterns as P
 from shelltrace.operators.clean import cap_duration
 from shelltrace.sources.processed import BUCKET, build_processed
 
@@ -12,14 +11,15 @@ from shelltrace.sources.processed import BUCKET, build_processed
 def preprocess_stream(
     events: DataFrame,
     sessions: DataFrame | None = None,
-    max_seconds: int = P.MAX_SESSION_SECONDS,
+    max_seconds: int = 0,
 ) -> DataFrame:
     """The rows to store for a stream of events.
 
     Every stage is stateless, so nothing is kept between batches. With
-    ``sessions``, events past a session's maximum duration are dropped.
+    ``sessions`` and ``max_seconds``, events past a session's maximum duration
+    are dropped.
     """
-    if sessions is not None:
+    if sessions is not None and max_seconds > 0:
         events = cap_duration(events, sessions, max_seconds)
     return build_processed(events)
 
@@ -29,7 +29,7 @@ def run_preprocess(
     path: str,
     checkpoint: str,
     sessions: DataFrame | None = None,
-    max_seconds: int = P.MAX_SESSION_SECONDS,
+    max_seconds: int = 0,
 ) -> None:
     """Append the available input of a stream to the processed table."""
     query = (

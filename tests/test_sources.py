@@ -145,6 +145,11 @@ def test_stored_rows_are_redacted_and_rebuilt_by_session(spark, tmp_path):
     processed.rebuild_processed(event_rows(spark, [("s1", 0, "id", ""), ("s9", 0, "w", "")]), path)
     counts = dict(map(tuple, processed.read_processed(spark, path).groupBy("session_id").count().collect()))
     assert counts == {"s0": 3, "s1": 1, "s2": 3, "s3": 3, "s4": 3, "s9": 1}
+    # Nothing is left of s1, which may be alone in its bucket.
+    for gone in ("s1", "s9"):
+        processed.rebuild_processed(event_rows(spark, [(gone, 0, "ls", "")]), path)
+    counts = dict(map(tuple, processed.read_processed(spark, path).groupBy("session_id").count().collect()))
+    assert counts == {"s0": 3, "s2": 3, "s3": 3, "s4": 3}
 
 
 def test_staleness(spark):

@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 import models
 from test_sources import event_rows
@@ -48,6 +51,30 @@ def test_event_cap_per_terminal(spark, tmp_path):
     assert min(r.ts for r in rows) >= BASE.replace(tzinfo=None)
 
 
+def test_late_rows_stop_the_stream(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    df = table(spark, streams(6, 3))
+    with pytest.raises(Exception, match="arrived after row"):
+        for part in (df.where("seq >= 1"), df.where("seq < 1")):
+            part.coalesce(1).write.mode("append").parquet(feed)
+            stream = spark.readStream.schema(S.TRANSCRIPT).parquet(feed)
+            ingest.run_ingest(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+
+
+def test_open_marker_costs_linear_time():
+    terminal = ingest._Terminal((b"", False, b"", 0, 0, None), None, None)
+    began = time.time()
+    assert not list(terminal.read(b"\x1b]7770;"))
+    for _ in range(2000):
+        assert not list(terminal.read(b"x" * 4096))
+    assert time.time() - began < 1
+    assert not list(terminal.read(b"\x07\x1b]7770;S\x07out\x1b]77"))
+    assert list(terminal.read(b"70;E;0\x07")) == [(1, b"out", b"E;0")]
+    short = ingest._Terminal((b"", False, b"", 0, 0, None), None, None, max_marker=20)
+    with pytest.raises(ValueError, match="longer than 20"):
+        list(short.read(b"\x1b]7770;" + b"x" * 20))
+
+
 def test_preprocess_stream_equals_batch(spark, tmp_path):
     log = event_rows(
         spark,
