@@ -5,13 +5,17 @@ the graph, however many copies there are.
 
 1. Centres are picked among the points of each label, evenly by hash, so many
    that a shard stays bounded. A point goes to the shards of all centres whose
-   angle is within ``reach`` of its nearest one: shards overlap.
+   angle is within ``reach`` of its nearest one: shards overlap. With a reach
+   of the threshold's angle at least, of two linked points one is always in
+   the other's nearest shard: from one point to the other, the difference of
+   the angles to the two nearest centres changes its sign, and changes by at
+   most twice their angle.
 2. In each shard every point gets neighbours by robust pruning: the nearest
    candidate stays and rules out those that are much closer to it than to the
    point, and so on. A second round adds all reverse edges.
 3. The adjacency lists that a point has in its shards are united.
-4. Each point is searched for in its shards, from the shard's medoid and along
-   the united edges: the best few points met are expanded until nothing better
+4. Each point is searched for in its nearest shard, from the medoids of the
+   graph's connected parts and from itself, along the united edges: the best few points met are expanded until nothing better
    turns up, then all that lie within the range, widened by a margin, until no
    such point is left.
 5. What is found is verified in double precision.
@@ -45,8 +49,8 @@ THRESHOLD = 0.98
 SHARD_POINTS = 1_000
 #: Centres of a label up to which they are compared with all its points.
 MAX_CENTRES = 4_096
-#: Degrees by which another centre may be farther than the nearest one.
-REACH = 12.0
+#: Degrees by which the reach exceeds the threshold's angle, for rounding.
+REACH_SLACK = 0.05
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 32
@@ -180,20 +184,41 @@ def build_graph(unit: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) ->
     return graph
 
 
-def medoid(unit: np.ndarray) -> int:
-    return int((unit @ unit.mean(axis=0)).argmax())
+def medoids(unit: np.ndarray, graph: list[np.ndarray]) -> np.ndarray:
+    """The medoid of each connected part of the graph.
+
+    Dense groups may have no edge to the rest, so one medoid does not lead to
+    all points.
+    """
+    n = len(unit)
+    part = np.arange(n)
+    flat = np.concatenate([np.append(near, i) for i, near in enumerate(graph)])
+    starts = np.concatenate([[0], np.cumsum([len(near) + 1 for near in graph])[:-1]])
+    while True:
+        least = np.minimum.reduceat(part[flat], starts)
+        least = least[least]
+        if (least == part).all():
+            break
+        part = least
+    sums = np.zeros_like(unit)
+    np.add.at(sums, part, unit)
+    order = np.lexsort((-(unit * sums[part]).sum(axis=1), part))
+    return order[np.flatnonzero(np.diff(part[order], prepend=-1))]
 
 
 def range_search(
-    query: int, unit: np.ndarray, graph: list[np.ndarray], start: int, threshold: float,
+    query: int, unit: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, threshold: float,
     beam: int = BEAM, margin: float = MARGIN,
 ) -> np.ndarray:
     """Points within ``threshold`` of ``query`` that the graph leads to."""
     goal = unit[query]
     seen = np.zeros(len(unit), dtype=bool)
-    seen[start] = True
-    pool, cosine = np.array([start]), np.array([unit[start] @ goal])
-    done = np.zeros(1, dtype=bool)
+    pool = np.union1d(starts, [query])
+    seen[pool] = True
+    cosine = unit[pool] @ goal
+    order = np.argsort(-cosine, kind="stable")
+    pool, cosine = pool[order], cosine[order]
+    done = np.zeros(len(pool), dtype=bool)
     wide = threshold - margin
     while True:
         # The best few, and all within the widened range.
@@ -239,10 +264,10 @@ def _searcher(threshold: float):
             near = np.asarray(near, dtype=np.int64)
             at = np.clip(np.searchsorted(points, near), 0, len(points) - 1)
             graph.append(at[points[at] == near])
-        start = medoid(unit)
+        starts = medoids(unit, graph)
         out_a, out_b = [], []
-        for i in range(len(points)):
-            found = range_search(i, unit, graph, start, threshold)
+        for i in np.flatnonzero(shard["own"].to_numpy()):
+            found = range_search(i, unit, graph, starts, threshold)
             a = np.minimum(points[i], points[found])
             out_a.append(a)
             out_b.append(np.maximum(points[i], points[found]))
@@ -262,9 +287,14 @@ def vector_links(
     points: DataFrame,
     threshold: float = THRESHOLD,
     shard_points: int = SHARD_POINTS,
-    reach: float = REACH,
+    reach: float | None = None,
 ) -> DataFrame:
-    """Linked points ``(a, b)``, each pair once, found by graph search."""
+    """Linked points ``(a, b)``, each pair once, found by graph search.
+
+    ``reach`` is in degrees; by default the threshold's angle.
+    """
+    if reach is None:
+        reach = float(np.degrees(np.arccos(threshold))) + REACH_SLACK
     shards = write_through(assigned(points, shard_points, reach), "vector-shards")
     graph = shards.groupBy("label", "shard").applyInPandas(
         _build, "label string, point long, near array<long>"

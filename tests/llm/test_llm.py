@@ -185,6 +185,21 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102))
 
 
+def test_vector_groups_apart():
+    """A search finds the members of a dense group that no edge leads to."""
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(3, 16)), 100, axis=0)
+    v += rng.normal(size=v.shape) * 0.02
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    graph = vectors.build_graph(unit)
+    starts = vectors.medoids(unit, graph)
+    assert sorted(starts // 100) == [0, 1, 2]
+    for i in range(0, 300, 7):
+        true = np.flatnonzero(unit @ unit[i] >= 0.98)
+        assert list(vectors.range_search(i, unit, graph, starts, 0.98)) == list(true[true != i])
+    assert list(vectors.medoids(unit[:1], vectors.build_graph(unit[:1]))) == [0]
+
+
 def test_chat(spark):
     rows = [
         ("c", 0, "user", "How are you?\nI am fine"),
