@@ -10,7 +10,7 @@ slice must know of its neighbours is computed from one summary row per slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -134,10 +134,7 @@ class LogOrder:
             *self.group,
             *[across(name, v).alias(name) for name, v in values.items()],
         )
-        # A null key is a group like any other.
-        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in self.group]
-        carried = carried.withColumnsRenamed({c: f"_of_{c}" for c in self.group})
-        return df.join(carried, same).drop(*[f"_of_{c}" for c in self.group])
+        return join_by(df, carried, self.group)
 
     def _carry_in_window(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
         # In order, although order is of no account, to share the rows' sort.
@@ -298,6 +295,13 @@ def _walk(
 SLICES_PER_SPAN = 1024
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on equal ``keys``; a null key is a group like any other."""
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    right = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    return left.join(right, same).drop(*[f"_of_{c}" for c in keys])
+
+
 def start_states(
     slices: DataFrame, keys: tuple[str, ...], slice_col: str, ends: str
 ) -> DataFrame:
@@ -331,7 +335,7 @@ def start_states(
         )
     )
     return (
-        spans.join(walked, [*keys, "_span"])
+        join_by(spans, walked, (*keys, "_span"))
         .withColumn("_states", _walk(F.col(f"_s.{ends}"), F.col("_start")))
         .select(
             *keys,

@@ -12,6 +12,7 @@ from shelltrace.operators.ordered import (
     choose_order,
     fold_ends_udf,
     fold_path_udf,
+    join_by,
     number_rows,
     start_states,
 )
@@ -159,7 +160,7 @@ def merge_small(
             *order.group, fold_ends_udf(step, min_commands)(sizes).alias("_ends")
         )
         states = start_states(ends, order.keys, "_slice", "_ends")
-        lists = lists.join(states, order.group).withColumn(
+        lists = join_by(lists, states, order.group).withColumn(
             "_pending", path(sizes, F.col("state"))
         )
     else:
@@ -234,7 +235,7 @@ def assign_chunks(
     merged = merge_small(split_table(split, order), order, min_commands)
     position = F.col("event_index") - F.col("chunk_start") + 1
     return (
-        split.join(merged, [*order.keys, "split_start"])
+        join_by(split, merged, (*order.keys, "split_start"))
         .withColumn("chunk_position", position.cast("long"))
         .drop("split_start", "chunk_start")
     )

@@ -148,12 +148,10 @@ def process_log(spark, sf_dir):
 
 
 def cached_log(spark, sf_dir):
-    cached = to_cached(V.sessions_log(spark, sf_dir))
-    versions = cached.groupBy("cache_version", "tool_name").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.octet_length("processed_stdout")).alias("n_bytes"),
+    return to_cached(V.sessions_log(spark, sf_dir)).select(
+        F.col("cache_version").cast("long").alias("cache_version"),
+        "seq", "session_id", "tool_name", "processed_stdout",
     )
-    return versions.withColumn("cache_version", F.col("cache_version").cast("long"))
 
 
 def preprocess_log(spark, sf_dir):
@@ -307,11 +305,16 @@ def session_type(spark, sf_dir):
 
 def session_type_view(spark, sf_dir):
     log = clean.clean_events(V.sessions_log(spark, sf_dir))
-    return _flat_types(detect.detect_sessions(log.where("stdin not like 'go%'")))
+    kind = F.when(F.col("stdin").like("go%"), "-build").otherwise("-scan")
+    log = log.withColumn("session_id", F.concat("session_id", kind))
+    return _flat_types(detect.detect_sessions(log))
 
 
 def template_choice(spark, sf_dir):
-    log = V.commands_log(spark, sf_dir).where("seq % 29 between 10 and 19")
+    # Sessions by kinds of commands, so that several templates are chosen.
+    log = V.commands_log(spark, sf_dir).withColumn(
+        "session_id", F.expr("concat(session_id, '-', seq % 29 div 10)")
+    )
     chosen = templates.choose_templates(detect.detect_sessions(log))
     return templates.with_template(chosen).select(
         "session_id", "template", (F.length("system") > 0).alias("has_system")

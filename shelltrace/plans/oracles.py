@@ -315,6 +315,10 @@ typed AS (
 """
 _CV_TOOLS = "SELECT session_id, seq, stdin, tool FROM cv JOIN tools USING (stdin)"
 _SV_TOOLS = r"SELECT session_id, seq, stdin, regexp_extract(stdin, '^(?:sudo )?(\w+)', 1) AS tool FROM clean"
+_BY_KIND = f"""SELECT concat(session_id, CASE WHEN stdin LIKE 'go%' THEN '-build' ELSE '-scan' END) AS session_id,
+  seq, stdin, tool FROM ({_SV_TOOLS})"""
+_BY_COMMANDS = f"""SELECT concat(session_id, '-', CAST(seq % 29 // 10 AS VARCHAR)) AS session_id,
+  seq, stdin, tool FROM ({_CV_TOOLS})"""
 
 
 def _line(number: str, repeats: bool) -> str:
@@ -505,8 +509,8 @@ ORACLES: dict[str, str] = {
     "process_events": f"""WITH {_SV}, {_processed("sv")}
         SELECT seq, session_id, tool_name, processed_stdout, repeat_count FROM processed""",
     "cached_events": f"""WITH {_SV}, {_processed("sv")}
-        SELECT CAST(2 AS BIGINT) AS cache_version, tool_name, count(*) AS n_rows,
-          CAST(sum(octet_length(encode(processed_stdout))) AS BIGINT) AS n_bytes FROM processed GROUP BY tool_name""",
+        SELECT CAST(2 AS BIGINT) AS cache_version, seq, session_id, tool_name, processed_stdout
+        FROM processed""",
     "preprocess_events": f"""WITH {_DEDUPED}
         SELECT seq, session_id, stdin, tool_name, processed_stdout, repeat_count FROM dedup""",
     "event_cap": _EVENT_CAP,
@@ -535,10 +539,10 @@ ORACLES: dict[str, str] = {
           CAST(signal_ord AS BIGINT) AS signal_ord FROM signals""",
     "session_type": f"""WITH RECURSIVE {_CV}, {_BASE_TOOL}, {_signals(_CV_TOOLS)}, {_TYPES}
         SELECT session_id, session_type, confidence, reasons FROM typed""",
-    "session_type_view": f"""WITH {_SV}, {_CLEAN}, {_signals(_SV_TOOLS + " WHERE stdin NOT LIKE 'go%'")}, {_TYPES}
+    "session_type_view": f"""WITH {_SV}, {_CLEAN}, {_signals(_BY_KIND)}, {_TYPES}
         SELECT session_id, session_type, confidence, reasons FROM typed""",
     "template_choice": f"""WITH RECURSIVE {_CV}, {_BASE_TOOL},
-        {_signals(_CV_TOOLS + " WHERE seq % 29 BETWEEN 10 AND 19")}, {_TYPES}
+        {_signals(_BY_COMMANDS)}, {_TYPES}
         SELECT session_id, CASE WHEN confidence >= 0.3 THEN session_type ELSE 'educational' END AS template,
           true AS has_system FROM typed""",
     "command_list": f"WITH {_DEDUPED}, {_LISTS} SELECT session_id, CAST(0 AS BIGINT) AS part, text FROM lists",

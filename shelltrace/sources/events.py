@@ -198,6 +198,8 @@ def count_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-empty lines per log directory, malformed ones included:
     ``(session_id, n_lines)``, the session being the file's folder."""
     folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    # Spark gives paths percent-encoded, with plus signs as they are.
+    folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
     folder = F.regexp_replace(folder, "^session_id=", "")
     lines = _read_lines(spark, paths, [folder.alias("session_id")])
     if lines is None:

@@ -49,8 +49,13 @@ def write_requests(requests: DataFrame, path: str) -> None:
 
 
 def parse_fragments(lines: DataFrame) -> DataFrame:
-    """Decode ``value`` into ``content`` and ``done``, keeping other columns."""
-    decoded = lines.withColumn("_f", F.from_json("value", S.FRAGMENT))
+    """Decode ``value`` into ``content`` and ``done``, keeping other columns.
+
+    A fragment that is not valid stops the query: a response without it would
+    pass for whole.
+    """
+    fragment = F.from_json("value", S.FRAGMENT, {"mode": "FAILFAST"})
+    decoded = lines.withColumn("_f", fragment)
     return decoded.select(
         *[c for c in lines.columns if c != "value"],
         F.coalesce("_f.message.content", F.lit("")).alias("content"),
@@ -88,12 +93,12 @@ def render_reports(
     """Report documents: a header line, a blank line and the response.
 
     ``responses`` is ``(session_id, part, content)``; the first part carries
-    the header.
+    the header. A session without metadata has the version ``unknown``.
     """
     now = F.current_timestamp() if generated_at is None else generated_at
     header = F.concat(
         F.lit(f"<!-- Generated by {generator} "),
-        F.col("version"),
+        F.coalesce("version", F.lit("unknown")),
         F.lit(" | Session "),
         F.col("session_id"),
         F.lit(" | "),
@@ -101,7 +106,7 @@ def render_reports(
         F.lit(" -->\n\n"),
     )
     return responses.join(
-        sessions.select("session_id", "version"), "session_id"
+        sessions.select("session_id", "version"), "session_id", "left"
     ).select(
         "session_id",
         "part",

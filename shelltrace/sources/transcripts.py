@@ -23,6 +23,7 @@ from shelltrace.operators.ordered import (
     Before,
     LogOrder,
     choose_order,
+    join_by,
     suffix_before,
 )
 from shelltrace.session import write_through
@@ -140,7 +141,7 @@ def _whole_markers(stream: DataFrame, order: LogOrder) -> DataFrame:
     """The stream with every marker in one row: the row that holds its end."""
     rows = _cuts(stream, order)
     if order.sliced:
-        rows = stream.join(rows, [*KEYS, "seq"])
+        rows = join_by(stream, rows, (*KEYS, "seq"))
     shifted = F.concat("lead", "bytes")
     rows = rows.withColumn(
         "bytes",
@@ -255,7 +256,7 @@ def read_transcripts(
         segments = write_through(segments, "transcript")
     rows = _captures(segments, order)
     if order.sliced:
-        rows = segments.join(rows, [*KEYS, "seq"])
+        rows = join_by(segments, rows, (*KEYS, "seq"))
     body = F.get("bodies", F.col("i"))
     opened = F.when(F.col("i") == 0, F.col("capturing")).otherwise(
         F.get("bodies", F.col("i") - 1) == "S"

@@ -227,3 +227,13 @@ def test_request_body_and_report_header(spark):
     docs = reports.render_reports(responses, meta(spark, "s"), "tool", now).orderBy("part").collect()
     assert docs[0].body == "<!-- Generated by tool 0.1.0 | Session s | 2024-02-01T01:02:03Z -->\n\n# R"
     assert docs[1].body == "more"
+
+
+def test_broken_fragment_stops_and_missing_metadata_does_not(spark):
+    lines = [("r", i, v) for i, v in enumerate(['{"message":{"content":"a"}}', "junk"])]
+    broken = reports.parse_fragments(spark.createDataFrame(lines, "request_id string, seq long, value string"))
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        broken.collect()
+    answers = spark.createDataFrame([("other", 0, "x")], "session_id string, part long, content string")
+    (doc,) = reports.render_reports(answers, meta(spark, "s"), "tool").collect()
+    assert "tool unknown | Session other" in doc.body and doc.body.endswith("x")

@@ -34,7 +34,8 @@ def random_sessions(seed, count=40):
         for _ in range(rnd.randrange(1, 60)):
             t += rnd.choice([1, 1, 1, 30, 299, 300, 301, 900, -50])
             events.append((t, rnd.choice("ab"), rnd.choice("xxy")))
-        sessions[f"s{s}"] = events
+        # A null key is a session like any other.
+        sessions[f"s{s}" if s else None] = events
     return sessions
 
 
@@ -42,9 +43,9 @@ def random_sessions(seed, count=40):
 def test_dedup_matches_model(spark, order):
     sessions = random_sessions(3)
     got = sequence.dedup_consecutive(frame(spark, sessions), order)
-    got = sorted((r.session_id, r.seq, r.repeat_count) for r in got.collect())
+    got = sorted((r.session_id or "", r.seq, r.repeat_count) for r in got.collect())
     want = sorted(
-        (sid, i, n)
+        (sid or "", i, n)
         for sid, events in sessions.items()
         for i, n in models.dedup([(c, o, 1) for _, c, o in events])
     )
@@ -69,9 +70,10 @@ def test_chunks_match_model(spark, order, limits):
         for c, members in enumerate(models.chunks(times, max_commands, gap, min_commands)):
             for p, i in enumerate(members):
                 want.append(
-                    (sid, i, c, p + 1, len(members), i,
+                    (sid or "", i, c, p + 1, len(members), i,
                      base + times[members[0]], base + times[members[-1]])
                 )
+    got = got.fillna("", ["session_id"])
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
@@ -111,9 +113,9 @@ def test_assemble_parts_join_to_the_whole(spark, order):
 def test_first_rows(spark, order):
     df = frame(spark, random_sessions(9)).where("seq % 3 > 0")
     got = first_rows(df, order, 4)
-    rows = sorted((r.session_id, r.seq) for r in got.collect())
+    rows = sorted((r.session_id or "", r.seq) for r in got.collect())
     assert rows == sorted(
-        (r.session_id, r.seq) for r in df.where("seq in (1, 2, 4, 5)").collect()
+        (r.session_id or "", r.seq) for r in df.where("seq in (1, 2, 4, 5)").collect()
     )
 
 
