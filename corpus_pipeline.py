@@ -54,19 +54,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = near.near_duplicates(docs)
     wordless = F.col("n_shingles") == 0
-    first = F.col("id").eqNullSafe(F.col("component_id"))
+    # Ids repeat and may be null, so the text's key belongs to the component's.
+    first = F.col("id").eqNullSafe(F.col("component_id")) & (
+        F.col("text_key") == F.col("component_key")
+    )
     kept = (
         found.where(wordless | first)
-        # Texts that share the first id: the smallest key stands for them.
-        .groupBy("id", wordless.alias("_wordless"))
-        .agg(F.collect_set("text_key").alias("_all"), F.min("text_key").alias("_least"))
         .select(
             F.col("id").alias("_id"),
-            F.explode(F.when(F.col("_wordless"), F.col("_all")).otherwise(F.array("_least"))).alias(
-                "_key"
-            ),
-            "_wordless",
+            F.col("text_key").alias("_key"),
+            wordless.alias("_wordless"),
         )
+        .distinct()
     )
     kept = write_through(kept, "kept-documents")
     rows = docs.withColumn("_key2", text_key(F.col("text"))).join(

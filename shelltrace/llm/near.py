@@ -360,11 +360,14 @@ def near_duplicates(
     trees: int = TREES,
     levels: int = LEVELS,
 ) -> DataFrame:
-    """``id text_key n_shingles class_id n_links component_id`` per document.
-
-    ``class_id`` is the smallest id with the same shingles, ``component_id``
-    the smallest that links lead to, the document's own included. ``n_links``
-    counts the other documents that are linked directly.
+    """``id text_key n_shingles class_id n_links component_id component_key``.
+
+    One row per document. ``class_id`` is the smallest id with the same
+    shingles, ``component_id`` the smallest that links lead to, the document's
+    own included. ``component_key`` is the ``text_key`` of the component's
+    first document by id, then by key: ids may repeat, the two together tell
+    components apart. ``n_links`` counts the other documents that are linked
+    directly.
     """
     rows = write_through(signed(docs, id_col, text_col, trees, levels), "signatures")
     nulls_last = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
@@ -441,11 +444,20 @@ def near_duplicates(
     ends = (
         joined.withColumnRenamed("node", "class")
         .join(firsts, "component")
-        .select("class", F.col("first.id").alias("component_id"))
+        .select(
+            "class",
+            F.col("first.id").alias("component_id"),
+            F.col("first.text_key").alias("component_key"),
+        )
     )
     counts = linked.groupBy("class").agg(F.sum("links").alias("links"))
     facts = (
-        classes.select("class", "size", F.col("first.id").alias("class_id"))
+        classes.select(
+            "class",
+            "size",
+            F.col("first.id").alias("class_id"),
+            F.col("first.text_key").alias("_class_key"),
+        )
         .join(counts, "class", "left")
         .join(ends.withColumn("_c", F.lit(True)), "class", "left")
     )
@@ -463,4 +475,8 @@ def near_duplicates(
         .when(F.col("_c"), F.col("component_id"))
         .otherwise(F.col("class_id"))
         .alias("component_id"),
+        F.when(own, F.col("text_key"))
+        .when(F.col("_c"), F.col("component_key"))
+        .otherwise(F.col("_class_key"))
+        .alias("component_key"),
     )

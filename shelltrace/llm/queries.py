@@ -53,7 +53,7 @@ def op3_url_filter(spark, sf_dir):
 
 def op4_ngram_jaccard(spark, sf_dir):
     found = near.near_duplicates(_table(spark, sf_dir, "documents"))
-    return found.drop("text_key").withColumnRenamed("id", "doc_id")
+    return found.drop("text_key", "component_key").withColumnRenamed("id", "doc_id")
 
 
 def op5_toxicity(spark, sf_dir):
