@@ -5,9 +5,13 @@
 2. Own and quoted lines are normalised (A-Z in lower case, runs of blanks as
    one) and hashed. A quoted line of level n is a line that was of level n - 1
    in the message that is answered.
-3. Quoted lines are joined to the lines of earlier messages of the same
+3. Quoted lines are joined to the lines of all earlier messages of the same
    conversation by hash. Of those that hold quoted lines, a message answers
-   the one that shares most of them, the latest among equals.
+   the one that shares most of them, the latest among equals. Lines that many
+   messages of a conversation hold are not joined one by one: messages with
+   the same set of them are one class, and classes are compared. A message
+   that shares none of the rarer lines shares what its class does, and one
+   that shares some of them is counted with both, so the count is exact.
 4. Conversations are put in order of replies: a thread is a message that
    answers none with all that answer it, directly or not; threads follow each
    other as they begin, messages of a thread as they were sent. Quotes are
@@ -15,8 +19,10 @@
 
 The result has one row per message, with its place; a conversation is its
 rows in order, so none is gathered however long it is. Lines are matched by
-conversation and hash; of a line that is quoted, the messages of one
-conversation that hold it are ordered in one window.
+conversation and hash. The messages of one class, and those that quote from it,
+are ordered in one window; where the messages of a conversation combine common
+lines in very many ways, there is a row per message and class that it quotes
+from.
 
 Nulls and corner cases: a null text has no lines and gives an empty text; a
 message that quotes nothing known answers none and begins a thread; messages
@@ -38,6 +44,8 @@ from shelltrace.session import cut_lineage, write_through
 _MARKS = r"^(?:[ \t]?>)*"
 #: Turns of a conversation that are numbered in one window.
 SPAN = 4_096
+#: Holders in a conversation up to which a quoted line is joined to each.
+COMMON = 32
 
 
 def parsed_lines(text: Column) -> Column:
@@ -75,32 +83,87 @@ def linked_replies(messages: DataFrame) -> DataFrame:
         .select("conv", "turn", F.inline("lines"))
         .withColumn("passage", _normal(F.col("line")))
         .where("passage <> ''")
-        .select("conv", "turn", "level", F.xxhash64("passage").alias("h"))
+        .select(
+            "conv",
+            "turn",
+            F.xxhash64("level", "passage").alias("held"),
+            F.when(F.col("level") > 0, F.xxhash64(F.col("level") - 1, "passage")).alias("asked"),
+        )
         .distinct()
     )
     lines = write_through(lines, "chat-lines")
-    quoted = lines.where("level > 0").withColumn("level", F.col("level") - 1)
-    asked = quoted.select("conv", "level", "h").distinct()
-    # Only lines that someone quotes are ordered; of a line that many messages
-    # hold, a quote takes the nearest one before it.
-    held = lines.join(asked, ["conv", "level", "h"], "left_semi")
-    marked = held.withColumn("asks", F.lit(0)).unionByName(
-        quoted.withColumn("asks", F.lit(1))
-    )
-    before = (
-        W.partitionBy("conv", "level", "h")
-        .orderBy("turn", F.desc("asks"))
-        .rowsBetween(W.unboundedPreceding, -1)
+    asked = lines.where("asked is not null").select("conv", "turn", F.col("asked").alias("h"))
+    held = lines.select("conv", "turn", F.col("held").alias("h"))
+    # Only lines that someone quotes count; those of them that many hold are common.
+    sizes = (
+        held.join(asked.select("conv", "h").distinct(), ["conv", "h"], "left_semi")
+        .groupBy("conv", "h")
+        .agg((F.count(F.lit(1)) > COMMON).alias("common"))
     )
-    nearest = (
-        marked.withColumn(
-            "reply_to", F.last(F.when(F.col("asks") == 0, F.col("turn")), True).over(before)
+    sizes = write_through(sizes, "chat-passages")
+    held = write_through(held.join(sizes, ["conv", "h"]), "chat-held")
+    asked = write_through(asked.join(sizes, ["conv", "h"]), "chat-asked")
+
+    def common(rows: DataFrame, name: str) -> DataFrame:
+        """Per message its common lines, sorted."""
+        found = rows.where("common").groupBy("conv", "turn")
+        return found.agg(F.sort_array(F.collect_set("h")).alias(name))
+
+    holders = write_through(common(held, "hs"), "chat-holders")
+    askers = write_through(common(asked, "qs"), "chat-askers")
+    rare = (
+        asked.where("not common")
+        .select("conv", "h", "turn")
+        .join(
+            held.where("not common").select("conv", "h", F.col("turn").alias("reply_to")),
+            ["conv", "h"],
         )
-        .where("asks = 1 and reply_to is not null")
+        .where("reply_to < turn")
         .groupBy("conv", "turn", "reply_to")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return nearest.groupBy("conv", "turn").agg(
+    both = (
+        rare.join(askers, ["conv", "turn"], "left")
+        .join(holders.withColumnRenamed("turn", "reply_to"), ["conv", "reply_to"], "left")
+        .select(
+            "conv",
+            "turn",
+            "reply_to",
+            F.when(
+                F.col("qs").isNotNull() & F.col("hs").isNotNull(),
+                F.col("n") + F.size(F.array_intersect("qs", "hs")),
+            )
+            .otherwise(F.col("n"))
+            .alias("n"),
+        )
+    )
+    # Of a class only its latest message before the quote can be the answered one.
+    quoting = askers.select("conv", "qs").distinct()
+    held_by = holders.select("conv", "hs").distinct()
+    classes = (
+        quoting.withColumn("h", F.explode("qs"))
+        .join(held_by.withColumn("h", F.explode("hs")), ["conv", "h"])
+        .groupBy("conv", "qs", "hs")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    classes = write_through(classes, "chat-classes")
+    marked = holders.select(
+        "conv", "hs", "turn", F.lit(0).alias("asks"), F.lit(0).cast("long").alias("n")
+    ).unionByName(
+        askers.join(classes, ["conv", "qs"]).select(
+            "conv", "hs", "turn", F.lit(1).alias("asks"), "n"
+        )
+    )
+    before = (
+        W.partitionBy("conv", "hs")
+        .orderBy("turn", F.desc("asks"))
+        .rowsBetween(W.unboundedPreceding, -1)
+    )
+    latest = marked.withColumn(
+        "reply_to", F.last(F.when(F.col("asks") == 0, F.col("turn")), True).over(before)
+    ).where("asks = 1 and reply_to is not null")
+    shared = both.unionByName(latest.select("conv", "turn", "reply_to", "n"))
+    return shared.groupBy("conv", "turn").agg(
         F.max(F.struct("n", "reply_to"))["reply_to"].alias("reply_to")
     )
 
