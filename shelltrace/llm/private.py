@@ -9,7 +9,11 @@ distinct entities get distinct ones:
   of its case, all else stays. IP addresses keep to numbers up to 255 and card
   numbers to their leading digit and check digit, phone numbers their country
   code. Names after a title are drawn from lists of its gender; names in other
-  scripts than Latin get letters of the block that each letter is from.
+  scripts than Latin get letters of the range that each letter is from, or
+  Latin ones where its range is short.
+* A name is each word of the run of names after a title, with inner capitals,
+  hyphens and apostrophes; initials and particles between them stay. Within a
+  document all mentions of such a word are the name, with a title or without.
 * Surrogates are checked together: one that two entities of a type share goes
   to the smaller of them, one that is itself an entity to none. The others try
   again, until no collision is left.
@@ -25,6 +29,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,33 +45,48 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\d)",
     "card": r"(?<!\w)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
     "secret": r"\bAKIA[0-9A-Z]{12,16}\b|(?<=password=)\w{6,}|(?<=token = \")\w{16,}(?=\")",
-    "man": r"(?<=\b(?:Mr|Herr|Sr)\b\.? )\p{Lu}\p{Ll}+",
-    "woman": r"(?<=\b(?:Mrs|Ms|Frau|Mme|Sra)\b\.? )\p{Lu}\p{Ll}+",
 }
+#: Titles that a name follows, and one word of a name.
+TITLES = {
+    "man": r"(?<=\b(?:Mr|Herr|Sr)\b\.? )",
+    "woman": r"(?<=\b(?:Mrs|Ms|Frau|Mme|Sra)\b\.? )",
+}
+_NAME = (
+    r"(?:\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{Lu}[\p{L}\p{M}]*)+"
+    r"|\p{Lu}[\p{L}\p{M}]+|\p{Lo}[\p{L}\p{M}]*)"
+)
+_PART = rf"(?:(?:\p{{Lu}}\. ?)|(?:van|von|der|den|de|da|dos|di|du|la|le|al|el|bin|ibn|zu|zur) )*{_NAME}"
+_RUN = rf"{_PART}(?: {_PART})*"
 NAMES = {
     "man": "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Noel Otto Paul".split(),
     "woman": "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula".split(),
 }
 _KINDS = list(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Where a letter's block has a range of letters of its own, by code point.
-_BLOCKS = ((0x0430, 32), (0x0410, 32), (0x03B1, 17), (0x0391, 17), (0x4E00, 8192))
+
+
+def _ranges(least: int = 16) -> list[tuple[int, int]]:
+    """``(first, size)`` of runs of letters of one sort beyond Latin-1."""
+    sorts = ((c, unicodedata.category(chr(c))) for c in range(0x100, 0x10000))
+    runs = (list(run) for _, run in groupby(sorts, lambda x: x[1]))
+    return [(r[0][0], len(r)) for r in runs if r[0][1] in ("Lu", "Ll", "Lo") and len(r) >= least]
+
+
+#: Where letters have a range of their own, by code point.
+_BLOCKS = _ranges()
 KEY = "key of the deployment"
 
 
 def _kind(entity: Column) -> Column:
     """The first type whose whole form ``entity`` has."""
     def whole(kind: str) -> Column:
-        if kind == "secret":
-            return ~entity.rlike(r"^\p{Lu}\p{Ll}+$")
-        if kind in NAMES:
-            return F.lit(False)
         return entity.rlike(rf"^(?:{PATTERNS[kind]})$")
 
     found = F
-    for kind in _KINDS[:5]:
+    for kind in _KINDS[:-1]:
         found = found.when(whole(kind), kind)
-    return found.otherwise("name")
+    # What precedes a secret is no part of it.
+    return found.otherwise(_KINDS[-1])
 
 
 def _normal(entity: Column) -> Column:
@@ -83,16 +105,20 @@ def _same_form(entity: Column, seed: Column) -> Column:
         out = F.when(c.between("0", "9"), _drawn(seed, i, F.lit(10)).cast("string"))
         out = out.when(c.between("a", "z"), F.char(_drawn(seed, i, F.lit(26)) + 97))
         out = out.when(c.between("A", "Z"), F.char(_drawn(seed, i, F.lit(26)) + 65))
-        for first, size in _BLOCKS:
-            letters = F.lit("".join(chr(first + k) for k in range(min(size, 256))))
-            size = min(size, 256)
-            inside = c.between(chr(first), chr(first + size - 1))
-            out = out.when(inside, F.substring(letters, _drawn(seed, i, F.lit(size)) + 1, F.lit(1)))
         accented = F.lit("àáâäèéêëìíîïòóôöùúûü")
         out = out.when(
             c.between("à", "ÿ"), F.substring(accented, _drawn(seed, i, F.lit(20)) + 1, F.lit(1))
         )
-        return out.otherwise(c)
+        other = F
+        for first, size in _BLOCKS:
+            drawn = F.lpad(F.hex(_drawn(seed, i, F.lit(size)) + first), 4, "0")
+            other = other.when(
+                code.between(first, first + size - 1), F.decode(F.unhex(drawn), "UTF-16BE")
+            )
+        # Other letters have too few like them.
+        other = other.when(c.rlike(r"^\p{Lu}"), F.char(_drawn(seed, i, F.lit(26)) + 65))
+        other = other.when(c.rlike(r"^\p{L}"), F.char(_drawn(seed, i, F.lit(26)) + 97))
+        return out.when(code > 127, other.otherwise(c)).otherwise(c)
 
     # The empty pattern splits between characters.
     return F.array_join(F.transform(F.split(entity, ""), letter), "")
@@ -139,6 +165,9 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
             (named == gender) & entity.rlike(r"^\p{IsLatin}+$"),
             F.when(attempt > 0, longer).otherwise(listed),
         ).otherwise(pick)
+    # Short names have few forms.
+    grown = F.concat(form, F.substring(_same_form(F.repeat(entity, 9), seed), F.lit(1), attempt - 9))
+    form = F.when(kind.isin(*NAMES) & (attempt > 9), grown).otherwise(form)
     return (
         F.when(kind == "ip", ip)
         .when(kind == "card", card)
@@ -149,9 +178,33 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
     )
 
 
-def entities_of(text: Column) -> Column:
-    """Matches of any form, in order."""
-    return F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
+def names_of(text: Column, kind: str) -> Column:
+    """Distinct words of the names after a title of ``kind``."""
+    runs = F.regexp_extract_all(text, F.lit(TITLES[kind] + _RUN), F.lit(0))
+    words = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(_NAME), F.lit(0))))
+    return F.when(text.rlike(TITLES[kind]), F.array_distinct(words)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def _pattern(names: Column) -> Column:
+    """The form of any entity of a text with these names, longest first."""
+    ranked = F.transform(names, lambda n: F.struct(-F.length(n), n.alias("n")))
+    listed = F.transform(F.array_sort(ranked), lambda x: x["n"])
+    spaced = F.filter(listed, lambda n: ~n.rlike(r"^\p{Lo}"))
+    dense = F.filter(listed, lambda n: n.rlike(r"^\p{Lo}"))
+    letter = r"[\p{L}\p{M}\p{N}_]"
+    return F.concat(
+        F.lit(_ANY),
+        F.when(
+            F.size(spaced) > 0,
+            F.concat(
+                F.lit(f"|(?<!{letter})(?:"), F.array_join(spaced, "|"), F.lit(f")(?!{letter})")
+            ),
+        ).otherwise(""),
+        # Scripts without case may do without blanks.
+        F.when(F.size(dense) > 0, F.concat(F.lit("|"), F.array_join(dense, "|"))).otherwise(""),
+    )
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -190,11 +243,14 @@ def replace_private(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY
 ) -> DataFrame:
     """``docs`` with surrogates in the text, and ``n_entities``."""
+    women, men = names_of(F.col(text_col), "woman"), names_of(F.col(text_col), "man")
     rows = docs.select(
         F.col(id_col).alias("_id"),
         text_key(F.col(text_col)).alias("_key"),
-        F.explode(F.array_distinct(_mentions(F.col(text_col)))).alias("m"),
-    )
+        F.col(text_col).alias("_text"),
+        women.alias("_women"),
+        men.alias("_men"),
+    ).select("_id", "_key", F.explode(F.array_distinct(_mentions(F.col("_text")))).alias("m"))
     mentions = write_through(
         rows.select("_id", "_key", F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity"))
         .distinct(),
@@ -216,14 +272,15 @@ def replace_private(
         _mentions(F.col(text_col)),
         lambda m: F.element_at("_map", F.concat_ws("\x1f", m["kind"], m["entity"])),
     )
-    gaps = F.split(F.col(text_col), _ANY)
+    gaps = F.split(F.col(text_col), _pattern(F.concat("_women", "_men")))
     whole = F.concat(
         F.array_join(F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, s: F.array(g, s))), ""),
         F.element_at(gaps, -1),
     )
     kept = [c for c in docs.columns if c != "n_entities"]
     key2 = text_key(F.col(text_col))
-    joined = docs.select(*kept, key2.alias("_key2")).join(
+    marked = docs.select(*kept, key2.alias("_key2"), women.alias("_women"), men.alias("_men"))
+    joined = marked.join(
         maps, (F.col("_key2") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left"
     )
     touched = F.col("_map").isNotNull()
@@ -237,17 +294,14 @@ def replace_private(
 
 
 def _mentions(text: Column) -> Column:
-    """``(kind, entity)`` of each match; names are told apart by their title."""
+    """``(kind, entity)`` of each match; ``_women`` and ``_men`` hold the names."""
     def typed(e: Column) -> Column:
-        name = F.when(
-            text.rlike(r"\b(?:Mrs|Ms|Frau|Mme|Sra)\b\.? \p{Lu}")
-            & F.array_contains(women, e),
-            "woman",
-        ).otherwise("man")
-        kind = _kind(e)
-        return F.struct(
-            F.when(kind == "name", name).otherwise(kind).alias("kind"), _normal(e).alias("entity")
+        kind = (
+            F.when(F.array_contains("_women", e), "woman")
+            .when(F.array_contains("_men", e), "man")
+            .otherwise(_kind(e))
         )
+        return F.struct(kind.alias("kind"), _normal(e).alias("entity"))
 
-    women = F.regexp_extract_all(text, F.lit(PATTERNS["woman"]), F.lit(0))
-    return F.transform(entities_of(text), typed)
+    found = F.regexp_extract_all(text, _pattern(F.concat("_women", "_men")), F.lit(0))
+    return F.transform(found, typed)
