@@ -1,20 +1,20 @@
-"""N-gram Jaccard join by a forest of MinHash prefix tries.
+"""N-gram Jaccard join by bands of MinHash values.
 
 Documents are sets of shingles of five words; two are linked when the Jaccard
 similarity of their sets is at least the threshold.
 
 1. Documents with equal sets form a class; from here on a class is one row,
    however many copies it has.
-2. Each class has a signature of MinHash values, dealt out as labels to the
-   trees of a forest. A tree is the trie of its labels; two classes match to
-   the depth to which their labels agree.
-3. The depth that counts is shortened level by level, from whole labels, until
-   the chance that two classes at the threshold agree to that depth in some
-   tree reaches the target recall (:func:`match_depth`). Nodes that hold too
+2. Each class has a signature of MinHash values, dealt out as labels to trees.
+   A tree is a band here: two classes match in it when the beginnings of their
+   labels are equal, to a depth that is the same for all.
+3. The depth follows from the threshold alone: the longest beginning with which
+   the chance that two classes at the threshold agree in some tree
+   reaches the target recall (:func:`match_depth`). Nodes that hold too
    many classes are not expanded into pairs: all are tied to the smallest one.
 4. Candidates of small nodes stay if their whole signatures agree about as
-   much as those of linked classes do; chances of losing a link here are below
-   one in a billion. What the rest ties together is a cluster.
+   much as those of linked classes do; the chance of losing a link at the
+   threshold here is about 1.7e-8. What the rest ties together is a cluster.
 5. Within each cluster every two classes are compared exactly, on their texts,
    in units of two blocks of a bounded number of classes; large clusters have
    many units. Units return sums and local components, no pairs.
