@@ -1,4 +1,4 @@
-"""Deduplication of lines by winnowing.
+"""Deduplication of lines by hashes of whole windows.
 
 A run is a sequence of lines of one document, blank ones left out. A run of at
 least ``min_words`` words that repeats an earlier run, in an earlier document
@@ -7,15 +7,14 @@ order of id (null last), then of a hash of their text.
 
 1. Lines are hashed without the blanks around them.
 2. A window is the shortest run of at least ``min_words`` words that begins at
-   a line, and likewise one that ends at a line. The smallest line hash in it
-   is its fingerprint, at the leftmost line that has it. Equal windows have
-   equal fingerprints, and every run of ``min_words`` words holds the window
-   of its first line, so no repeated run is without a common fingerprint.
-3. Fingerprints are joined across documents; those that occur once are done.
-4. A fingerprint is extended both ways to the ends of the windows that chose
-   it, which are compared whole. The windows of all lines of a run together
-   reach from its first to its last line, so the union of the repeated windows
-   is the repeated runs, each as long as it matches.
+   a line, and likewise one that ends at a line. Every line keeps its windows;
+   none is thinned out. A window is known by the hash of all its lines, and
+   carries its smallest line hash along, which equal windows share.
+3. Windows that are equal learn the first position of their equals; those that
+   occur once are done.
+4. Nothing is extended: the windows of all lines of a run together reach from
+   its first to its last line, so the union of the repeated windows is the
+   repeated runs, each as long as it matches.
 
 The first copy of a line is never deleted, so no content is lost. Nothing is
 done per pair of copies: a window learns the first position of its equals from
