@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelltrace.llm import chat, decontaminate, lines, mix, near, private, toxic, urls, vectors, warc
+from shelltrace.llm import (
+    chat,
+    decontaminate,
+    importance,
+    lines,
+    mix,
+    near,
+    private,
+    toxic,
+    urls,
+    vectors,
+    warc,
+)
 
 
 def _table(spark, sf_dir, name):
@@ -94,6 +106,13 @@ def op10_warc(spark, sf_dir):
     )
 
 
+def op11_importance(spark, sf_dir):
+    found = importance.resample(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
@@ -105,4 +124,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_warc": op10_warc,
+    "op11_importance": op11_importance,
 }
