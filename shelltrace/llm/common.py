@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelltrace.session import BROADCAST_ROWS, cut_lineage
+from shelltrace.session import BROADCAST_ROWS, cut_lineage, write_through
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators of words in running text: space and the ASCII controls 9 to 13.
@@ -45,6 +47,32 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def positions(rows: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in the order of the columns ``order``.
+
+    Rows are partitioned by ranges of the order, and a place is that within
+    the range after the sizes of the ranges before. No two rows may have equal
+    ``order`` columns, so that no range need be larger than another.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number's upper bits are the range, the lower ones the place in it.
+    number = F.col("_at")
+    placed = write_through(
+        ordered.withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright(number, 33))
+        .withColumn("_at", number.bitwiseAND(F.lit((1 << 33) - 1))),
+        f"{name}-ranges",
+    )
+    # As many rows as there are shuffle partitions.
+    sizes = sorted(map(tuple, placed.groupBy("_range").count().collect()))
+    before = accumulate((n for _, n in sizes), initial=0)
+    starts = rows.sparkSession.createDataFrame(
+        [(r, b) for (r, _), b in zip(sizes, before)], "_range long, _before long"
+    )
+    joined = placed.join(F.broadcast(starts), "_range")
+    return joined.withColumn(name, F.col("_before") + number).drop("_range", "_at", "_before")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of ``edges``: ``(node, component)``.
 

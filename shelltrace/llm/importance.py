@@ -31,12 +31,10 @@ those named are ignored.
 from __future__ import annotations
 
 import math
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelltrace.llm.common import compared_words, text_key
+from shelltrace.llm.common import compared_words, positions, text_key
 from shelltrace.session import write_through
 
 BUCKETS = 10_000
@@ -55,20 +53,27 @@ def feature_buckets(
     text: Column, longest: int = LONGEST_RUN, buckets: int = BUCKETS
 ) -> Column:
     """Buckets of all runs of 1 to ``longest`` words, repeats counted."""
-    words = compared_words(text)
-
     def bucket(feature: Column) -> Column:
         return F.pmod(F.crc32(feature), F.lit(buckets)).cast("int")
 
-    found = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        runs = F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " ")),
+    def runs(words: Column, n: int) -> Column:
+        if n == 1:
+            return F.transform(words, bucket)
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
+            lambda i: i + (n - 1) <= F.size(words),
+        )
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
+
+    if longest == 1:
+        return runs(compared_words(text), 1)
+    # An array of one, so that the words are made once and not for every run.
+    return F.flatten(
+        F.transform(
+            F.array(compared_words(text)),
+            lambda words: F.concat(*[runs(words, n) for n in range(1, longest + 1)]),
         )
-        found.append(runs)
-    return found[0] if longest == 1 else F.concat(*found)
+    )
 
 
 def bucket_counts(rows: DataFrame, text_col: str, longest: int, buckets: int) -> dict[int, int]:
@@ -179,28 +184,6 @@ def drawn(scored: DataFrame, need: int) -> Column:
 ORDER = ("by_score", "by_id", "text_key", "row")
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``rank``, from 1 in the order of :data:`ORDER`."""
-    ordered = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    # The number's upper bits are the range, the lower ones the place in it.
-    placed = write_through(
-        ordered.withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_range", F.shiftright("_at", 33))
-        .withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)),
-        "ranked",
-    )
-    # As many rows as there are shuffle partitions.
-    sizes = sorted(map(tuple, placed.groupBy("_range").count().collect()))
-    before = accumulate((n for _, n in sizes), initial=0)
-    starts = rows.sparkSession.createDataFrame(
-        [(r, b) for (r, _), b in zip(sizes, before)], "_range long, _before long"
-    )
-    joined = placed.join(F.broadcast(starts), "_range")
-    return joined.withColumn("rank", F.col("_before") + F.col("_at") + 1).drop(
-        "_range", "_at", "_before"
-    )
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,
@@ -237,4 +220,6 @@ def resample(
     left = scored.where(~taken).select(*columns, F.lit(None).cast("long").alias("rank"))
     if need <= 0:
         return left
-    return ranked(scored.where(taken)).select(*columns, "rank").unionByName(left)
+    ranked = positions(scored.where(taken), ORDER, "place")
+    ranked = ranked.select(*columns, (F.col("place") + 1).alias("rank"))
+    return ranked.unionByName(left)
