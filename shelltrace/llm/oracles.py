@@ -167,10 +167,40 @@ SELECT doc_id, n_features, weight, score,
 FROM placed
 """
 
+OP13 = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents
+), item AS (
+  SELECT row_number() OVER () AS q, item_id, {_WORDS.format("text")} AS w FROM benchmark
+), asked AS (
+  SELECT q, t, count(*) AS qtf FROM (SELECT q, unnest(w) AS t FROM item) GROUP BY q, t
+), size AS (
+  SELECT count(*) AS n, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l FROM doc WHERE len(w) > 0
+), post AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc)
+  WHERE t IN (SELECT t FROM asked) GROUP BY r, t
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM post GROUP BY t), size
+), impact AS (
+  SELECT r, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * n) // l)) AS x
+  FROM post JOIN doc USING (r), size
+), scored AS (
+  SELECT q, r, CAST(sum(qtf * w * x) AS BIGINT) AS score
+  FROM asked JOIN weight USING (t) JOIN impact USING (t) GROUP BY q, r
+), placed AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank
+  FROM scored JOIN doc USING (r) JOIN item USING (q) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
 ORACLES = {
     "op2_decontaminate": OP2,
     "op3_url_filter": OP3,
     "op10_warc": OP10,
     "op8_line_dedup": OP8,
     "op11_importance": OP11,
+    "op13_lexical_search": OP13,
 }

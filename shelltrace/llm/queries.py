@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from shelltrace.llm import (
     chat,
+    credentials,
     decontaminate,
     importance,
+    lexical,
     lines,
     mix,
     near,
@@ -113,6 +115,30 @@ def op11_importance(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = credentials.secrets(docs, repo=F.concat_ws("/", docs["source"], docs["lang"]))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+        "n_live",
+        "n_copied",
+    )
+
+
+def op13_lexical_search(spark, sf_dir):
+    found = lexical.search(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
@@ -125,4 +151,6 @@ QUERIES = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_warc": op10_warc,
     "op11_importance": op11_importance,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_lexical_search": op13_lexical_search,
 }
