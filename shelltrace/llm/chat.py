@@ -20,7 +20,8 @@
 The result has one row per message, with its place; a conversation is its
 rows in order, so none is gathered however long it is. Lines are matched by
 conversation and hash. The messages of one class, and those that quote from it,
-are ordered in one window; where the messages of a conversation combine common
+are ordered in windows of bounded spans of turns, places by ranges of the order
+over all conversations; where the messages of a conversation combine common
 lines in very many ways, there is a row per message and class that it quotes
 from.
 
@@ -38,11 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelltrace.llm.common import ascii_lower
+from shelltrace.llm.common import ascii_lower, positions
 from shelltrace.session import cut_lineage, write_through
 
-_MARKS = r"^(?:[ \t]?>)*"
-#: Turns of a conversation that are numbered in one window.
+# Possessive, so that a line of very many marks needs no stack.
+_MARKS = r"^(?:[ \t]?+>)*+"
+#: Turns of a conversation that are looked at in one window.
 SPAN = 4_096
 #: Holders in a conversation up to which a quoted line is joined to each.
 COMMON = 32
@@ -68,8 +70,9 @@ def _normal(line: Column) -> Column:
 def own_text(lines: Column) -> Column:
     """The lines of level 0, without blank ones at either end."""
     own = F.filter(lines, lambda x: x["level"] == 0)
-    return F.regexp_replace(
-        F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\s+|\s+$", ""
+    # A pattern would look for the end from every blank.
+    return F.trim(
+        F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(" \t\n\x0b\x0c\r")
     )
 
 
@@ -154,20 +157,37 @@ def linked_replies(messages: DataFrame) -> DataFrame:
             "conv", "hs", "turn", F.lit(1).alias("asks"), "n"
         )
     )
-    before = (
-        W.partitionBy("conv", "hs")
-        .orderBy("turn", F.desc("asks"))
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    latest = marked.withColumn(
-        "reply_to", F.last(F.when(F.col("asks") == 0, F.col("turn")), True).over(before)
-    ).where("asks = 1 and reply_to is not null")
+    latest = _latest_holders(marked).where("asks = 1 and reply_to is not null")
     shared = both.unionByName(latest.select("conv", "turn", "reply_to", "n"))
     return shared.groupBy("conv", "turn").agg(
         F.max(F.struct("n", "reply_to"))["reply_to"].alias("reply_to")
     )
 
 
+def _latest_holders(marked: DataFrame) -> DataFrame:
+    """``marked`` with ``reply_to``, the latest turn before a row's that holds
+    its class's lines.
+
+    Ordered within spans of turns; of earlier spans a row knows their latest.
+    """
+    marked = write_through(
+        marked.withColumn("span", F.expr(f"cast(turn as bigint) div {SPAN}")), "chat-marked"
+    )
+    holder = F.when(F.col("asks") == 0, F.col("turn"))
+    earlier = W.partitionBy("conv", "hs").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    spans = marked.groupBy("conv", "hs", "span").agg(F.max(holder).alias("last"))
+    spans = spans.withColumn("last", F.max("last").over(earlier))
+    spans = write_through(spans.where("last is not null"), "chat-spans")
+    before = (
+        W.partitionBy("conv", "hs", "span")
+        .orderBy("turn", F.desc("asks"))
+        .rowsBetween(W.unboundedPreceding, -1)
+    )
+    within = marked.withColumn("reply_to", F.last(holder, True).over(before))
+    joined = within.where("asks = 1").join(spans, ["conv", "hs", "span"], "left")
+    return joined.withColumn("reply_to", F.coalesce("reply_to", "last")).drop("last", "span")
+
+
 def threads(replies: DataFrame) -> DataFrame:
     """``conv turn thread``: the turn that begins the thread of an answer.
 
@@ -216,26 +236,27 @@ def format_chats(
     ).drop("_conv", "_turn")
     done = done.withColumn("thread", F.coalesce("thread", "turn"))
     done = write_through(
-        done.withColumn("_span", F.expr(f"cast(thread as bigint) div {SPAN}")), "chat-messages"
+        # Ranges are found from a sample of the order, so it holds no whole text.
+        done.withColumns(
+            {
+                "_head": F.left("text", F.lit(32)),
+                "_digest": F.xxhash64("text", "n_quoted"),
+                "_row": F.monotonically_increasing_id(),
+            }
+        ),
+        "chat-messages",
     )
     known = F.col("conv").isNotNull() & F.col("turn").isNotNull()
-    # Places are counted within spans of threads and carried over by one row
-    # per span, so that a long conversation is not numbered in one task.
-    earlier = W.partitionBy("conv").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    spans = (
-        done.where(known)
-        .groupBy("conv", "_span")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    within = W.partitionBy("conv", "_span").orderBy("thread", "turn", "role", "text", "n_quoted")
-    placed = (
-        done.where(known)
-        .withColumn("_at", F.row_number().over(within) - 1)
-        .join(spans, ["conv", "_span"])
-        .withColumn("place", (F.col("_before") + F.col("_at")).cast("long"))
+    # Numbered over all conversations by ranges of the order, so that neither a
+    # long conversation nor a long thread nor a repeated row is one task.
+    placed = positions(
+        done.where(known),
+        ("conv", "thread", "turn", "role", "_head", "_digest", "_row"),
+        "place",
     )
+    starts = placed.groupBy("conv").agg(F.min("place").alias("_start"))
+    starts = write_through(starts, "chat-starts")
+    placed = placed.join(starts, "conv").withColumn("place", F.col("place") - F.col("_start"))
     loose = done.where(~known).withColumn("place", F.lit(None).cast("long"))
     columns = ["conv", "turn", "role", "text", "reply_to", "thread", "place", "n_quoted"]
     return placed.select(columns).union(loose.select(columns))
