@@ -29,6 +29,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from itertools import groupby
 
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 from shelltrace.llm.common import text_key
 from shelltrace.session import cut_lineage, write_through
 
-# The forms of entities, titles and names.
+# The forms of entities, titles and names. Repetitions are
+# possessive, and an address begins where no other could, so that a text is
+# searched in one pass and without a stack however long its words are.
 PATTERNS = {
-    "email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
+    "email": r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)++",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     "phone": r"(?<![\w+])\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\d)",
     "card": r"(?<!\w)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
@@ -52,11 +55,11 @@ TITLES = {
     "woman": r"(?<=\b(?:Mrs|Ms|Frau|Mme|Sra)\b\.? )",
 }
 _NAME = (
-    r"(?:\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{Lu}[\p{L}\p{M}]*)+"
-    r"|\p{Lu}[\p{L}\p{M}]+|\p{Lo}[\p{L}\p{M}]*)"
+    r"(?:\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{Lu}[\p{L}\p{M}]*+)++"
+    r"|\p{Lu}[\p{L}\p{M}]++|\p{Lo}[\p{L}\p{M}]*+)"
 )
-_PART = rf"(?:(?:\p{{Lu}}\. ?)|(?:van|von|der|den|de|da|dos|di|du|la|le|al|el|bin|ibn|zu|zur) )*{_NAME}"
-_RUN = rf"{_PART}(?: {_PART})*"
+_PART = rf"(?:(?:\p{{Lu}}\. ?)|(?:van|von|der|den|de|da|dos|di|du|la|le|al|el|bin|ibn|zu|zur) )*+{_NAME}"
+_RUN = rf"{_PART}(?: {_PART})*+"
 NAMES = {
     "man": "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Noel Otto Paul".split(),
     "woman": "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula".split(),
@@ -74,7 +77,8 @@ def _ranges(least: int = 16) -> list[tuple[int, int]]:
 
 #: Where letters have a range of their own, by code point.
 _BLOCKS = _ranges()
-KEY = "key of the deployment"
+#: The session setting that holds the key of a deployment.
+KEY_SETTING = "spark.shelltrace.surrogates.key"
 
 
 def _kind(entity: Column) -> Column:
@@ -100,6 +104,9 @@ def _drawn(seed: Column, i: Column, n: Column) -> Column:
 
 def _same_form(entity: Column, seed: Column) -> Column:
     """``entity`` with other letters and digits of the same sorts."""
+    listed = json.dumps([{"first": first, "size": size} for first, size in _BLOCKS])
+    blocks = F.from_json(F.lit(listed), "array<struct<first:int,size:int>>")
+
     def letter(c: Column, i: Column) -> Column:
         code = F.ascii(c)
         out = F.when(c.between("0", "9"), _drawn(seed, i, F.lit(10)).cast("string"))
@@ -109,12 +116,13 @@ def _same_form(entity: Column, seed: Column) -> Column:
         out = out.when(
             c.between("à", "ÿ"), F.substring(accented, _drawn(seed, i, F.lit(20)) + 1, F.lit(1))
         )
-        other = F
-        for first, size in _BLOCKS:
-            drawn = F.lpad(F.hex(_drawn(seed, i, F.lit(size)) + first), 4, "0")
-            other = other.when(
-                code.between(first, first + size - 1), F.decode(F.unhex(drawn), "UTF-16BE")
-            )
+        # A table rather than a choice per range, which would be a large plan.
+        own = F.filter(
+            blocks, lambda b: code.between(b["first"], b["first"] + b["size"] - 1)
+        )
+        block = F.get(own, F.lit(0))
+        drawn = F.lpad(F.hex(_drawn(seed, i, block["size"]) + block["first"]), 4, "0")
+        other = F.when(F.size(own) > 0, F.decode(F.unhex(drawn), "UTF-16BE"))
         # Other letters have too few like them.
         other = other.when(c.rlike(r"^\p{Lu}"), F.char(_drawn(seed, i, F.lit(26)) + 65))
         other = other.when(c.rlike(r"^\p{L}"), F.char(_drawn(seed, i, F.lit(26)) + 97))
@@ -137,9 +145,11 @@ def _luhn(digits: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
-def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
-    """The replacement that ``attempt`` draws."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string")), 256)
+def surrogate(kind: Column, entity: Column, seed: Column, attempt: Column) -> Column:
+    """The replacement that ``seed`` draws, a column that holds it.
+
+    An expression would be worked out anew for every letter.
+    """
     form = _same_form(entity, seed)
     numbers = F.transform(
         F.split(entity, r"\."), lambda x, i: _drawn(seed, i, F.lit(254)) + 1
@@ -207,7 +217,7 @@ def _pattern(names: Column) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind entity surrogate`` for distinct ``(kind, entity)``.
 
     Rounds go on until no surrogate is taken twice or is an entity; from round
@@ -219,11 +229,14 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     attempt = 0
     real = left.select("kind", F.col("entity").alias("surrogate"))
     while True:
+        seed = F.concat_ws("\x1f", F.lit(key), "kind", "entity", F.lit(str(attempt)))
         tried = cut_lineage(
-            left.withColumn(
+            left.withColumn("_seed", F.sha2(seed, 256))
+            .withColumn(
                 "surrogate",
-                surrogate(F.col("kind"), F.col("entity"), key, F.lit(attempt)),
+                surrogate(F.col("kind"), F.col("entity"), F.col("_seed"), F.lit(attempt)),
             )
+            .drop("_seed")
         )
         free = tried.join(real, ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -240,9 +253,13 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replace_private(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY
+    docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with surrogates in the text, and ``n_entities``."""
+    """``docs`` with surrogates in the text, and ``n_entities``.
+
+    Whoever has ``key`` can tell which surrogate an entity has, so it is kept
+    with the deployment and not with the code.
+    """
     women, men = names_of(F.col(text_col), "woman"), names_of(F.col(text_col), "man")
     rows = docs.select(
         F.col(id_col).alias("_id"),
@@ -250,7 +267,7 @@ def replace_private(
         F.col(text_col).alias("_text"),
         women.alias("_women"),
         men.alias("_men"),
-    ).select("_id", "_key", F.explode(F.array_distinct(_mentions(F.col("_text")))).alias("m"))
+    ).select("_id", "_key", F.explode(_mentions(F.col("_text"), distinct=True)).alias("m"))
     mentions = write_through(
         rows.select("_id", "_key", F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity"))
         .distinct(),
@@ -293,7 +310,7 @@ def replace_private(
     )
 
 
-def _mentions(text: Column) -> Column:
+def _mentions(text: Column, distinct: bool = False) -> Column:
     """``(kind, entity)`` of each match; ``_women`` and ``_men`` hold the names."""
     def typed(e: Column) -> Column:
         kind = (
@@ -304,4 +321,5 @@ def _mentions(text: Column) -> Column:
         return F.struct(kind.alias("kind"), _normal(e).alias("entity"))
 
     found = F.regexp_extract_all(text, _pattern(F.concat("_women", "_men")), F.lit(0))
-    return F.transform(found, typed)
+    # Texts are told apart by hash; pairs would be compared one by one.
+    return F.transform(F.array_distinct(found) if distinct else found, typed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import functions as F
 
 from shelltrace.llm import (
@@ -83,7 +85,9 @@ def op6_chat_format(spark, sf_dir):
 
 
 def op7_private_surrogates(spark, sf_dir):
-    done = private.replace_private(_table(spark, sf_dir, "documents"))
+    # Without a key of the deployment, each run has one of its own.
+    key = spark.conf.get(private.KEY_SETTING, None) or token_hex(16)
+    done = private.replace_private(_table(spark, sf_dir, "documents"), key)
     return done.select("doc_id", "n_entities", "text")
 
 

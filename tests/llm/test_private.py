@@ -13,7 +13,7 @@ def test_whole_names_and_bare_mentions(spark):
         (6, "Mr Smith. The end; The Smiths."),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in private.replace_private(df).collect()}
+    got = {r.doc_id: r for r in private.replace_private(df, "a key").collect()}
     for name in ("Anna", "McDonald", "Donald"):
         assert name not in got[1].text
     assert "Jones left" not in got[1].text and got[1].n_entities >= 5
