@@ -7,10 +7,11 @@ these come from models that have not seen the row: the rows are dealt into
 folds by their key, and each fold is predicted by a model of the others. Later
 models so learn from probabilities as good as those they get in use.
 
-The models are fitted in one task on a bounded sample of the labelled rows:
-rows whose hashed key falls below a share of the range, so that ``max_rows``
-are expected, and of each the first ``FEATURES_PER_ROW`` distinct features.
-Scoring covers all rows, and all their words.
+The models are fitted in one task on a bounded sample of the labelled rows of
+``docs``, each with all its features: rows whose hashed number falls below a
+share of the range, so that neither ``max_rows`` rows nor ``MAX_FEATURES``
+features in all are exceeded in expectation. Scoring covers all rows, and all
+their words.
 
 Nulls and corner cases: a null text has no words and is scored by the
 intercepts; labelled rows with a null category or without a document are left
@@ -32,9 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelltrace.llm.common import compared_words
+from shelltrace.session import write_through
 
 MAX_ROWS = 20_000
-FEATURES_PER_ROW = 2_000
+MAX_FEATURES = 10_000_000
 FOLDS = 3
 FEATURES = 1 << 17
 PREFIX = 4
@@ -208,18 +210,25 @@ def fit_chain(
         labels[id_col].alias("_id"),
         *[c.cast("double").alias(n) for n, c in categories.items()],
     ).dropna()
-    total = known.count()
-    level = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
-    known = known.where(level < int((1 << 20) * min(1.0, max_rows / max(total, 1))))
-    sample = (
+    labelled = write_through(
         docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
         .join(known, "_id")
         .select(
-            F.slice(features(F.col("_text")), 1, FEATURES_PER_ROW).alias("features"),
+            features(F.col("_text")).alias("features"),
             F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(folds)).alias("fold"),
             F.array(*names).alias("labels"),
-            F.lit("sample").alias("task"),
-        )
+            # Ids repeat, so the sample is of rows.
+            F.xxhash64(F.monotonically_increasing_id()).alias("_number"),
+        ),
+        "labelled",
+    )
+    rows, total = labelled.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size("features").cast("long")), F.lit(0))
+    ).first()
+    share = min(1.0, max_rows / max(rows, 1), MAX_FEATURES / max(total, 1))
+    level = F.pmod("_number", F.lit(1 << 20))
+    sample = labelled.where(level < int((1 << 20) * share)).select(
+        "features", "fold", "labels", F.lit("sample").alias("task")
     )
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
