@@ -7,9 +7,9 @@ where the path of the URL starts with the rule's; the longest rule wins.
    and laid out as an array of keys, one of places and one of the strings.
    Each Python worker maps them into memory from a file, so that the pages
    are the machine's and not the worker's.
-2. A URL asks for every suffix of its host with every prefix of its path that
-   is as long as the path of some rule. All keys of a batch are looked up in
-   one binary search.
+2. A URL asks for every suffix of its host that has as many labels as the host
+   of some rule, with every prefix of its path that is as long as the path of
+   some rule. All keys of a batch are looked up in one binary search.
 3. What is found is compared with the stored string, so that two strings with
    the same key are told apart.
 
@@ -40,9 +40,9 @@ from shelltrace.session import write_through
 
 #: Rules are broadcast up to so many bytes of strings and keys.
 BROADCAST_BYTES = 64 << 20
-#: Rules of a shard beyond that.
+#: Rules of a shard beyond that, and distinct questions that a task puts to it.
 SHARD_RULES = 1 << 20
-_SALTS = 16
+TASK_QUESTIONS = 1 << 20
 
 
 class Digests(NamedTuple):
@@ -104,21 +104,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def questions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Host suffixes with path prefixes, longest first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))),
+def questions(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """Host suffixes of ``depths`` labels with path prefixes of ``lengths``."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+    def known(values: list[Column]) -> Column:
+        return F.filter(F.array(*values), lambda x: x.isNotNull())
+
+    suffixes = known(
+        [F.when(labels >= n, F.substring_index(host, ".", -n)) for n in sorted(depths)]
     )
-    prefixes = F.filter(
-        F.array(
-            *[
-                F.when(F.length(path) >= n, F.substring(path, 1, n))
-                for n in sorted(lengths, reverse=True)
-            ]
-        ),
-        lambda p: p.isNotNull(),
+    prefixes = known(
+        [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)]
     )
     every = F.flatten(
         F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))
@@ -171,23 +168,34 @@ def judge_urls(
     """
     spark = pages.sparkSession
     rule = F.concat(ascii_lower(F.col("host")), "path")
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
     rules = write_through(
-        rules.select(rule.alias("rule"), F.length("path").alias("n"), "verdict")
+        rules.select(
+            rule.alias("rule"),
+            F.length("path").alias("n"),
+            (dots + 1).alias("depth"),
+            "verdict",
+        )
         .where("rule is not null")
         .groupBy("rule")
-        .agg(F.min("verdict").alias("verdict"), F.collect_set("n").alias("n"))
+        .agg(
+            F.min("verdict").alias("verdict"),
+            F.collect_set("n").alias("n"),
+            F.collect_set("depth").alias("depth"),
+        )
         .withColumn("key", F.xxhash64("rule")),
         "url-rules",
     )
-    # At most as many as a path has characters.
+    # At most as many as a path has characters, or a host has labels.
     lengths = [r[0] for r in rules.select(F.explode("n")).distinct().collect()]
+    depths = [r[0] for r in rules.select(F.explode("depth")).distinct().collect()]
     host, path = host_and_path(pages[url_col])
     judged = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
     if not lengths:
         return judged.withColumn("rule", F.lit(None).cast("string")).withColumn(
             "verdict", F.lit(default)
         )
-    judged = judged.withColumn("asked", questions(F.col("host"), F.col("path"), lengths))
+    judged = judged.withColumn("asked", questions(F.col("host"), F.col("path"), depths, lengths))
     size = rules.agg(F.sum(F.octet_length("rule") + 80)).first()[0]
     if size <= broadcast_bytes:
         rows = rules.select("key", "rule", "verdict").collect()
@@ -206,12 +214,15 @@ def judge_urls(
         shards = -(-count // SHARD_RULES)
         shard = F.pmod(F.shiftrightunsigned("key", 16), F.lit(shards)).alias("shard")
         asked = judged.select("_row", F.explode("asked").alias("rule"))
-        distinct = asked.select("rule").distinct().withColumn("key", F.xxhash64("rule"))
+        distinct = write_through(
+            asked.select("rule").distinct().withColumn("key", F.xxhash64("rule")), "url-asked"
+        )
         # More groups than shards: the questions of a shard are spread.
-        spread = F.pmod(F.hash("rule"), F.lit(_SALTS)).alias("salt")
+        salts = -(-distinct.count() // (shards * TASK_QUESTIONS)) or 1
+        spread = F.pmod(F.hash("rule"), F.lit(salts)).alias("salt")
         known = (
             rules.select("key", "rule", shard)
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             .groupBy("shard", "salt")
             .cogroup(distinct.select("key", "rule", shard, spread).groupBy("shard", "salt"))
             .applyInPandas(_probe_shard, "rule string")
