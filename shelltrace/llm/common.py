@@ -89,8 +89,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         for larger in (True, False):
-            stars = _star(stars, larger)
-        stars = cut_lineage(stars)
+            stars = cut_lineage(_star(stars, larger))
         now = stars.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
@@ -118,6 +117,9 @@ def _star(stars: DataFrame, larger: bool) -> DataFrame:
         around = stars.toDF("node", "near")
     least = around.groupBy("node").agg(F.min("near").alias("_m"))
     least = least.withColumn("least", F.least("node", "_m")).drop("_m")
+    # Written first: of two scans adaptive execution can split a node with
+    # very many neighbours.
+    least = write_through(least, "stars")
     joined = around.join(least, "node")
     if larger:
         out = joined.where("near > node").select("near", "least")

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by bands of MinHash values.
+"""N-gram Jaccard join over a forest of MinHash tries.
 
 Documents are sets of shingles of five words; two are linked when the Jaccard
 similarity of their sets is at least the threshold.
@@ -6,11 +6,14 @@ similarity of their sets is at least the threshold.
 1. Documents with equal sets form a class; from here on a class is one row,
    however many copies it has.
 2. Each class has a signature of MinHash values, dealt out as labels to trees.
-   A tree is a band here: two classes match in it when the beginnings of their
-   labels are equal, to a depth that is the same for all.
-3. The depth follows from the threshold alone: the longest beginning with which
-   the chance that two classes at the threshold agree in some tree
-   reaches the target recall (:func:`match_depth`). Nodes that hold too
+   A tree is a trie of its classes' labels: a node is a beginning of a label,
+   and holds the classes that share it.
+3. Matching begins with whole labels and shortens them step by step. What the
+   matches of a depth find, by the similarity that their signatures show, tells
+   how much that depth overlooks: a pair of similarity s is met with a known
+   chance, so each one found stands for a few that were not
+   (:func:`estimated_recall`). The beginnings are shortened until the estimate
+   reaches the target, so the depth follows from the data. Nodes that hold too
    many classes are not expanded into pairs: all are tied to the smallest one.
 4. Candidates of small nodes stay if their whole signatures agree about as
    much as those of linked classes do; the chance of losing a link at the
@@ -34,6 +37,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +61,9 @@ _COLUMNS = 1 << 14
 _U = np.uint64
 
 
-def match_depth(
-    threshold: float = THRESHOLD,
-    target: float = TARGET_RECALL,
-    trees: int = TREES,
-    levels: int = LEVELS,
-) -> int:
-    """The longest prefix with which the forest still reaches ``target``."""
-    for depth in range(levels, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+def chance_met(similarity: float | Column, depth: int, trees: int):
+    """How likely two classes share a node of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -202,18 +198,28 @@ def _nodes(trees: int, levels: int, depth: int):
     return nodes
 
 
-def _alike(least: float):
-    @F.pandas_udf("boolean")
-    def alike(a, b):
-        import pandas as pd
+@F.pandas_udf("double")
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of equal values of two signatures."""
+    equal = [
+        np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) for x, y in zip(a, b)
+    ]
+    return pd.Series(equal, dtype=float)
 
-        out = [
-            np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) >= least
-            for x, y in zip(a, b)
-        ]
-        return pd.Series(out, dtype=bool)
 
-    return alike
+def estimated_recall(pairs: DataFrame, threshold: float, depth: int, trees: int) -> float:
+    """The share of the linked pairs that matching to ``depth`` has met.
+
+    A pair met with the chance p stands for 1 / p pairs. ``pairs`` has
+    ``alike``, the similarity that signatures show.
+    """
+    alike = F.greatest("alike", F.lit(threshold))
+    met, all_ = (
+        pairs.where(F.col("alike") >= threshold)
+        .agg(F.count(F.lit(1)), F.sum(1 / chance_met(alike, depth, trees)))
+        .first()
+    )
+    return met / all_ if met else chance_met(threshold, depth, trees)
 
 
 def candidate_edges(
@@ -223,7 +229,30 @@ def candidate_edges(
 
     ``classes`` has ``class`` and ``signature``.
     """
-    depth = match_depth(threshold, target, trees, levels)
+    spread = math.sqrt(threshold * (1 - threshold) / (trees * levels))
+    known = classes.select("class", "signature")
+    for depth in range(levels, 0, -1):
+        pairs, stars = _matched(classes, trees, levels, depth)
+        # Estimates do not foresee how many pairs there are.
+        checked = write_through(
+            pairs.hint("merge")
+            .join(known.toDF("a", "sa"), "a")
+            .hint("merge")
+            .join(known.toDF("b", "sb"), "b")
+            .select("a", "b", _similarity("sa", "sb").alias("alike"))
+            .where(F.col("alike") >= threshold - _SLACK * spread),
+            "forest-pairs",
+        )
+        if estimated_recall(checked, threshold, depth, trees) >= target:
+            break
+    return checked.select("a", "b").union(stars)
+
+
+def _matched(
+    classes: DataFrame, trees: int, levels: int, depth: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes that share a small node of ``depth``, and the classes
+    of large ones with the node's smallest."""
     members = write_through(
         classes.select("class", "signature").mapInArrow(
             _nodes(trees, levels, depth), "class binary, node long"
@@ -235,10 +264,10 @@ def candidate_edges(
         .agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"))
         .where("n > 1")
     )
+    # Written first: of two scans adaptive execution can split a full node.
+    nodes = write_through(nodes, "forest-counts")
     shared = write_through(members.join(nodes, "node"), "forest-shared")
-    stars = shared.where(F.col("n") > NODE_CLASSES).select(
-        F.col("class").alias("a"), F.col("least").alias("b")
-    )
+    stars = shared.where((F.col("n") > NODE_CLASSES) & (F.col("class") != F.col("least")))
     small = shared.where(F.col("n") <= NODE_CLASSES)
     listed = small.groupBy("node").agg(F.sort_array(F.collect_list("class")).alias("m"))
     # Within a small node each class meets the ones after it.
@@ -247,17 +276,7 @@ def candidate_edges(
         .select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(NODE_CLASSES))).alias("b"))
         .distinct()
     )
-    spread = math.sqrt(threshold * (1 - threshold) / (trees * levels))
-    known = classes.select("class", "signature")
-    # Estimates do not foresee how many pairs there are.
-    checked = (
-        pairs.hint("merge")
-        .join(known.toDF("a", "sa"), "a")
-        .hint("merge")
-        .join(known.toDF("b", "sb"), "b")
-        .where(_alike(threshold - _SLACK * spread)("sa", "sb"))
-    )
-    return checked.select("a", "b").union(stars.where("a <> b"))
+    return pairs, stars.select(F.col("class").alias("a"), F.col("least").alias("b"))
 
 
 def _counted(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
