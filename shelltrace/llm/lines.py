@@ -114,6 +114,8 @@ def repeated_runs(
         .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
         .where("n > 1")
     )
+    # Written first: of two scans adaptive execution can split a common window.
+    firsts = write_through(firsts, "line-firsts")
     later = (
         found.join(firsts, ["print", "content"])
         .where(place > F.col("place"))
