@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelltrace.llm.common import blank_words, bounded
+from shelltrace.llm.common import blank_words, bounded, text_key
 from shelltrace.session import write_through
 
 BLOCK_WORDS = 256
@@ -70,6 +70,7 @@ class Mix:
                 d[self.id_col].alias("id"),
                 d[self.source_col].alias("source"),
                 F.size(blank_words(d[self.text_col])).cast("long").alias("size"),
+                text_key(d[self.text_col]).alias("text_key"),
             ),
             "mix-sizes",
         )
@@ -135,7 +136,8 @@ class Mix:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """``(id source sid size source_size target offset)``: places in the streams.
+        """``(id source sid size source_size target offset)``: places of documents
+        with words in the streams.
 
         Offsets are summed in buckets that hold documents of all sources, and
         carried over by one row per source and bucket, so that no source is
@@ -145,9 +147,12 @@ class Mix:
         buckets = max(MIN_BUCKETS, -(-rows // BUCKET_ROWS))
         plan = self._plan("sid", F.col("source").alias("_s"), "source_size", "target")
         docs = (
-            self.sized.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+            self.sized.where("size > 0")
+            .join(plan, F.col("source").eqNullSafe(F.col("_s")))
             .drop("_s")
-            .withColumn("h", F.xxhash64(F.lit(self.seed), "id", "size"))
+            # The text tells rows apart that have no id; an order by number of
+            # row would not be the same in every run.
+            .withColumn("h", F.xxhash64(F.lit(self.seed), "id", "size", "text_key"))
             .withColumn("bucket", F.pmod("h", F.lit(buckets)))
         )
         before = W.partitionBy("sid").orderBy("bucket").rowsBetween(
@@ -161,7 +166,7 @@ class Mix:
         )
         within = (
             W.partitionBy("bucket", "sid")
-            .orderBy("h", "id", "size")
+            .orderBy("h", "id", "size", "text_key")
             .rowsBetween(W.unboundedPreceding, W.currentRow)
         )
         return (
@@ -181,8 +186,7 @@ class Mix:
         start = F.greatest(F.col("offset") - F.col("block") * b, F.lit(0))
         end = F.least(F.col("offset") + F.col("size") - F.col("block") * b, F.lit(b))
         return (
-            self.documents.where("size > 0")
-            .withColumn("block", F.explode(F.sequence(first, last)))
+            self.documents.withColumn("block", F.explode(F.sequence(first, last)))
             .withColumn("start", start)
             .withColumn("words", end - F.col("start"))
         )
@@ -297,8 +301,14 @@ class Mix:
             .groupBy(*kept, "offset")
             .agg(F.sum("_n").alias("taken"))
         )
-        empty = self.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-        return drawn.drop("offset", "sid").unionByName(empty.drop("offset", "sid"))
+        plan = self._plan(F.col("source").alias("_s"), "source_size", "target")
+        empty = (
+            self.sized.where("size = 0")
+            .join(plan, F.col("source").eqNullSafe(F.col("_s")))
+            .select("id", "source", "size", "source_size", "target")
+            .withColumn("taken", F.lit(0).cast("long"))
+        )
+        return drawn.drop("offset", "sid").unionByName(empty)
 
 
 def _bits(n: Column) -> Column:
