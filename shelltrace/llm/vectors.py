@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from shelltrace.llm.common import components
+from shelltrace.llm.common import bounded, components
 from shelltrace.session import write_through
 
 THRESHOLD = 0.98
@@ -49,6 +49,8 @@ THRESHOLD = 0.98
 SHARD_POINTS = 1_000
 #: Centres of a label up to which they are compared with all its points.
 MAX_CENTRES = 4_096
+#: Centres are sent to all workers up to so many bytes.
+CENTRE_BYTES = 64 << 20
 #: Degrees by which the reach exceeds the threshold's angle, for rounding.
 REACH_SLACK = 0.05
 DEGREE = 24
@@ -106,7 +108,7 @@ def assigned(points: DataFrame, shard_points: int, reach: float) -> DataFrame:
     narrow = points.select("label", "point", "vector", F.octet_length("vector").alias("w"))
     share = F.pmod(F.xxhash64("point", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
     sampled = (
-        narrow.join(F.broadcast(sizes), ["label", "w"])
+        narrow.join(F.broadcast(sizes) if bounded(sizes) else sizes, ["label", "w"])
         .where(share < 2 * wanted / F.col("n"))
         .groupBy("label", "w")
         .agg(
@@ -116,19 +118,25 @@ def assigned(points: DataFrame, shard_points: int, reach: float) -> DataFrame:
         )
     )
     sampled = write_through(sampled, "shard-centres")
+    size = sampled.agg(F.sum(F.size("centres").cast("long") * F.col("w"))).first()[0] or 0
+    shared = None
+    if size <= CENTRE_BYTES:
+        held = {(r.label, r.w): [bytes(c) for c in r.centres] for r in sampled.collect()}
+        shared = points.sparkSession.sparkContext.broadcast(held)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cosine = {}
         for batch in batches:
             out = []
             for (label, w), part in batch.groupby(["label", "w"], sort=False):
-                centres = part["centres"].iloc[0]
+                key = (label, w)
+                centres = shared.value.get(key) if shared else part["centres"].iloc[0]
                 if centres is None or len(centres) == 0:
                     out.append(part.assign(shard=f"{w}-0", own=True))
                     continue
-                key = (label, w)
                 if key not in cosine:
-                    cosine = {key: _unit(list(centres))}
+                    # Of a label that comes with its rows, one is held at a time.
+                    cosine = (cosine if shared else {}) | {key: _unit(list(centres))}
                 unit = _unit(part["vector"].tolist())
                 angle = np.degrees(np.arccos(np.clip(unit @ cosine[key].T, -1, 1)))
                 nearest = angle.argmin(axis=1)
@@ -139,7 +147,8 @@ def assigned(points: DataFrame, shard_points: int, reach: float) -> DataFrame:
                 )
             yield pd.concat(out)[["label", "shard", "point", "vector", "own"]]
 
-    joined = narrow.join(F.broadcast(sampled), ["label", "w"], "left")
+    # Centres of very many labels come with the rows, of one label in a task.
+    joined = narrow if shared else narrow.join(sampled, ["label", "w"], "left")
     return joined.mapInPandas(
         assign, "label string, shard string, point long, vector binary, own boolean"
     )

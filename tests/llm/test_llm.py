@@ -185,6 +185,19 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102))
 
 
+def test_vector_recall_is_audited(spark):
+    """The share of the stated queries' links that the graph search finds."""
+    rng = np.random.default_rng(4)
+    base = np.repeat(rng.normal(size=(150, 24)), 6, axis=0)
+    v = base + rng.normal(size=base.shape) * 0.08
+    rows = [(i, [float(x) for x in u], i % 2) for i, u in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    points = vectors.points_of(vectors.usable_vectors(df, "vec_id", "embedding", "label")).cache()
+    links = vectors.vector_links(points, shard_points=60)
+    assert vectors.audit_recall(df, links, points, every=5) >= 0.9
+    assert 0 < links.count() < 3 * len(rows)
+
+
 def test_vector_groups_apart():
     """A search finds the members of a dense group that no edge leads to."""
     rng = np.random.default_rng(2)
@@ -226,7 +239,7 @@ def test_private(spark):
         (4, "plain"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in private.replace_private(df).collect()}
+    got = {r.doc_id: r for r in private.replace_private(df, "a key").collect()}
     for secret in ("Jones", "bob@x.com", "10.0.0.1", "4041894974608795"):
         assert secret not in got[1].text
     mail = re.search(r"[\w.]+@[\w.]+", got[1].text)[0]
