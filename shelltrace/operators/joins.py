@@ -1,7 +1,12 @@
-"""Look-ups from events to small or per-session tables."""
+"""Look-ups from events to small or per-session tables.
+
+A null key is a key like any other: rows of sessions without an id meet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,17 @@ from shelltrace.session import BROADCAST_ROWS, broadcast_if_bounded
 
 # A session above this many rows is spread over several join tasks.
 ROWS_PER_JOIN_TASK = 1_000_000
+# Tasks that a session of a stream is spread over, whose rows cannot be counted.
+STREAM_SHARES = 16
+
+
+def join_by(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on equal ``keys``, nulls being equal; ``left`` gives the keys."""
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    right = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    return left.join(right, same, how).drop(*[f"_of_{c}" for c in keys])
 
 
 def join_by_session(
@@ -23,32 +39,34 @@ def join_by_session(
 
     A session table of proven small size is broadcast. Beyond that the join
     shuffles, and each session above ``rows_per_task`` rows is split into that
-    many shares, its single session row being copied to every share.
+    many shares, its single session row being copied to every share. The rows
+    of a stream cannot be counted: there every session has ``STREAM_SHARES``.
     """
-    if rows.isStreaming:
-        return rows.join(broadcast_if_bounded(sessions, max_broadcast_rows), "session_id", how)
+    key = ["session_id"]
     if sessions.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return rows.join(F.broadcast(sessions), "session_id", how)
-    large = (
-        rows.groupBy("session_id")
-        .count()
-        .where(F.col("count") > rows_per_task)
-        .select(
-            "session_id",
-            F.ceil(F.col("count") / rows_per_task).cast("int").alias("_shares"),
+        return join_by(rows, F.broadcast(sessions), key, how)
+    if rows.isStreaming:
+        shares = F.lit(STREAM_SHARES)
+        spread_rows, copies = rows, sessions
+    else:
+        large = (
+            rows.groupBy("session_id")
+            .count()
+            .where(F.col("count") > rows_per_task)
+            .select(
+                "session_id",
+                F.ceil(F.col("count") / rows_per_task).cast("int").alias("_shares"),
+            )
         )
-    )
-    if large.isEmpty():
-        return rows.join(sessions, "session_id", how)
-    # At most total rows / rows_per_task sessions are large.
-    large = broadcast_if_bounded(large)
-    shares = F.coalesce("_shares", F.lit(1))
-    spread_rows = rows.join(large, "session_id", "left").withColumn(
-        "_share", F.pmod(F.xxhash64(spread), shares).cast("int")
-    )
-    copies = sessions.join(large, "session_id", "left").withColumn(
-        "_share", F.explode(F.sequence(F.lit(0), shares - 1))
-    )
-    return spread_rows.drop("_shares").join(
-        copies.drop("_shares"), ["session_id", "_share"], how
+        if large.isEmpty():
+            return join_by(rows, sessions, key, how)
+        # At most total rows / rows_per_task sessions are large.
+        large = broadcast_if_bounded(large)
+        shares = F.coalesce("_shares", F.lit(1))
+        spread_rows = join_by(rows, large, key, "left")
+        copies = join_by(sessions, large, key, "left")
+    spread_rows = spread_rows.withColumn("_share", F.pmod(F.xxhash64(spread), shares).cast("int"))
+    copies = copies.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return join_by(
+        spread_rows.drop("_shares"), copies.drop("_shares"), ["session_id", "_share"], how
     ).drop("_share")

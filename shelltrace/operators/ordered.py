@@ -10,16 +10,13 @@ slice must know of its neighbours is computed from one summary row per slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
+from shelltrace.operators.joins import join_by
 from shelltrace.session import cut_lineage
 
 # Sessions up to this many rows are ordered in a single window.
@@ -189,10 +186,19 @@ def number_rows(df: DataFrame, order: LogOrder, name: str) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order: LogOrder, n: int) -> DataFrame:
-    """The first ``n`` rows of each group."""
-    return number_rows(df, order, "_position").where(F.col("_position") < n).drop(
-        "_position"
-    )
+    """The first ``n`` rows of each group.
+
+    Rows beyond the first ``n`` of a slice are dropped before they are shuffled
+    where Spark recognises a limit by group, and before anything is carried.
+    """
+    df = order.start(df)
+    place = F.row_number().over(order.rows())
+    first = df.withColumn("_place", place).where(F.col("_place") <= n)
+    if order.sliced:
+        # A slice that lost rows has at least n before the slices after it.
+        first = order.carry(first, _before=Before(F.count(F.lit(1)), "sum"))
+        first = first.where(F.col("_place") + F.col("_before") <= n).drop("_before")
+    return order.finish(first.drop("_place"))
 
 
 def assemble(
@@ -223,83 +229,46 @@ def assemble(
     return df.groupBy(*order.keys, "part").agg(in_order.alias(text), *kept)
 
 
-# Folds whose state resets cannot be written as window functions. The fold
-# over one slice runs in an Arrow UDF on an array of at most a slice of rows.
+# Folds whose state resets cannot be written as window functions. A fold over
+# few states is an array of end states, one per start state; arrays compose. Of
+# the lists folded here none is long, as every step copies what it appends to.
 
 
-def fold_path_udf(step):
-    """States before each item and after the last, from a given start.
+def fold_path(items: Column, start: Column, step) -> Column:
+    """States before each item and after the last; ``step(state, item)``."""
+    return F.aggregate(
+        items,
+        F.array(start.cast("int")),
+        lambda path, item: F.concat(
+            path, F.array(step(F.element_at(path, -1), item).cast("int"))
+        ),
+    )
+
+
+def fold_ends(items: Column, n_states: int, step) -> Column:
+    """The end state for each of the start states ``0..n_states - 1``."""
+    return F.aggregate(
+        items,
+        F.array(*[F.lit(i) for i in range(n_states)]),
+        lambda states, item: F.transform(states, lambda s: step(s, item).cast("int")),
+    )
+
+
+def _compose(ends: Column) -> Column:
+    """One array for a list of them, in order."""
+    return F.aggregate(
+        F.slice(ends, F.lit(2), F.size(ends)),
+        F.get(ends, F.lit(0)),
+        lambda so_far, end: F.transform(so_far, lambda s: F.get(end, s)),
+    )
+
+
+def _walk(ends: Column, start: Column) -> Column:
+    """States before each of a list of arrays, and after the last."""
+    return fold_path(ends, start, lambda state, end: F.get(end, state))
 
-    ``step(state, item) -> state``.
-    """
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def path(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for items, starts in batches:
-            out = []
-            for values, state in zip(items, starts):
-                states = [state]
-                for value in values:
-                    state = step(state, value)
-                    states.append(state)
-                out.append(np.asarray(states, dtype=np.int32))
-            yield pd.Series(out)
-
-    return path
-
-
-def fold_ends_udf(step, n_states: int):
-    """The end state of a slice for each possible start state."""
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for items in batches:
-            out = []
-            for values in items:
-                states = list(range(n_states))
-                for value in values:
-                    states = [step(state, value) for state in states]
-                out.append(np.asarray(states, dtype=np.int32))
-            yield pd.Series(out)
-
-    return ends
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for groups in batches:
-        out = []
-        for ends in groups:
-            composed = np.asarray(ends[0], dtype=np.int32)
-            for end in ends[1:]:
-                composed = np.asarray(end, dtype=np.int32)[composed]
-            out.append(composed)
-        yield pd.Series(out)
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def _walk(
-    batches: Iterator[tuple[pd.Series, pd.Series]],
-) -> Iterator[pd.Series]:
-    for groups, starts in batches:
-        out = []
-        for ends, state in zip(groups, starts):
-            states = [state]
-            for end in ends:
-                state = int(end[state])
-                states.append(state)
-            out.append(np.asarray(states, dtype=np.int32))
-        yield pd.Series(out)
-
-
-SLICES_PER_SPAN = 1024
-
-
-def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on equal ``keys``; a null key is a group like any other."""
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
-    right = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
-    return left.join(right, same).drop(*[f"_of_{c}" for c in keys])
+SLICES_PER_SPAN = 256
 
 
 def start_states(
@@ -309,7 +278,7 @@ def start_states(
 
     ``ends`` holds a slice's end state per start state; ``end_state`` is the
     state after the group's last slice. Slices are first composed in spans of
-    1024, so a group meets one row per span.
+    ``SLICES_PER_SPAN``, so a group meets one row per span.
     """
     listed = F.sort_array(F.collect_list(F.struct(slice_col, ends))).alias("_s")
     spans = slices.withColumn(

@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelltrace.operators.joins import join_by
 from shelltrace.operators.ordered import (
     Before,
     LogOrder,
     choose_order,
-    fold_ends_udf,
-    fold_path_udf,
-    join_by,
+    fold_ends,
+    fold_path,
     number_rows,
     start_states,
 )
+from shelltrace.session import write_through
 
 # Chunk parameters.
 MAX_COMMANDS = 10
 GAP_SECONDS = 5 * 60
 MIN_COMMANDS = 3
+# Events whose splits are folded as one list.
+FOLD_EVENTS = 512
 
 
 def content_key() -> Column:
@@ -45,9 +48,24 @@ def dedup_consecutive(
 ) -> DataFrame:
     """Collapse adjacent rows with equal ``same`` columns to the first.
 
-    The first row's ``repeat_count`` grows by the rows collapsed into it.
+    The first row's ``repeat_count`` grows by the rows collapsed into it. In
+    slices, texts are compared by a digest: only positions and digests are
+    ordered, and the first rows' other columns are joined once.
     """
     order = order or choose_order(events)
+    texts = [c for c in same if events.schema[c].dataType.simpleString() == "string"]
+    if order.sliced and texts:
+        stored = write_through(events, "events")
+        place = [*order.keys, order.seq]
+        content = F.unhex(F.sha2(F.to_json(F.struct(*same)), 256)).alias("_content")
+        narrow = stored.select(*place, "repeat_count", content)
+        first = _collapsed(narrow, order, ("_content",)).drop("_content")
+        whole = join_by(stored.drop("repeat_count"), first, place)
+        return whole.select(*events.columns)
+    return _collapsed(events, order, same)
+
+
+def _collapsed(events: DataFrame, order: LogOrder, same: tuple[str, ...]) -> DataFrame:
     value = F.struct(*same)
     df = order.carry(
         order.start(events),
@@ -136,51 +154,67 @@ def merge_small(
     joins the one before. Returns ``splits`` with the merged chunk's index,
     first event, size and times."""
     order = order.by("split_start")
-    min_commands = max(min_commands, 1)
+    least = max(min_commands, 1)
 
-    def step(pending: int, size: int) -> int:
-        pending += size
-        return pending if pending < min_commands else 0
+    def step(pending: Column, size: Column) -> Column:
+        return F.when(pending + size >= least, F.lit(0)).otherwise(pending + size)
 
-    lists = (
-        order.start(splits)
-        .groupBy(*order.group)
+    # A split that is large enough by itself closes a chunk whatever came
+    # before, so what follows it is a segment that can be folded alone.
+    large = (F.col("n_commands") >= least).cast("long")
+    rows = order.carry(order.start(splits), _before=Before(F.sum(large), "sum"))
+    segment = F.coalesce(F.sum(large).over(order.before()), F.lit(0)) + F.col("_before")
+    in_segment = (*order.keys, "_segment")
+    # At most a block's events make splits of it, however long a segment is.
+    blocks = (
+        rows.withColumn("_segment", segment)
+        .withColumn("_block", F.expr(f"split_start div {FOLD_EVENTS}"))
+        .groupBy(*in_segment, "_block")
         .agg(
             F.sort_array(
-                F.collect_list(
-                    F.struct("split_start", "n_commands", "start_time", "end_time")
-                )
+                F.collect_list(F.struct("split_start", "n_commands", "start_time", "end_time"))
             ).alias("_splits")
         )
     )
     sizes = F.col("_splits.n_commands")
-    path = fold_path_udf(step)
+    blocks = blocks.withColumn("_ends", fold_ends(sizes, least, step))
     if order.sliced:
-        ends = lists.select(
-            *order.group, fold_ends_udf(step, min_commands)(sizes).alias("_ends")
-        )
-        states = start_states(ends, order.keys, "_slice", "_ends")
-        lists = join_by(lists, states, order.group).withColumn(
-            "_pending", path(sizes, F.col("state"))
+        states = start_states(
+            blocks.select(*in_segment, "_block", "_ends"), in_segment, "_block", "_ends"
         )
+        blocks = join_by(blocks, states, (*in_segment, "_block"))
     else:
-        lists = lists.withColumn("_pending", path(sizes, F.lit(0))).withColumn(
-            "end_state", F.element_at("_pending", -1)
+        by_block = W.partitionBy(*in_segment).orderBy("_block")
+
+        def after(frame) -> Column:
+            return F.aggregate(
+                F.collect_list("_ends").over(frame), F.lit(0), lambda s, end: F.get(end, s)
+            )
+
+        blocks = blocks.withColumns(
+            {
+                "state": after(by_block.rowsBetween(W.unboundedPreceding, -1)),
+                "end_state": after(
+                    by_block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+                ),
+            }
         )
     rows = (
-        lists.select(
-            *order.group,
+        blocks.withColumn("_pending", fold_path(sizes, F.col("state"), step))
+        .select(
+            *order.keys,
             "end_state",
             "_pending",
             F.posexplode("_splits").alias("_i", "_split"),
         )
         .select(
-            *order.group,
+            *order.keys,
             "_split.*",
             "end_state",
             (F.get("_pending", F.col("_i")) == 0).alias("_opens"),
         )
     )
+    rows = order.start(rows)
     last_open = F.max(F.when(F.col("_opens"), F.col("split_start")))
     rows = order.carry(rows, _last_open=Before(last_open, "max"))
     left_over = (

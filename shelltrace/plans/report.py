@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelltrace.operators import render, templates
 from shelltrace.operators.clean import clean_events
 from shelltrace.operators.detect import detect_sessions
-from shelltrace.operators.joins import join_by_session
+from shelltrace.operators.joins import join_by, join_by_session
 from shelltrace.operators.ordered import Before, LogOrder, assemble, choose_order
 from shelltrace.operators.preprocess import process_events
 from shelltrace.operators.sequence import (
@@ -63,9 +63,7 @@ class ReportPlan:
         prompts = render.final_prompts(
             chunks, self.sessions, self.context, self.max_part_bytes, self.order
         )
-        return prompts.join(
-            self.sessions.select("session_id", "system"), "session_id"
-        )
+        return join_by(prompts, self.sessions.select("session_id", "system"), ["session_id"])
 
 
 def plan_reports(
@@ -141,11 +139,12 @@ def plan_processed(
         )
     )
     session_plan = cut_lineage(
-        templates.with_template(routed.join(types, "session_id"))
-        .join(
-            sessions.select("session_id", "started_at"), "session_id", "left"
-        )
-        .fillna("", ["started_at"])
+        join_by(
+            templates.with_template(join_by(routed, types, ["session_id"])),
+            sessions.select("session_id", "started_at"),
+            ["session_id"],
+            "left",
+        ).fillna("", ["started_at"])
     )
 
     wide = processed.select(
@@ -170,13 +169,13 @@ def plan_processed(
         "session_id", "chunk_index", "n_commands", "start_time", "end_time"
     )
     chunk_prompts = render.chunk_prompts(
-        wide.join(chunked, ["session_id", "seq"])
+        join_by(wide, chunked, ["session_id", "seq"])
     ).withColumn("system", F.lit(SUMMARY_SYSTEM))
 
     direct = kept.where(~is_chunked).drop("ts")
     bounded = chunk_size > 0
     direct_prompts = _direct_prompts(
-        wide.join(direct, ["session_id", "seq"]),
+        join_by(wide, direct, ["session_id", "seq"]),
         session_plan.where("route = 'direct'"),
         context,
         order,
@@ -197,7 +196,7 @@ def _direct_prompts(events, session_plan, context, order, max_part_bytes):
     """User templates filled with metadata and the command list."""
     values = {
         "Context": F.lit(context),
-        "SessionID": F.col("session_id"),
+        "SessionID": F.coalesce("session_id", F.lit("")),
         "StartedAt": F.col("started_at"),
         "CommandCount": F.col("n_events").cast("string"),
     }
@@ -245,4 +244,4 @@ def _direct_prompts(events, session_plan, context, order, max_part_bytes):
         )
     rows = literals.unionByName(lines.select("session_id", "seq", "text"))
     text = assemble(rows, order.by("seq"), "text", max_part_bytes)
-    return text.join(session_plan.select("session_id", "system"), "session_id")
+    return join_by(text, session_plan.select("session_id", "system"), ["session_id"])
