@@ -64,7 +64,7 @@ def _open_at(text: bytes) -> int:
     return at if at >= 0 and _START.startswith(text[at:]) else len(text)
 
 
-class _Terminal:
+class Terminal:
     """What is open in one terminal."""
 
     def __init__(
@@ -93,6 +93,12 @@ class _Terminal:
             room = None if self.max_output is None else self.max_output - len(self.output)
             self.output += text[:room]
 
+    def lose(self) -> None:
+        """Drop what is open: bytes are missing, or no more will come."""
+        self.pending.clear()
+        self.output.clear()
+        self.capturing = False
+
     def follow(self, seq: int) -> None:
         """Take note of the next row's place; rows out of order are an error."""
         if self.last_seq is not None and seq <= self.last_seq:
@@ -155,7 +161,7 @@ def ingest_stream(
             state.remove()
             return
         start = state.get if state.exists else (b"", False, b"", 0, 0, None)
-        terminal = _Terminal(start, max_output_bytes, max_events, max_marker_bytes)
+        terminal = Terminal(start, max_output_bytes, max_events, max_marker_bytes)
         rows = pd.concat(frames).sort_values("seq")
         if rows["seq"].isna().any():
             raise ValueError("rows of a terminal without seq have no order")

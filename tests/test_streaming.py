@@ -8,7 +8,7 @@ from test_sources import event_rows
 from test_transcripts import BASE, streams, table
 from shelltrace import schema as S
 from shelltrace.sources.processed import build_processed, read_processed
-from shelltrace.streaming import ingest, preprocess
+from shelltrace.streaming import ingest, preprocess, reorder
 
 
 def recorded(df):
@@ -62,7 +62,7 @@ def test_late_rows_stop_the_stream(spark, tmp_path):
 
 
 def test_open_marker_costs_linear_time():
-    terminal = ingest._Terminal((b"", False, b"", 0, 0, None), None, None)
+    terminal = ingest.Terminal((b"", False, b"", 0, 0, None), None, None)
     began = time.time()
     assert not list(terminal.read(b"\x1b]7770;"))
     for _ in range(2000):
@@ -70,7 +70,7 @@ def test_open_marker_costs_linear_time():
     assert time.time() - began < 1
     assert not list(terminal.read(b"\x07\x1b]7770;S\x07out\x1b]77"))
     assert list(terminal.read(b"70;E;0\x07")) == [(1, b"out", b"E;0")]
-    short = ingest._Terminal((b"", False, b"", 0, 0, None), None, None, max_marker=20)
+    short = ingest.Terminal((b"", False, b"", 0, 0, None), None, None, max_marker=20)
     with pytest.raises(ValueError, match="longer than 20"):
         list(short.read(b"\x1b]7770;" + b"x" * 20))
 
@@ -87,3 +87,61 @@ def test_preprocess_stream_equals_batch(spark, tmp_path):
     got = read_processed(spark, str(tmp_path / "out")).select(*columns)
     want = build_processed(log).select(*columns)
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 15
+
+
+class Waiting(dict):
+    """A map state's methods."""
+
+    containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.pop
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def read_in(order, chunks, ats=None, idle=None, **limits):
+    limits = {"max_output": None, "max_events": None, "max_marker": 1 << 20} | limits
+    reader = reorder.Reader(reorder._NEW, Waiting(), limits, idle)
+    found = []
+    for seq in order:
+        found += reader.offer(seq, chunks[seq], ats[seq] if ats else 0)
+        reader = reorder.Reader(reader.state(), reader.waiting, limits, idle)
+    return found, reader
+
+
+def test_any_order_reads_alike():
+    rnd = random.Random(8)
+    for chunks in streams(9, 30).values():
+        places = list(range(len(chunks)))
+        want, _ = read_in(places, chunks)
+        shuffled = places + places[::7]
+        rnd.shuffle(shuffled)
+        got, reader = read_in(shuffled, chunks)
+        assert got == want and not reader.waiting and reader.n_waiting == 0
+
+
+def test_gaps_are_given_up_and_idle_terminals_begin_anew():
+    start, end = b"\x1b]7770;S\x07x", b"\x1b]7770;E;0;1;/;bHM=\x07"
+    chunks = [start, end, start, end, start, end, start, end]
+    got, reader = read_in([0, 1, 2, 4, 5, 6, 7], chunks)
+    assert len(got) == 1 and reader.n_waiting == 4
+    assert [c[:3] for c in reader.give_up()] == [(4, b"x", b"E;0;1;/;bHM="), (6, b"x", b"E;0;1;/;bHM=")]
+    ats = [0, 1, 2, 3, 104, 105, 106, 107]
+    for idle, n in ((None, 1), (100, 2)):
+        got, _ = read_in([7, 0, 2, 1, 3, 5, 4, 6], chunks, ats, idle, max_events=1)
+        assert len(got) == n
+    got, _ = read_in(range(8), chunks, [0, 200, 201, 202, 203, 204, 205, 206], 100)
+    assert [g[1] for g in got] == [b"", b"x", b"x", b"x"]
+
+
+def test_shuffled_stream_equals_batch(spark, tmp_path):
+    data = streams(6, 40)
+    df, feed = table(spark, data), str(tmp_path / "feed")
+    for i in (2, 0, 1, 0):
+        df.where(f"pmod(hash(seq), 3) = {i}").repartition(2).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(S.TRANSCRIPT).option("maxFilesPerTrigger", 2).parquet(feed)
+    reorder.run_unordered(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), max_output_bytes=9)
+    got = recorded(spark.read.schema(ingest.EVENTS).parquet(str(tmp_path / "out")))
+    want = [
+        (sid, *e[:5]) for sid in sorted(data) for e in models.transcript_events(data[sid], 9)
+    ]
+    assert [g[:1] + g[2:] for g in got] == want
