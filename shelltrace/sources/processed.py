@@ -1,86 +1,53 @@
 """The stored table of processed events, and its freshness.
 
-The table is partitioned by a hash bucket of the session, so that neither the
-number of folders nor the work of one rebuild grows with a single session.
+The table is a :class:`VersionedTable`: files lie by a hash bucket of the
+session, a rebuild swaps the buckets of its sessions, and readers see a
+rebuild whole or not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelltrace import schema as S
 from shelltrace.operators.clean import clean_events
-from shelltrace.operators.joins import join_by_session
+from shelltrace.operators.joins import join_by, join_by_session
 from shelltrace.operators.preprocess import to_cached
 from shelltrace.session import write_through
+from shelltrace.sources.versions import BUCKETS, Listing, VersionedTable
 
-SESSION_BUCKETS = 64
-BUCKET = "session_bucket"
+TABLE = S.with_engine_columns(S.CACHED)
 
-TABLE = T.StructType(
-    S.with_engine_columns(S.CACHED).fields + [T.StructField(BUCKET, T.IntegerType())]
-)
 
-
-def _with_bucket(df: DataFrame) -> DataFrame:
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS)).cast("int")
-    return df.withColumn(BUCKET, bucket).select(*TABLE.fieldNames())
+def processed_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> VersionedTable:
+    """The table at ``path``; ``buckets`` counts when it is first written."""
+    return VersionedTable(spark, path, TABLE, buckets=buckets)
 
 
 def build_processed(events: DataFrame) -> DataFrame:
     """Rows to store: filtered and redacted before anything is written, and
     not yet collapsed, so that counts compare with the filtered log."""
-    return _with_bucket(to_cached(clean_events(events)))
+    return to_cached(clean_events(events)).select(*TABLE.fieldNames())
 
 
-def append_processed(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy(BUCKET).parquet(path)
+def append_processed(rows: DataFrame, path: str) -> Listing:
+    return processed_table(rows.sparkSession, path).append(rows)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
     """Stored rows; a missing table gives none."""
-    try:
-        return spark.read.schema(TABLE).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], TABLE)
-        raise
+    return processed_table(spark, path).read()
 
 
-def rebuild_processed(events: DataFrame, path: str) -> None:
+def rebuild_processed(events: DataFrame, path: str) -> Listing:
     """Replace the stored rows of every session in ``events``.
 
     Only the buckets of those sessions are rewritten. ``events`` holds whole
-    session logs.
+    session logs; those without an id are a session.
     """
-    spark = events.sparkSession
-    fresh = build_processed(events)
-    rebuilt = events.select("session_id").distinct()
-    buckets = _buckets_of(rebuilt)
-    stored = read_processed(spark, path)
-    # At most SESSION_BUCKETS rows.
-    kept = stored.join(F.broadcast(buckets), BUCKET, "left_semi")
-    kept = join_by_session(kept, rebuilt, "left_anti")
-    merged = write_through(
-        kept.select(*TABLE.fieldNames()).unionByName(fresh), "rebuild"
-    )
-    merged.write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(BUCKET).parquet(path)
-    # A dynamic overwrite leaves buckets alone that it has no rows for.
-    emptied = buckets.join(F.broadcast(merged.select(BUCKET).distinct()), BUCKET, "left_anti")
-    nothing = merged.drop(BUCKET).limit(0)
-    for row in emptied.collect():
-        nothing.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BUCKET}={row[BUCKET]}")
-
-
-def _buckets_of(sessions: DataFrame) -> DataFrame:
-    return sessions.select(
-        F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS)).cast("int").alias(BUCKET)
-    ).distinct()
+    table = processed_table(events.sparkSession, path)
+    return table.replace_keys(events.select("session_id"), build_processed(events))
 
 
 def staleness(
@@ -102,7 +69,7 @@ def staleness(
         & (F.col("_oldest") == version)
         & (F.col("_newest") == version)
     )
-    return raw_counts.join(stored, "session_id", "left").select(
+    return join_by(raw_counts, stored, ["session_id"], "left").select(
         "session_id",
         "n_raw",
         F.coalesce("n_cached", F.lit(0).cast("long")).alias("n_cached"),
@@ -115,7 +82,7 @@ def usable_processed(cached: DataFrame, cleaned: DataFrame) -> DataFrame:
     raw_counts = cleaned.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_raw"))
     stale = staleness(raw_counts, cached).where("is_stale").select("session_id")
     stale = write_through(stale, "stale")
-    columns = [c for c in TABLE.fieldNames() if c not in (BUCKET, "cache_version")]
+    columns = [c for c in TABLE.fieldNames() if c != "cache_version"]
     # Sessions without stored rows are stale, so every raw row has one source.
     redone = to_cached(join_by_session(cleaned, stale, "left_semi")).select(*columns)
     reused = join_by_session(cached, stale, "left_anti").select(*columns)

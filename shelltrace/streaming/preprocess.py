@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from shelltrace.operators.clean import cap_duration
-from shelltrace.sources.processed import BUCKET, build_processed
+from shelltrace.sources.processed import build_processed, processed_table
 
 
 def preprocess_stream(
@@ -31,15 +31,23 @@ def run_preprocess(
     sessions: DataFrame | None = None,
     max_seconds: int = 0,
 ) -> None:
-    """Append the available input of a stream to the processed table."""
+    """Append the available input of a stream to the processed table.
+
+    A batch is a version of the table, in files of bounded number and size; one
+    that is run again after a failure is not added again. Buckets that have
+    gathered many small files are compacted at the end.
+    """
+    table = processed_table(events.sparkSession, path)
+
+    def add(rows: DataFrame, batch: int) -> None:
+        table.append(rows, stream=checkpoint, batch=batch)
+
     query = (
         preprocess_stream(events, sessions, max_seconds)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        .writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
-        .partitionBy(BUCKET)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    table.compact()
