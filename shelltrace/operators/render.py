@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelltrace.functions import text as X
+from shelltrace.operators.joins import join_by, join_by_session
 from shelltrace.operators.ordered import LogOrder, assemble, choose_order
 from shelltrace.operators.sequence import number_events
 
 # Documents longer than this are emitted in several parts.
 MAX_PART_BYTES = 64 * 1024 * 1024
 
-# Formats of the rendered texts.
+# Formats of the rendered texts, here and the headers of command
+# lines, chunks, sessions and phases below.
 _FORMATS = {
     "failed": "!",
     "passed": " ",
@@ -119,13 +121,11 @@ def chunk_prompts(chunked_events: DataFrame) -> DataFrame:
 
 
 def join_summaries(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Attach each chunk's trimmed ``summary``; a missing one is empty."""
+    """Attach each chunk's trimmed ``summary``, null where there is none."""
     trimmed = summaries.select(
         "session_id", "chunk_index", X.trim_space(F.col("summary")).alias("summary")
     )
-    return chunks.join(trimmed, ["session_id", "chunk_index"], "left").fillna(
-        "", ["summary"]
-    )
+    return join_by(chunks, trimmed, ["session_id", "chunk_index"], "left")
 
 
 def final_prompts(
@@ -137,14 +137,24 @@ def final_prompts(
 ) -> DataFrame:
     """The report prompt from chunk summaries: ``(session_id, part, text)``.
 
-    ``chunks`` has ``summary``; ``sessions`` has ``started_at``.
+    ``chunks`` has ``summary``; ``sessions`` has ``started_at``. A session that
+    lacks a summary has no prompt.
     """
     order = (order or choose_order(chunks, seq="position")).by("position")
-    totals = chunks.groupBy("session_id").agg(
-        F.sum("n_commands").alias("total"), F.count(F.lit(1)).alias("n_chunks")
+    totals = (
+        chunks.groupBy("session_id")
+        .agg(
+            F.sum("n_commands").alias("total"),
+            F.count(F.lit(1)).alias("n_chunks"),
+            F.count("summary").alias("_n_summaries"),
+        )
+        .where("n_chunks = _n_summaries")
+    )
+    chunks = join_by_session(
+        chunks, totals.select("session_id"), "left_semi", spread="chunk_index"
     )
-    headers = totals.join(
-        sessions.select("session_id", "started_at"), "session_id"
+    headers = join_by(
+        totals, sessions.select("session_id", "started_at"), ["session_id"]
     ).select(
         "session_id",
         F.lit(0).cast("long").alias("position"),
@@ -152,7 +162,7 @@ def final_prompts(
             F.lit("Context: "),
             F.lit(context),
             F.lit("\n\nSession: "),
-            F.col("session_id"),
+            F.coalesce("session_id", F.lit("")),
             F.lit(" | Started: "),
             F.col("started_at"),
             F.lit(" | Total commands: "),

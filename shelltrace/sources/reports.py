@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelltrace import schema as S
 from shelltrace.functions import text as X
+from shelltrace.operators.joins import join_by
 from shelltrace.operators.ordered import Before, LogOrder, assemble, choose_order
 from shelltrace.operators.render import MAX_PART_BYTES
 
@@ -100,13 +101,13 @@ def render_reports(
         F.lit(f"<!-- Generated by {generator} "),
         F.coalesce("version", F.lit("unknown")),
         F.lit(" | Session "),
-        F.col("session_id"),
+        F.coalesce("session_id", F.lit("")),
         F.lit(" | "),
         X.utc_seconds(now),
         F.lit(" -->\n\n"),
     )
-    return responses.join(
-        sessions.select("session_id", "version"), "session_id", "left"
+    return join_by(
+        responses, sessions.select("session_id", "version"), ["session_id"], "left"
     ).select(
         "session_id",
         "part",
