@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelltrace import schema as S
 from shelltrace.functions import text as X
+from shelltrace.operators.joins import join_by
 from shelltrace.session import broadcast_if_bounded, prepare
 
 _ROW_IN_PARTITION = (1 << 33) - 1
 # Room for files of 512 GiB.
 _POSITIONS_PER_FILE = 1 << 40
+# Names of so many files are broadcast.
+MAX_FILES = 1_000_000
 _STORED = T.StructType([T.StructField("seq", T.LongType())])
 
 
@@ -69,14 +71,12 @@ def parse_lines(
         F.contains(value, F.lit("]")),
         F.try_parse_json(F.concat(F.lit('{"line":'), value, F.lit("}"))).isNotNull(),
     ).otherwise(F.lit(True))
+    wanted = T.StructType([*schema.fields, *(optional or [])])
 
-    def decode(json: Column) -> Column:
+    def strict(json: Column) -> Column:
+        """The fields looked up and tested one by one."""
         kind = F.schema_of_variant(F.try_variant_get(json, "$[0]", "variant"))
-        accepted = (
-            (kind.startswith("OBJECT<") | (kind == "VOID"))
-            & F.try_variant_get(json, "$[1]", "variant").isNull()
-            & closed
-        )
+        accepted = kind.startswith("OBJECT<") | (kind == "VOID")
         fields = []
         for f in schema.fields:
             path = f"$[0].{f.name}"
@@ -88,18 +88,32 @@ def parse_lines(
         for f in optional or []:
             path, kind = f"$[0].{f.name}", f.dataType.simpleString()
             fields.append(F.try_variant_get(json, path, kind).alias(f.name))
-        return F.struct(
-            F.coalesce(accepted, F.lit(False)).alias("_accepted"), *fields
+        return F.when(accepted, F.struct(*fields))
+
+    def decode(json: Column) -> Column:
+        # Nearly all lines are as this library writes them: their type, read in
+        # one pass, is the expected one, and one cast decodes the line.
+        usual = F.schema_of_variant(json).isin(
+            f"ARRAY<{_object_type(schema)}>", f"ARRAY<{_object_type(wanted)}>"
         )
+        whole = F.try_variant_get(json, "$[0]", wanted.simpleString())
+        alone = F.try_variant_get(json, "$[1]", "variant").isNull()
+        row = F.when(usual, whole).otherwise(strict(json))
+        return F.when(json.isNotNull() & alone & closed, row)
 
     # One expression, so that each line is parsed once: a filter on a parsed
     # column would be pushed below it and parse again.
     parsed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    rows = F.filter(
-        F.transform(F.array(parsed), decode), lambda r: r["_accepted"]
-    )
+    rows = F.filter(F.transform(F.array(parsed), decode), lambda r: r.isNotNull())
     others = [c for c in lines.columns if c != "value"]
-    return lines.select(*others, F.inline(rows)).drop("_accepted")
+    return lines.select(*others, F.inline(rows))
+
+
+def _object_type(schema: T.StructType) -> str:
+    """How an object with all fields of ``schema`` describes itself."""
+    names = {T.StringType(): "STRING", T.LongType(): "BIGINT", T.IntegerType(): "BIGINT"}
+    fields = sorted((f.name, names[f.dataType]) for f in schema.fields)
+    return f"OBJECT<{', '.join(f'{name}: {kind}' for name, kind in fields)}>"
 
 
 def check_line_length(
@@ -127,6 +141,7 @@ def _read_log(spark, paths, schema, max_line_bytes, on_long_line) -> DataFrame:
     if lines is None:
         empty = S.with_engine_columns(schema).add("log_file", T.StringType())
         return spark.createDataFrame([], empty)
+    lines = _after_earlier_files(lines, spark, paths)
     lines = check_line_length(lines, max_line_bytes, on_long_line)
     return parse_lines(lines, schema, _STORED).select(
         *schema.fieldNames(),
@@ -144,9 +159,9 @@ def read_events(
 ) -> DataFrame:
     """Events of JSON-lines logs, with ``seq`` and ``ts``.
 
-    ``seq`` is the position stored with the line or else that of the line in
-    its file; see ``order_across_files`` for sessions of several files without
-    stored positions. Malformed lines are skipped; a missing path gives no rows.
+    ``seq`` is the position stored with the line or else that of the line among
+    all lines, files being in the order of their names. Malformed lines are
+    skipped; a missing path gives no rows.
     """
     return _read_log(spark, paths, S.EVENT, max_line_bytes, on_long_line)
 
@@ -161,17 +176,20 @@ def read_processed_log(
     return _read_log(spark, paths, S.CACHED, max_line_bytes, on_long_line)
 
 
-def order_across_files(events: DataFrame) -> DataFrame:
-    """Number the lines of sessions whose log is several files, in the order of
-    the file names."""
-    files = events.select("session_id", "log_file").distinct()
-    by_name = W.partitionBy("session_id").orderBy("log_file")
-    ranked = files.withColumn("_rank", F.row_number().over(by_name).cast("long") - 1)
-    return (
-        events.join(broadcast_if_bounded(ranked), ["session_id", "log_file"])
-        .withColumn("seq", F.col("_rank") * F.lit(_POSITIONS_PER_FILE) + F.col("seq"))
-        .drop("_rank")
-    )
+def _after_earlier_files(lines: DataFrame, spark: SparkSession, paths) -> DataFrame:
+    """``_position`` behind those of the files whose names sort first.
+
+    Only names are read for it, as many as the driver has listed anyway.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").load(paths).select("_metadata.file_path")
+    names = sorted(r[0] for r in files.distinct().collect())
+    if len(names) < 2:
+        return lines
+    places = [(name, place * _POSITIONS_PER_FILE) for place, name in enumerate(names)]
+    table = spark.createDataFrame(places, "log_file string, _start long")
+    joined = join_by(lines, broadcast_if_bounded(table, MAX_FILES), ["log_file"])
+    return joined.withColumn("_position", F.col("_position") + F.col("_start")).drop("_start")
 
 
 def append_events(events: DataFrame, path: str) -> None:

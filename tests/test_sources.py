@@ -77,7 +77,7 @@ def test_positions_follow_the_lines_of_a_split_file(spark, tmp_path):
 def test_sessions_of_several_files_are_ordered_by_name(spark, tmp_path):
     for name, commands in (("2.jsonl", "cd"), ("1.jsonl", "ab"), ("3.jsonl", "e")):
         write(tmp_path / "log" / name, [line(session_id="s", stdin=c) for c in commands])
-    df = events.order_across_files(events.read_events(spark, str(tmp_path / "log")))
+    df = events.read_events(spark, str(tmp_path / "log"))
     assert "".join(r.stdin for r in df.orderBy("seq").select("stdin").collect()) == "abcde"
 
 
