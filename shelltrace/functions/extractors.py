@@ -1,7 +1,8 @@
 """Per-tool output extractors and their registries.
 
 An extractor maps a column of cleaned output to a column of findings. Custom
-extractors are ``Column -> Column`` functions, built-in or a pandas UDF.
+extractors are ``Column -> Column`` functions, or Python functions over series
+of texts, to which only the outputs of their tool are sent.
 
 The built-in ones pick whole lines with one regex pass over the output, rather
 than splitting it and testing line by line.
@@ -10,8 +11,9 @@ than splitting it and testing line by line.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,6 +174,36 @@ def register_extractor(tool: str, extractor: Extractor) -> None:
     _extractors[tool] = extractor
 
 
+class SeriesExtractor:
+    """An extractor in Python, from a series of texts to one of findings.
+
+    Texts of other tools are nulls on their way to the Python worker and never
+    reach the function.
+    """
+
+    def __init__(self, function: Callable[[pd.Series], pd.Series]):
+        @F.pandas_udf("string")
+        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                mine = texts.notna()
+                found = texts.astype(object)
+                if mine.any():
+                    found[mine] = function(texts[mine])
+                yield found
+
+        self._apply = apply
+
+    def __call__(self, stdout: Column) -> Column:
+        return self._apply(stdout)
+
+
+def register_series_extractor(
+    tool: str, function: Callable[[pd.Series], pd.Series]
+) -> None:
+    """Add or replace the extractor of ``tool`` by a Python function."""
+    register_extractor(tool, SeriesExtractor(function))
+
+
 def unregister_extractor(tool: str) -> None:
     _extractors.pop(tool, None)
 
@@ -220,9 +252,9 @@ def extract(tool: Column, stdout: Column) -> Column:
     result = None
     for extractor, names in tools_by_extractor.items():
         chosen = tool.isin(*names)
-        result = (
-            F.when(chosen, extractor(stdout))
-            if result is None
-            else result.when(chosen, extractor(stdout))
-        )
+        # A Python function is applied before the choice, so it gets nulls for
+        # all other rows.
+        in_python = isinstance(extractor, SeriesExtractor)
+        findings = extractor(F.when(chosen, stdout) if in_python else stdout)
+        result = F.when(chosen, findings) if result is None else result.when(chosen, findings)
     return stdout if result is None else result.otherwise(stdout)

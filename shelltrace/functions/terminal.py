@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,18 +110,39 @@ def base_tool(command: Column) -> Column:
     )
 
 
-def byte_limit(tool: Column) -> Column:
-    """Byte budget of a tool's output."""
-    limits = F.create_map(
-        *[F.lit(v) for pair in P.LIMITS.items() for v in pair]
-    )
-    return F.coalesce(F.try_element_at(limits, tool), F.lit(P.DEFAULT_LIMIT))
+@dataclass(frozen=True)
+class Limits:
+    """Byte budgets of outputs, by tool and for all other tools.
+
+    A budget of None leaves the output whole.
+    """
+
+    by_tool: Mapping[str, int | None] = field(default_factory=lambda: dict(P.LIMITS))
+    default: int | None = P.DEFAULT_LIMIT
+
+
+NO_LIMITS = Limits({}, None)
+
+
+def byte_limit(tool: Column, limits: Limits | None = None) -> Column:
+    """Byte budget of a tool's output, null for none."""
+    limits = limits or Limits()
+    default = F.lit(limits.default).cast("int")
+    known = {t: n for t, n in limits.by_tool.items() if n is not None}
+    if known:
+        table = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
+        default = F.coalesce(F.try_element_at(table, tool), default)
+    unlimited = [t for t, n in limits.by_tool.items() if n is None]
+    if unlimited:
+        default = F.when(tool.isin(*unlimited), F.lit(None).cast("int")).otherwise(default)
+    return default
 
 
 def truncate_bytes(text: Column, limit: Column | int) -> Column:
     """Cut text over ``limit`` bytes at its last line end, with a notice.
 
-    Without a line end after the first byte the cut is at the limit itself.
+    Without a line end after the first byte the cut is at the limit itself. A
+    null limit cuts nothing.
     """
     limit = F.lit(limit)
     head = X.head_bytes(text, limit)
@@ -134,7 +156,7 @@ def truncate_bytes(text: Column, limit: Column | int) -> Column:
     notice = F.concat(
         F.lit("\n[...truncated "), omitted.cast("string"), F.lit(" bytes...]")
     )
-    return F.when(F.octet_length(text) <= limit, text).otherwise(
+    return F.when(limit.isNull() | (F.octet_length(text) <= limit), text).otherwise(
         F.concat(F.make_valid_utf8(cut), notice)
     )
 

@@ -11,11 +11,12 @@ from shelltrace.operators.sequence import dedup_consecutive
 from shelltrace.schema import CACHE_VERSION
 
 
-def process_events(events: DataFrame) -> DataFrame:
+def process_events(events: DataFrame, limits: terminal.Limits | None = None) -> DataFrame:
     """Add ``tool_name``, ``processed_stdout`` and ``repeat_count`` = 1.
 
     Strip control sequences, name the tool, extract its findings and cut them
-    to the tool's byte budget. Nothing is shuffled.
+    to the tool's byte budget, the built-in ones unless ``limits`` says
+    otherwise. Nothing is shuffled.
     """
     tool, output = F.col("tool_name"), F.col("processed_stdout")
     return (
@@ -30,7 +31,7 @@ def process_events(events: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "processed_stdout": terminal.truncate_bytes(
-                    output, terminal.byte_limit(tool)
+                    output, terminal.byte_limit(tool, limits)
                 ),
                 "repeat_count": F.lit(1).cast("long"),
             }
@@ -38,14 +39,18 @@ def process_events(events: DataFrame) -> DataFrame:
     )
 
 
-def preprocess(events: DataFrame, order: LogOrder | None = None) -> DataFrame:
+def preprocess(
+    events: DataFrame,
+    order: LogOrder | None = None,
+    limits: terminal.Limits | None = None,
+) -> DataFrame:
     """Process every event, then collapse consecutive repeats."""
-    return dedup_consecutive(process_events(events), order)
+    return dedup_consecutive(process_events(events, limits), order)
 
 
-def to_cached(events: DataFrame) -> DataFrame:
+def to_cached(events: DataFrame, limits: terminal.Limits | None = None) -> DataFrame:
     """Processed rows with the version of the cache format."""
-    return process_events(events).withColumn(
+    return process_events(events, limits).withColumn(
         "cache_version", F.lit(CACHE_VERSION).cast("int")
     )
 

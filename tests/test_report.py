@@ -139,7 +139,7 @@ def test_report_routes_and_prompts(spark, order, monkeypatch):
     direct = plan.direct_prompts.collect()
     assert len(direct) == 1
     assert "#1  [0 | 10ms | /tmp] id {{ .Context }} (repeated 2x)\n#2 " in direct[0].text
-    assert "- Context: General terminal session\n" in direct[0].text
+    assert "What it was for: General terminal session\n" in direct[0].text
     assert direct[0].system == templates.get_template("educational").system
     chunks = plan.chunk_prompts.orderBy("chunk_index").collect()
     assert [c.text.split("\n")[0] for c in chunks] == [
@@ -170,7 +170,7 @@ def test_explicit_template_without_chunks_in_parts(spark):
     parts = plan.direct_prompts.orderBy("part").collect()
     assert len(parts) > 3 and all(len(p.text) < 200 for p in parts)
     text = "".join(p.text for p in parts)
-    assert text.startswith("Context: Audit\n\nSession: s | Started: 2024-01-01T10:00:00Z | Commands: 20\n\n#1 ")
+    assert text.startswith("Engagement: Audit\nEvidence is session s, begun 2024-01-01T10:00:00Z: 20 commands.\n\n#1 ")
     assert text.endswith("#20  [0 | 190ms | /tmp] echo 19\n")
     assert plan.chunk_prompts.isEmpty()
     with pytest.raises(KeyError, match="available: debug, educational, pentest"):
