@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelltrace import schema as S
 from shelltrace.functions import extractors, terminal
 from shelltrace.functions import text as X
 from shelltrace.operators import clean, detect, render, sequence, templates
-from shelltrace.operators.joins import join_by_session
-from shelltrace.operators.ordered import LogOrder
+from shelltrace.operators.joins import join_by, join_by_session
+from shelltrace.operators.ordered import LogOrder, choose_order
 from shelltrace.operators.preprocess import from_cached, preprocess, process_events, to_cached
+from shelltrace.plans import ledger
 from shelltrace.plans import views as V
 from shelltrace.plans.report import plan_reports
 from shelltrace.session import scratch_path, write_through
@@ -26,6 +28,7 @@ from shelltrace.sources import processed as processed_table
 from shelltrace.sources import reports, sessions, transcripts
 from shelltrace.streaming import ingest
 from shelltrace.streaming import preprocess as stream
+from shelltrace.streaming import reorder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +136,47 @@ def _extract(tool: str) -> Query:
     return query
 
 
+def extract_by_row(spark, sf_dir):
+    """Findings of every tool, chosen row by row."""
+    docs = V.documents(spark, sf_dir, V.ALL_TOOLS_SQL)
+    return docs.select(
+        "doc_id", "tool", extractors.extract(F.col("tool"), F.col("stdout")).alias("findings")
+    )
+
+
+def preprocess_documents(spark, sf_dir):
+    """All of preprocessing over outputs of every tool, many above budget; the
+    caller's budgets beside the built-in ones."""
+    docs = V.documents(spark, sf_dir, V.ALL_TOOLS_SQL)
+    events = docs.select("doc_id", F.concat("tool", F.lit(" -x")).alias("stdin"), "stdout")
+    own = terminal.Limits({"nmap": 500, "ps": None}, 900)
+    built_in, chosen = process_events(events), process_events(events, own)
+    names = ["doc_id", "tool_name", "processed_stdout"]
+    return (
+        built_in.select(*names, F.lit("built-in").alias("budget"))
+        .unionByName(chosen.select(*names, F.lit("own").alias("budget")))
+    )
+
+
+def user_extractor(spark, sf_dir):
+    """An extractor in Python and a signature of the caller's."""
+    docs = V.documents(spark, sf_dir, V.VIEWER_SQL)
+    extractors.register_series_extractor("story", lambda texts: texts.str.split("\n").str[0])
+    extractors.register_signature("^[A-M]", "story")
+    try:
+        tool = extractors.effective_tool(F.col("tool"), F.col("stdout"))
+        found = docs.select("doc_id", tool.alias("tool_name"), "stdout")
+        findings = extractors.extract(F.col("tool_name"), F.col("stdout"))
+        return found.select(
+            "doc_id",
+            "tool_name",
+            F.when(F.col("tool_name") == "story", findings).alias("findings"),
+        )
+    finally:
+        extractors.unregister_signature("^[A-M]")
+        extractors.unregister_extractor("story")
+
+
 def truncate_documents(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     limit = F.element_at(F.array(*map(F.lit, (1536, 2048, 4096))), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -255,7 +299,7 @@ def _merge_small_chunks(order) -> Query:
 
 def chunk_bounds(spark, sf_dir):
     log = V.sessions_log(spark, sf_dir).select("session_id", "seq", "ts")
-    order = LogOrder()
+    order = choose_order(log)
     split = sequence.split_chunks(log, order, 10, GAP_SECONDS)
     merged = sequence.merge_small(sequence.split_table(split, order), order, 5)
     return sequence.chunk_table(merged).select(
@@ -310,6 +354,25 @@ def session_type_view(spark, sf_dir):
     return _flat_types(detect.detect_sessions(log))
 
 
+#: (tool, type, weight, reason)
+USER_WEIGHTS = (
+    ("echo", "study", "0.60", "prints"),
+    ("lsof", "pentest", "0.20", "lists open files"),
+    ("hydra", "debug", "0.95", "tries logins"),
+)
+
+
+def user_weights(spark, sf_dir):
+    """Session types by weights of the caller's."""
+    weights = spark.createDataFrame(
+        USER_WEIGHTS, "tool string, type string, weight string, reason string"
+    )
+    log = V.commands_log(spark, sf_dir).withColumn(
+        "session_id", F.expr("concat(session_id, '-', seq % 29 div 10)")
+    )
+    return _flat_types(detect.detect_sessions(log, weights))
+
+
 def template_choice(spark, sf_dir):
     # Sessions by kinds of commands, so that several templates are chosen.
     log = V.commands_log(spark, sf_dir).withColumn(
@@ -324,8 +387,8 @@ def template_choice(spark, sf_dir):
 # Rendering and prompts
 
 
-def _rendered(spark, sf_dir):
-    log = preprocess(clean.clean_events(V.sessions_log(spark, sf_dir)))
+def _rendered(spark, sf_dir, order=None):
+    log = preprocess(clean.clean_events(V.sessions_log(spark, sf_dir)), order)
     return log.select(
         "session_id", "seq", "ts", "cwd", "stdin", "exit_code", "duration_ms",
         "processed_stdout", "repeat_count",
@@ -333,7 +396,9 @@ def _rendered(spark, sf_dir):
 
 
 def command_list(spark, sf_dir):
-    return render.command_lists(_rendered(spark, sf_dir))
+    # Chosen on the log as it is read, so that nothing is worked out twice.
+    order = choose_order(V.sessions_log(spark, sf_dir))
+    return render.command_lists(_rendered(spark, sf_dir, order), order)
 
 
 def command_list_parts(spark, sf_dir):
@@ -347,7 +412,7 @@ def command_list_parts(spark, sf_dir):
 def command_counts(spark, sf_dir):
     plan = _plan(spark, sf_dir)
     n_chunks = plan.chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    return plan.sessions.join(n_chunks, "session_id", "left").select(
+    return join_by(plan.sessions, n_chunks, ["session_id"], "left").select(
         "session_id", "route", "n_events", F.coalesce("n", F.lit(0)).alias("n_chunks")
     )
 
@@ -382,10 +447,14 @@ def final_prompt(spark, sf_dir):
 
 
 def report_prompts(spark, sf_dir):
-    """Every prompt a model is asked, for a session per user and week."""
+    """Every prompt a model is asked, for a session per user and week, one of
+    them without an id."""
+    no_id = F.when(F.col("session_id") != V.SESSION_WITHOUT_ID, F.col("session_id"))
+    log = V.sessions_log(spark, sf_dir, V.weekly(V.SESSION_SQL))
+    meta = V.session_meta(spark, sf_dir, V.weekly(V.META_SQL_SPARK))
     plan = plan_reports(
-        V.sessions_log(spark, sf_dir, V.weekly(V.SESSION_SQL)),
-        V.session_meta(spark, sf_dir, V.weekly(V.META_SQL_SPARK)),
+        log.withColumn("session_id", no_id),
+        meta.withColumn("session_id", no_id),
         gap_seconds=GAP_SECONDS,
     )
     columns = ["session_id", "kind", "position", "system", "text"]
@@ -405,6 +474,60 @@ def report_prompts(spark, sf_dir):
     )
 
 
+def _answer_lines(spark, path: str) -> DataFrame:
+    """What a model might send for the written requests, by their texts' sizes:
+    nothing for some, an invalid fragment within or after the answer for some."""
+    text = F.get_json_object("body", "$.messages[1].content")
+    size = F.octet_length(text)
+    kind = size % 11
+
+    def fragment(content, done: bool):
+        message = F.struct(content.alias("content"))
+        return F.to_json(F.struct(message.alias("message"), F.lit(done).alias("done")))
+
+    bad = F.array(
+        F.lit('{"message":{"content":5},"done":true}'), F.lit('{"message":{"content":'), F.lit("[1]")
+    )
+    lines = F.array(
+        fragment(F.lit(" \n sum "), False),
+        F.when(kind == 5, F.get(bad, (size % 3).cast("int"))).otherwise(F.lit("{}")),
+        fragment(size.cast("string"), True),
+        F.when(kind == 7, F.lit("no json")).otherwise(fragment(F.lit("after the end"), False)),
+    )
+    asked = ledger.stitched(ledger.read_requests(spark, path))
+    return asked.where(kind != 3).select("request_id", F.posexplode(lines).alias("seq", "value"))
+
+
+def report_ledger(spark, sf_dir):
+    """What became of each session: requests written, answers read and matched,
+    reports rendered. Some answers are broken, some never came, and users 4x
+    have no metadata."""
+    log = V.sessions_log(spark, sf_dir, V.weekly(V.SESSION_SQL))
+    meta = V.session_meta(spark, sf_dir, V.weekly(V.META_SQL_SPARK))
+    meta = meta.where("session_id not like 'u4%'")
+    plan = plan_reports(log, meta, gap_seconds=GAP_SECONDS)
+    model = F.lit("local-model")
+
+    def asked(requests):
+        requests = write_through(requests, "requests")
+        path = scratch_path(spark, "request-lines")
+        ledger.write_requests(requests, path)
+        lines = write_through(_answer_lines(spark, path), "answer-lines")
+        return ledger.match_answers(requests, lines)
+
+    first = asked(ledger.first_requests(plan, model))
+    final = asked(ledger.final_requests(plan, first, model))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    bodies = reports.render_reports(
+        ledger.report_contents(first, final), meta, generated_at=now
+    ).select("session_id", F.md5("body").alias("report_md5"))
+    found = ledger.outcomes(plan, meta, first, final)
+    return join_by(found, bodies, ["session_id"], "left").select(
+        "session_id", "route", "outcome", "position", "n_requests", "n_whole",
+        F.when(F.col("outcome") == "reported", F.col("report_md5")).alias("report_md5"),
+    )
+
+
 def chat_requests(spark, sf_dir):
     turns = V.table(spark, sf_dir, "conversations").select(
         "conv_id",
@@ -482,6 +605,23 @@ def strict_json_scan(spark, sf_dir):
     )
 
 
+def log_files_scan(spark, sf_dir):
+    """Real log files with bad lines, several for each session: every good line
+    has a place of its own in its session."""
+    path = scratch_path(spark, "log-files")
+    lines = _with_bad_lines(event_logs.event_lines(V.sessions_log(spark, sf_dir)))
+    lines = write_through(lines.select("session_id", "value"), "log-lines")
+    for i in range(3):
+        part = lines.where(F.pmod(F.xxhash64("value"), F.lit(3)) == i)
+        part.repartition("session_id").write.mode("append").partitionBy("session_id").text(path)
+    found = event_logs.read_events(spark, path)
+    return found.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("seq").alias("n_places"),
+        F.sum(F.length("stdin")).alias("n_chars"),
+    )
+
+
 def event_log_round_trip(spark, sf_dir):
     """Events appended to a JSON-lines log and scanned."""
     path = scratch_path(spark, "events")
@@ -502,12 +642,23 @@ def log_line_counts(spark, sf_dir):
     return event_logs.count_lines(spark, path)
 
 
+def _without_id(log: DataFrame) -> DataFrame:
+    """The log with the sessions of users 2x as one without an id."""
+    return log.withColumn(
+        "session_id", F.when(~F.col("session_id").like("u2%"), F.col("session_id"))
+    )
+
+
 def processed_round_trip(spark, sf_dir):
-    """Processed rows stored, then sessions u1x rebuilt from fewer events."""
+    """Processed rows stored in three writes and compacted, then sessions u1x
+    and the one without an id rebuilt from fewer events."""
     path = scratch_path(spark, "processed")
-    log = V.sessions_log(spark, sf_dir)
-    processed_table.append_processed(processed_table.build_processed(log), path)
-    fewer = log.where("session_id like 'u1%' and exit_code = 0")
+    log = _without_id(V.sessions_log(spark, sf_dir))
+    rows = processed_table.build_processed(log)
+    for i in range(3):
+        processed_table.append_processed(rows.where(F.col("seq") % 3 == i), path)
+    processed_table.processed_table(spark, path).compact(2)
+    fewer = log.where("(session_id like 'u1%' or session_id is null) and exit_code = 0")
     processed_table.rebuild_processed(fewer, path)
     stored = from_cached(processed_table.read_processed(spark, path))
     return stored.groupBy("session_id").agg(
@@ -536,9 +687,9 @@ def cache_staleness(spark, sf_dir):
 
 def usable_processed(spark, sf_dir):
     """Stored rows where fresh, rows processed now elsewhere."""
-    cleaned = clean.clean_events(V.sessions_log(spark, sf_dir))
-    user = F.substring("session_id", F.lit(2), F.lit(10)).cast("long")
-    cached = to_cached(cleaned.where(user % 3 > 0)).where("session_id <> 'u4' or exit_code = 0")
+    cleaned = _without_id(clean.clean_events(V.sessions_log(spark, sf_dir)))
+    user = F.substring("cwd", F.lit(8), F.lit(10)).cast("long")
+    cached = to_cached(cleaned.where(user % 3 > 0)).where("cwd <> '/home/u4' or exit_code = 0")
     rows = processed_table.usable_processed(cached, cleaned)
     return rows.select("session_id", "seq", "tool_name", "processed_stdout")
 
@@ -629,13 +780,53 @@ def stream_transcript(spark, sf_dir):
     return _recorded(spark.read.schema(ingest.EVENTS).parquet(target))
 
 
-def _quarters(rows):
-    """Four ranges of ``seq`` that together hold all of ``rows``, in order."""
-    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+def _counted_transcripts(spark, sf_dir):
+    """The cut transcripts, a terminal's rows by time and counted from 0."""
+    in_order = W.partitionBy("session_id", "terminal_id").orderBy("ts", "seq")
+    rows = _cut_transcripts(spark, sf_dir)
+    count = (F.row_number().over(in_order) - 1).cast("long")
+    return write_through(rows.withColumn("seq", count), "counted")
+
+
+def stream_shuffled(spark, sf_dir):
+    """Transcripts that arrive in no order, and some of them twice."""
+    source, target = scratch_path(spark, "feed"), scratch_path(spark, "ingested")
+    rows = _counted_transcripts(spark, sf_dir)
+    part = F.pmod(F.xxhash64("session_id", "seq"), F.lit(7))
+    for parts in ((4, 5, 6), (0, 1, 4), (2, 3)):
+        some = rows.where(part.isin(*parts))
+        some.repartition(4, part).write.mode("append").parquet(source)
+    feed = spark.readStream.schema(S.TRANSCRIPT).option("maxFilesPerTrigger", 4).parquet(source)
+    reorder.run_unordered(feed, target, scratch_path(spark, "checkpoint"))
+    return _recorded(spark.read.schema(ingest.EVENTS).parquet(target))
+
+
+def stream_event_cap(spark, sf_dir):
+    """The first two events of a terminal until it has had no input for a day."""
+    source, target = scratch_path(spark, "feed"), scratch_path(spark, "capped")
+    checkpoint = scratch_path(spark, "checkpoint")
+    rows = _counted_transcripts(spark, sf_dir).withColumn("_at", F.unix_micros("ts"))
+    # Nothing is late where a run takes a whole slice of time.
+    for part in _quarters(rows, "_at"):
+        part.drop("_at").repartition("session_id").write.mode("append").parquet(source)
+        reorder.run_unordered(
+            spark.readStream.schema(S.TRANSCRIPT).parquet(source),
+            target,
+            checkpoint,
+            max_events=2,
+            idle_seconds=GAP_SECONDS,
+            lateness="0 seconds",
+        )
+    return _recorded(spark.read.schema(ingest.EVENTS).parquet(target))
+
+
+def _quarters(rows, column="seq"):
+    """Four ranges of ``column`` that together hold all of ``rows``, in order."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
     if low is None:
         return [rows]
     step = (high - low) // 4 + 1
-    quarter = F.floor((F.col("seq") - low) / step)
+    quarter = F.floor((F.col(column) - low) / step)
     return [rows.where(quarter == i) for i in range(4)]
 
 
@@ -688,6 +879,9 @@ QUERIES: dict[str, Query] = {
     "tool_limits": tool_limits,
     "content_classify": content_classify,
     **{f"extract_{tool}": _extract(tool) for tool in V.TOOL_OUTPUT_SQL},
+    "extract_by_row": extract_by_row,
+    "preprocess_documents": preprocess_documents,
+    "user_extractor": user_extractor,
     "truncate_documents": truncate_documents,
     "process_events": process_log,
     "cached_events": cached_log,
@@ -710,6 +904,7 @@ QUERIES: dict[str, Query] = {
     "session_signals": session_signals,
     "session_type": session_type,
     "session_type_view": session_type_view,
+    "user_weights": user_weights,
     "template_choice": template_choice,
     "command_list": command_list,
     "command_list_parts": command_list_parts,
@@ -717,11 +912,13 @@ QUERIES: dict[str, Query] = {
     "chunk_prompts": chunk_prompts,
     "direct_prompt": direct_prompt,
     "final_prompt": final_prompt,
+    "report_ledger": report_ledger,
     "chat_requests": chat_requests,
     "assemble_responses": assemble_responses,
     "assemble_responses_sliced": assemble_responses_sliced,
     "report_documents": report_documents,
     "strict_json_scan": strict_json_scan,
+    "log_files_scan": log_files_scan,
     "event_log_round_trip": event_log_round_trip,
     "log_line_counts": log_line_counts,
     "processed_round_trip": processed_round_trip,
@@ -734,6 +931,8 @@ QUERIES: dict[str, Query] = {
     "transcript_events": transcript_events,
     "transcript_events_sliced": transcript_events_sliced,
     "stream_transcript": stream_transcript,
+    "stream_shuffled": stream_shuffled,
+    "stream_event_cap": stream_event_cap,
     "stream_preprocess": stream_preprocess,
     "stream_duration_cap": stream_duration_cap,
 }

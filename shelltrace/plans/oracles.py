@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from shelltrace.functions import patterns as P
-from shelltrace.functions.text import WHITESPACE
-from shelltrace.operators import templates
 from shelltrace.plans import views as V
-from shelltrace.plans.catalog import GAP_SECONDS
 
+# Fixed values, stated here once more: a check has to know them by itself.
+GAP_SECONDS = 24 * 3600
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _WS = "'" + WHITESPACE + "'"
 _FIELDS = "'[" + WHITESPACE + "]+'"
 
@@ -67,7 +69,7 @@ _STATUS = r"'Status:\s*(200|301|302|403)'"
 
 
 def _nmap(x: str) -> str:
-    return _kept_lines(x, _NMAP_LINE, P.NO_PORTS)
+    return _kept_lines(x, _NMAP_LINE, "[no open ports or services found]")
 
 
 def _tool_query(tool: str, findings: str, prefix: str = "") -> str:
@@ -103,14 +105,16 @@ sections AS (
 joined AS (
   SELECT doc_id, string_agg(concat(header, chr(10), findings, chr(10)), chr(10) ORDER BY section) AS findings
   FROM sections WHERE findings IS NOT NULL GROUP BY doc_id)
-SELECT o.doc_id, coalesce(joined.findings, '{P.NO_SECTIONS}') AS findings
+SELECT o.doc_id, coalesce(joined.findings, '[no significant findings detected]') AS findings
 FROM o LEFT JOIN joined USING (doc_id)
 """
 
-_TRUNCATE = """
-WITH d AS (
-  SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 1536 WHEN 1 THEN 2048 ELSE 4096 END AS lim,
-         octet_length(encode(text)) AS n FROM documents),
+def _truncated(source: str) -> str:
+    """``source`` has ``doc_id, text, lim``, and no limit where that is null."""
+    return f"WITH d AS (SELECT *, octet_length(encode(text)) AS n FROM ({source})),{_CUTS}"
+
+
+_CUTS = """
 lines AS (
   SELECT doc_id, lim, unnest(string_split(text, chr(10))) AS l,
          generate_subscripts(string_split(text, chr(10)), 1) AS i,
@@ -136,6 +140,10 @@ SELECT d.doc_id, CASE WHEN cut.doc_id IS NULL THEN text
 FROM d LEFT JOIN cut USING (doc_id)
 """
 
+_TRUNCATE = _truncated(
+    "SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 1536 WHEN 1 THEN 2048 ELSE 4096 END AS lim FROM documents"
+)
+
 _OUTPUT_CAP = """
 WITH chars AS (
   SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
@@ -150,6 +158,11 @@ SELECT doc_id, coalesce(head, text) AS stdout FROM documents LEFT JOIN heads USI
 
 # Session view, filtered, redacted and processed.
 _SV = f"sv AS ({V.SESSION_SQL})"
+# The same with the sessions of users 2x as one without an id.
+_SV_NULL = (
+    "sv AS (SELECT * REPLACE (CASE WHEN session_id NOT LIKE 'u2%' THEN session_id END AS session_id)"
+    f" FROM ({V.SESSION_SQL}))"
+)
 _CLEAN = f"""
 clean AS (
   SELECT * REPLACE ({_redact("stdin")} AS stdin, {_redact("stdout")} AS stdout, {_redact("stderr")} AS stderr)
@@ -253,11 +266,30 @@ walk_tool AS (
 tools AS (SELECT stdin, max(name) AS tool FROM walk_tool GROUP BY stdin)
 """
 
+# Weights of tools.
+_PENTEST_TOOLS = {
+    "nmap": "0.30", "gobuster": "0.30", "feroxbuster": "0.30", "sqlmap": "0.40",
+    "hydra": "0.30", "john": "0.30", "hashcat": "0.30", "msfconsole": "0.50",
+    "msfvenom": "0.40", "nikto": "0.30", "dirb": "0.30", "wfuzz": "0.30", "ffuf": "0.30",
+    "linpeas": "0.40", "winpeas": "0.40", "pspy": "0.30", "chisel": "0.30",
+    "ligolo": "0.30", "crackmapexec": "0.40", "enum4linux": "0.30", "smbclient": "0.20",
+    "evil-winrm": "0.40", "bloodhound": "0.40", "responder": "0.30", "nc": "0.10",
+    "netcat": "0.10", "socat": "0.10", "searchsploit": "0.30", "burpsuite": "0.30",
+    "zap": "0.30",
+}
+_DEV_TOOLS = {
+    "go": "0.20", "python": "0.10", "python3": "0.10", "node": "0.10", "npm": "0.20",
+    "cargo": "0.30", "rustc": "0.30", "gcc": "0.20", "make": "0.15", "docker": "0.10",
+    "kubectl": "0.20", "docker-compose": "0.15", "pytest": "0.30", "jest": "0.30",
+    "mocha": "0.30", "pip": "0.15", "pip3": "0.15", "yarn": "0.20", "mvn": "0.20",
+    "gradle": "0.20", "terraform": "0.20", "ansible": "0.20", "code": "0.10",
+    "mvim": "0.05",
+}
 _WEIGHTS = ", ".join(
     f"('{tool}', '{kind}', {weight}, '{reason}{tool}')"
     for kind, reason, tools in (
-        ("pentest", P.PENTEST_REASON, P.PENTEST_TOOLS),
-        ("debug", P.DEV_REASON, P.DEV_TOOLS),
+        ("pentest", "pentest tool: ", _PENTEST_TOOLS),
+        ("debug", "dev tool: ", _DEV_TOOLS),
     )
     for tool, weight in tools.items()
 )
@@ -280,11 +312,11 @@ _PATTERN_SIGNALS = " UNION ALL ".join(
 )
 
 
-def _signals(source: str) -> str:
+def _signals(source: str, weights: str = _WEIGHTS) -> str:
     """``cmd`` has ``session_id, seq, stdin, tool``."""
     return f"""
 cmd AS ({source}),
-weights(tool, type, weight, reason) AS (VALUES {_WEIGHTS}),
+weights(tool, type, weight, reason) AS (VALUES {weights}),
 raised(session_id, seq, key, type, weight, reason, ord) AS (
   SELECT session_id, seq, concat('tool:', tool), type, CAST(weight AS DECIMAL(10,2)), reason, 0
   FROM cmd JOIN weights USING (tool)
@@ -310,7 +342,7 @@ types AS (
 typed AS (
   SELECT session_id, round(confidence, 9) AS confidence,
     CASE WHEN confidence < 0.3 THEN 'educational' ELSE type END AS session_type,
-    CASE WHEN confidence < 0.3 THEN '{P.NO_SIGNAL_REASON}' ELSE reasons END AS reasons
+    CASE WHEN confidence < 0.3 THEN 'no strong signals detected' ELSE reasons END AS reasons
   FROM types)
 """
 _CV_TOOLS = "SELECT session_id, seq, stdin, tool FROM cv JOIN tools USING (stdin)"
@@ -374,20 +406,27 @@ JOIN meta USING (session_id) GROUP BY session_id
 """
 
 
-def _filled(name: str) -> str:
+_NL = "chr(10)"
+_USER_TEXTS = {
+    "educational": (
+        "'This recording, '", "session_id", "', has '", "CAST(n_events AS VARCHAR)", "' commands from '",
+        "started_at", "' on.'", _NL, "'What it was for: '", "{context}", _NL, _NL,
+        "'Each entry reads #number [exit code | duration | directory] command; ! marks a failure.'", _NL, "text",
+    ),
+    "debug": (
+        "'Goal of the work: '", "{context}", _NL, "'Recorded as '", "session_id", "' from '", "started_at", "' on, '",
+        "CAST(n_events AS VARCHAR)", "' commands in order:'", _NL, _NL, "text",
+    ),
+    "pentest": (
+        "'Engagement: '", "{context}", _NL, "'Evidence is session '", "session_id", "', begun '", "started_at", "': '",
+        "CAST(n_events AS VARCHAR)", "' commands.'", _NL, _NL, "text",
+    ),
+}
+
+
+def _filled(name: str, context: str = "General terminal session") -> str:
     """The user template of ``name`` over ``lists`` and ``meta``."""
-    values = {
-        "Context": "'General terminal session'",
-        "SessionID": "session_id",
-        "StartedAt": "started_at",
-        "CommandCount": "CAST(n_events AS VARCHAR)",
-        "CommandList": "text",
-    }
-    pieces = [
-        "'" + p.replace("'", "''") + "'" if kind == "text" else values[p]
-        for kind, p in templates.split_template(templates.get_template(name).user)
-    ]
-    return f"concat({', '.join(pieces)})"
+    return f"concat({', '.join(_USER_TEXTS[name])})".replace("{context}", f"'{context}'")
 
 
 _REPORT_PROMPTS = f"""
@@ -404,7 +443,57 @@ prompts AS (
     WHEN 'pentest' THEN {_filled("pentest")} WHEN 'debug' THEN {_filled("debug")} ELSE {_filled("educational")} END
   FROM short)
 SELECT session_id, kind, CAST(position AS BIGINT) AS position, md5(text) AS text_md5,
-  CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM prompts
+  CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes
+FROM (SELECT nullif(session_id, '{V.SESSION_WITHOUT_ID}') AS session_id, kind, position,
+        CASE session_id WHEN '{V.SESSION_WITHOUT_ID}' THEN replace(text, session_id, '') ELSE text END AS text
+      FROM prompts)
+"""
+
+# Answers follow from the size of the request's text, as in the query.
+_LEDGER = f"""
+WITH RECURSIVE {_WEEKLY_CHUNKED}, {_WEEKLY_META}, {_LISTS}, {_signals(_SV_TOOLS)}, {_TYPES},
+known AS (SELECT * FROM meta WHERE session_id NOT LIKE 'u4%'),
+short AS (
+  SELECT session_id, n_events, text, coalesce(k.started_at, '') AS started_at,
+    CASE WHEN confidence >= 0.3 THEN session_type ELSE 'educational' END AS template
+  FROM lists JOIN routed USING (session_id, n_events) LEFT JOIN known k USING (session_id) JOIN typed USING (session_id)
+  WHERE route = 'direct'),
+chunk_texts AS ({_CHUNK_TEXT}),
+first AS (
+  SELECT session_id, 'chunk' AS kind, chunk_index AS position, octet_length(encode(text)) AS n FROM chunk_texts
+  UNION ALL SELECT session_id, 'direct', 0, octet_length(encode(CASE template
+    WHEN 'pentest' THEN {_filled("pentest")} WHEN 'debug' THEN {_filled("debug")} ELSE {_filled("educational")} END))
+  FROM short),
+complete AS (
+  SELECT session_id FROM first WHERE kind = 'chunk' GROUP BY session_id
+  HAVING count(CASE WHEN n % 11 IN (3, 5) THEN 1 END) = 0),
+final AS (
+  SELECT session_id, 'final' AS kind, 0 AS position, octet_length(encode(
+    concat('Context: General terminal session', chr(10), chr(10), 'Session: ', session_id, ' | Started: ',
+    coalesce(any_value(k.started_at), ''), ' | Total commands: ', CAST(CAST(sum(n_commands) AS BIGINT) AS VARCHAR),
+    ' | Chunks: ', CAST(count(*) AS VARCHAR), chr(10), chr(10),
+    string_agg(concat('Phase ', CAST(chunk_index + 1 AS VARCHAR), ' (', {_CLOCK.format("start_time")}, ' - ',
+      {_CLOCK.format("end_time")}, ', ', CAST(n_commands AS VARCHAR), ' commands):', chr(10),
+      'sum ', CAST(n AS VARCHAR), chr(10), chr(10)), '' ORDER BY chunk_index)))) AS n
+  FROM (SELECT DISTINCT session_id, chunk_index, n_commands, start_time, end_time FROM chunked)
+  JOIN (SELECT session_id, position AS chunk_index, n FROM first WHERE kind = 'chunk') USING (session_id, chunk_index)
+  JOIN complete USING (session_id) LEFT JOIN known k USING (session_id) GROUP BY session_id),
+asked AS (
+  SELECT *, CASE n % 11 WHEN 3 THEN 'missing' WHEN 5 THEN 'broken' ELSE 'whole' END AS status
+  FROM (SELECT * FROM first UNION ALL SELECT * FROM final)),
+failed AS (
+  SELECT session_id, min((position, kind, status)) AS f FROM asked WHERE status <> 'whole' GROUP BY session_id),
+counted AS (
+  SELECT session_id, count(*) AS n_requests, count(CASE WHEN status = 'whole' THEN 1 END) AS n_whole,
+    max(CASE WHEN kind <> 'chunk' AND status = 'whole' THEN n END) AS n FROM asked GROUP BY session_id)
+SELECT session_id, route,
+  CASE WHEN k.session_id IS NULL THEN 'no metadata' WHEN f IS NULL THEN 'reported'
+    ELSE concat(f[2], ' ', f[3]) END AS outcome,
+  CAST(f[1] AS BIGINT) AS position, n_requests, n_whole,
+  CASE WHEN k.session_id IS NOT NULL AND f IS NULL THEN md5(concat(
+    '<!-- Generated by shelltrace 0.1.0 | Session ', session_id, ' | 2024-02-01T00:00:00Z -->', chr(10), chr(10),
+    ' ', chr(10), ' sum ', CAST(n AS VARCHAR))) END AS report_md5
+FROM routed LEFT JOIN counted USING (session_id) LEFT JOIN failed USING (session_id) LEFT JOIN known k USING (session_id)
 """
 
 _USER = "CAST(substring(session_id, 2) AS BIGINT)"
@@ -450,6 +539,69 @@ CASE WHEN tool = 'wc' THEN tool
   ELSE tool END
 """
 
+_EXTRACTS: dict[str, str] = {
+    "nmap": _tool_query("nmap", _nmap("stdout")),
+    "gobuster": _tool_query(
+        "gobuster",
+        _kept_lines(
+            "stdout",
+            rf"regexp_matches({_T}, {_STATUS}) OR (regexp_matches({_T}, '^\d{{3}}\s+')"
+            f" AND {_T}[1:3] IN ('200', '301', '302', '403'))",
+            "[no results with status 200/301/302/403]",
+        ),
+    ),
+    "ffuf": _tool_query(
+        "ffuf", _kept_lines("stdout", f"regexp_matches(l, {_STATUS})", "[no results with status 200/301/302/403]", _T)
+    ),
+    "nikto": _tool_query(
+        "nikto", _kept_lines("stdout", f"starts_with({_T}, '+')", "[no findings]", _T)
+    ),
+    "ps": _tool_query(
+        "ps",
+        f"CASE WHEN len({_PS_KEEP}) <= 1 THEN '[no user-space processes]' ELSE"
+        f" array_to_string(list_transform({_PS_KEEP}, lambda p: p[1]), chr(10)) END",
+    ),
+    "git": _tool_query(
+        "git",
+        "CASE WHEN NOT contains(stdout, 'diff --git') THEN stdout ELSE "
+        + _kept_lines("stdout", r"regexp_matches(l, '^(diff --git|---|\+\+\+|@@)')", "[no diff output]")
+        + " END",
+    ),
+    "linpeas": _LINPEAS,
+}
+
+# Each tool's statement over its own share of the documents.
+_TOOLS = list(V.TOOL_OUTPUT_SQL)
+
+
+def _by_tool(shown: str = "stdout") -> str:
+    parts = []
+    for i, tool in enumerate(_TOOLS):
+        output = V.tool_output_sql(tool)
+        own = f"SELECT doc_id, {shown} AS stdout FROM ({output}) WHERE doc_id % {len(_TOOLS)} = {i}"
+        parts.append(
+            f"SELECT doc_id, '{tool}' AS tool, findings FROM ({_EXTRACTS[tool].replace(output, own)})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _budgets(limits: str) -> str:
+    source = f"SELECT doc_id, tool AS tool_name, findings AS text, {limits} AS lim FROM ({_by_tool(_collapse(_strip('stdout')))})"
+    return f"SELECT d.doc_id, tool_name, t.text AS processed_stdout FROM ({source}) d JOIN ({_truncated(source)}) t USING (doc_id)"
+
+
+_STREAM_CAP = f"""
+WITH {_SV}, paused AS (
+  SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER t AS pause FROM sv
+  WINDOW t AS (PARTITION BY session_id, terminal_id ORDER BY ts, seq)),
+run AS (
+  SELECT *, count(CASE WHEN pause > {GAP_SECONDS * 1_000_000} THEN 1 END) OVER t AS run FROM paused
+  WINDOW t AS (PARTITION BY session_id, terminal_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+SELECT session_id, terminal_id, cwd, stdin, stdout, exit_code, duration_ms, epoch_us(ts) AS ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id, terminal_id, run ORDER BY ts, seq) AS rn FROM run)
+WHERE rn <= 2
+"""
+
 ORACLES: dict[str, str] = {
     "report_prompts": _REPORT_PROMPTS,
     "drop_blank": f"WITH {_CV} SELECT seq, stdin FROM cv WHERE {_trim('stdin')} <> ''",
@@ -477,34 +629,21 @@ ORACLES: dict[str, str] = {
             (SELECT substring(stdout, 1, max(k)) FROM range(512, 2049) r(k)
              WHERE octet_length(encode(substring(stdout, 1, k))) <= 2048) END AS sample FROM o)
         SELECT doc_id, tool <> 'wc' AS is_viewer, {_VIEWER_TOOL} AS tool_name FROM s""",
-    "extract_nmap": _tool_query("nmap", _nmap("stdout")),
-    "extract_gobuster": _tool_query(
-        "gobuster",
-        _kept_lines(
-            "stdout",
-            rf"regexp_matches({_T}, {_STATUS}) OR (regexp_matches({_T}, '^\d{{3}}\s+')"
-            f" AND {_T}[1:3] IN ('200', '301', '302', '403'))",
-            P.NO_STATUS,
-        ),
-    ),
-    "extract_ffuf": _tool_query(
-        "ffuf", _kept_lines("stdout", f"regexp_matches(l, {_STATUS})", P.NO_STATUS, _T)
-    ),
-    "extract_nikto": _tool_query(
-        "nikto", _kept_lines("stdout", f"starts_with({_T}, '+')", P.NO_FINDINGS, _T)
-    ),
-    "extract_ps": _tool_query(
-        "ps",
-        f"CASE WHEN len({_PS_KEEP}) <= 1 THEN '{P.NO_PROCESSES}' ELSE"
-        f" array_to_string(list_transform({_PS_KEEP}, lambda p: p[1]), chr(10)) END",
-    ),
-    "extract_git": _tool_query(
-        "git",
-        "CASE WHEN NOT contains(stdout, 'diff --git') THEN stdout ELSE "
-        + _kept_lines("stdout", r"regexp_matches(l, '^(diff --git|---|\+\+\+|@@)')", P.NO_DIFF)
-        + " END",
-    ),
-    "extract_linpeas": _LINPEAS,
+    **{f"extract_{tool}": sql for tool, sql in _EXTRACTS.items()},
+    "extract_by_row": _by_tool(),
+    "preprocess_documents": f"""
+        SELECT *, 'built-in' AS budget FROM ({_budgets("CASE tool WHEN 'nmap' THEN 2048 WHEN 'gobuster' THEN 1536 WHEN 'git' THEN 3072 ELSE 4096 END")})
+        UNION ALL
+        SELECT *, 'own' FROM ({_budgets("CASE tool WHEN 'nmap' THEN 500 WHEN 'ps' THEN NULL ELSE 900 END")})""",
+    "user_extractor": f"""WITH o AS ({V.VIEWER_SQL}), s AS (
+          SELECT *, CASE WHEN octet_length(encode(stdout)) <= 2048 THEN stdout ELSE
+            (SELECT substring(stdout, 1, max(k)) FROM range(512, 2049) r(k)
+             WHERE octet_length(encode(substring(stdout, 1, k))) <= 2048) END AS sample FROM o),
+        t AS (SELECT *, {_VIEWER_TOOL} AS found FROM s),
+        u AS (SELECT *, CASE WHEN found IN ('cat', 'less') AND regexp_matches(sample, '^[A-M]')
+          THEN 'story' ELSE found END AS tool_name FROM t)
+        SELECT doc_id, tool_name, CASE tool_name WHEN 'story' THEN string_split(stdout, chr(10))[1] END AS findings
+        FROM u""",
     "truncate_documents": _TRUNCATE,
     "process_events": f"""WITH {_SV}, {_processed("sv")}
         SELECT seq, session_id, tool_name, processed_stdout, repeat_count FROM processed""",
@@ -541,6 +680,9 @@ ORACLES: dict[str, str] = {
         SELECT session_id, session_type, confidence, reasons FROM typed""",
     "session_type_view": f"""WITH {_SV}, {_CLEAN}, {_signals(_BY_KIND)}, {_TYPES}
         SELECT session_id, session_type, confidence, reasons FROM typed""",
+    "user_weights": f"""WITH RECURSIVE {_CV}, {_BASE_TOOL},
+        {_signals(_BY_COMMANDS, "('echo', 'study', 0.60, 'prints'), ('lsof', 'pentest', 0.20, 'lists open files'), ('hydra', 'debug', 0.95, 'tries logins')")},
+        {_TYPES} SELECT session_id, session_type, confidence, reasons FROM typed""",
     "template_choice": f"""WITH RECURSIVE {_CV}, {_BASE_TOOL},
         {_signals(_BY_COMMANDS)}, {_TYPES}
         SELECT session_id, CASE WHEN confidence >= 0.3 THEN session_type ELSE 'educational' END AS template,
@@ -552,10 +694,10 @@ ORACLES: dict[str, str] = {
         FROM routed LEFT JOIN chunked USING (session_id) GROUP BY session_id, route, n_events""",
     "chunk_prompts": f"WITH RECURSIVE {_CHUNKED} {_CHUNK_TEXT}",
     "direct_prompt": f"""WITH {_DEDUPED}, {_LISTS}, {_META}
-        SELECT session_id, CAST(0 AS BIGINT) AS part, concat('Context: Audit', chr(10), chr(10), 'Session: ', session_id,
-          ' | Started: ', started_at, ' | Commands: ', CAST(n_events AS VARCHAR), chr(10), chr(10), text) AS text
+        SELECT session_id, CAST(0 AS BIGINT) AS part, {_filled("debug", "Audit")} AS text
         FROM lists JOIN meta USING (session_id)""",
     "final_prompt": f"WITH RECURSIVE {_CHUNKED}, {_META} {_FINAL_TEXT}",
+    "report_ledger": _LEDGER,
     "chat_requests": """SELECT conv_id, turn, CAST(to_json({'keep_alive': 0,
           'messages': [{'role': 'system', 'content': concat('You are ', role)}, {'role': 'user', 'content': text}],
           'model': 'local-model', 'options': {'temperature': CAST(0.3 AS DOUBLE)}, 'stream': true}) AS VARCHAR) AS request
@@ -568,22 +710,29 @@ ORACLES: dict[str, str] = {
     "strict_json_scan": f"""WITH {_SV}
         SELECT {_STAMP} AS timestamp, session_id, stdin, stdout, exit_code, duration_ms FROM sv
         UNION ALL SELECT '', '', 'only', '', 0, 0 FROM sv""",
+    "log_files_scan": f"""WITH {_SV}, good AS (
+          SELECT session_id, length(stdin) AS n FROM sv UNION ALL SELECT '', 4 FROM sv)
+        SELECT session_id, count(*) AS n_rows, count(*) AS n_places, CAST(sum(n) AS BIGINT) AS n_chars
+        FROM good GROUP BY session_id""",
     "event_log_round_trip": f"""WITH {_SV}
         SELECT {_STAMP} AS timestamp, session_id, terminal_id, cwd, stdin, stdout, stderr, exit_code, duration_ms, seq
         FROM sv""",
     "log_line_counts": f"WITH {_SV} SELECT session_id, count(*) * 9 AS n_lines FROM sv GROUP BY session_id",
-    "processed_round_trip": f"""WITH {_SV}, {_CLEAN}, {_processed("clean")},
-        rebuilt AS (SELECT DISTINCT session_id FROM sv WHERE session_id LIKE 'u1%' AND exit_code = 0)
+    "processed_round_trip": f"""WITH {_SV_NULL}, {_CLEAN}, {_processed("clean")},
+        rebuilt AS (SELECT DISTINCT session_id FROM sv
+          WHERE (session_id LIKE 'u1%' OR session_id IS NULL) AND exit_code = 0)
         SELECT session_id, count(*) AS n_rows, CAST(sum(exit_code) AS BIGINT) AS n_failed,
           CAST(sum(octet_length(encode(processed_stdout))) AS BIGINT) AS n_bytes FROM processed
-        WHERE exit_code = 0 OR session_id NOT IN (SELECT session_id FROM rebuilt) GROUP BY session_id""",
+        WHERE exit_code = 0 OR NOT EXISTS (
+          SELECT 1 FROM rebuilt WHERE rebuilt.session_id IS NOT DISTINCT FROM processed.session_id)
+        GROUP BY session_id""",
     "cache_staleness": f"""WITH {_SV}, {_CLEAN}, counts AS (
           SELECT session_id, {_USER} % 5 AS k, count(*) AS n_raw, CAST(sum(exit_code) AS BIGINT) AS failed
           FROM clean GROUP BY session_id)
         SELECT session_id, n_raw,
           CASE k WHEN 0 THEN 0 WHEN 1 THEN n_raw - failed ELSE n_raw END AS n_cached,
           k = 0 OR (k IN (1, 2) AND failed > 0) AS is_stale FROM counts""",
-    "usable_processed": f"""WITH {_SV}, {_CLEAN}, {_processed("clean")}
+    "usable_processed": f"""WITH {_SV_NULL}, {_CLEAN}, {_processed("clean")}
         SELECT session_id, seq, tool_name, processed_stdout FROM processed""",
     "default_session": f"""WITH {_META} SELECT session_id, started_at, model, version FROM meta
         ORDER BY started_at DESC, session_id DESC LIMIT 1""",
@@ -595,6 +744,8 @@ ORACLES: dict[str, str] = {
     "transcript_events": _RECORDED,
     "transcript_events_sliced": _RECORDED,
     "stream_transcript": _RECORDED,
+    "stream_shuffled": _RECORDED,
+    "stream_event_cap": _STREAM_CAP,
     "stream_preprocess": f"""WITH {_SV}, {_CLEAN}, {_processed("clean")}
         SELECT session_id, seq, stdin, tool_name, processed_stdout, CAST(2 AS BIGINT) AS cache_version FROM processed""",
     "stream_duration_cap": f"""WITH {_SV}, {_DURATION}, {_CLEAN.replace("FROM sv", "FROM capped")}

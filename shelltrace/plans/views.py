@@ -49,6 +49,9 @@ def weekly(sql: str) -> str:
     return sql.replace("GROUP BY user_id", "GROUP BY user_id, floor(day(ts) / 7)")
 
 
+#: The one of these sessions that reports see without its id.
+SESSION_WITHOUT_ID = "u3-w1"
+
 # Many shapes of command lines over the same sessions.
 COMMAND_SQL = """
 SELECT event_id AS seq, concat('u', CAST(user_id AS STRING)) AS session_id,
@@ -116,6 +119,18 @@ TOOL_OUTPUT_SQL = {
 }
 TOOL_OUTPUT_TEMPLATE = "SELECT doc_id, {output} AS stdout FROM documents"
 
+# A tool per document, and the document as that tool's output.
+_BY_TOOL = [
+    (f"WHEN {i} THEN '{tool}'", f"WHEN {i} THEN {output}")
+    for i, (tool, output) in enumerate(TOOL_OUTPUT_SQL.items())
+]
+ALL_TOOLS_SQL = f"""
+SELECT doc_id,
+    CASE doc_id % {len(_BY_TOOL)} {" ".join(t for t, _ in _BY_TOOL)} END AS tool,
+    CASE doc_id % {len(_BY_TOOL)} {" ".join(o for _, o in _BY_TOOL)} END AS stdout
+FROM documents
+"""
+
 # Documents with control sequences and overwritten lines.
 ANSI_SQL = """
 SELECT doc_id, concat(chr(27), ']0;title', chr(7),

@@ -19,19 +19,23 @@ from pyspark.sql import functions as F
 
 from shelltrace.functions import patterns as P
 from shelltrace.functions import text as X
+from shelltrace.operators.joins import join_by
 from shelltrace.operators.ordered import (
     Before,
     LogOrder,
     choose_order,
-    join_by,
     suffix_before,
 )
 from shelltrace.session import write_through
 
 KEYS = ("session_id", "terminal_id")
 
-# Terminals up to this many reads, of some 4 KiB each, stay in one window.
+# Terminals up to this many reads, and of so many bytes, stay in one window. In
+# slices no window holds a payload, whatever size it is.
 MAX_WINDOW_ROWS = 50_000
+MAX_WINDOW_BYTES = 256 << 20
+# Terminals of fewer rows are taken as small without being measured.
+MEASURED_ROWS = 64
 
 # Bytes are handled as Latin-1 text, one character per byte.
 _BYTES = "ISO-8859-1"
@@ -238,6 +242,23 @@ def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
     )
 
 
+def _choose_order(transcripts: DataFrame) -> LogOrder:
+    """One window per terminal while each is bounded in rows and in bytes.
+
+    Rows are counted on the keys alone. Payloads are measured only where the
+    counts leave the answer open, and their lengths are added up as they are read.
+    """
+    order = choose_order(transcripts, KEYS, max_window_rows=MAX_WINDOW_ROWS)
+    if order.sliced:
+        return order
+    some = choose_order(transcripts, KEYS, max_window_rows=MEASURED_ROWS)
+    if not some.sliced:
+        return order
+    size = F.sum(F.octet_length("payload").cast("long")).alias("size")
+    large = transcripts.groupBy(*KEYS).agg(size).where(F.col("size") > MAX_WINDOW_BYTES)
+    return order if large.isEmpty() else some
+
+
 def read_transcripts(
     transcripts: DataFrame,
     max_output_bytes: int | None = None,
@@ -249,8 +270,8 @@ def read_transcripts(
     is that of the row in which its end marker ends. ``max_output_bytes`` limits
     the output of a command; it is not set unless asked for.
     """
+    order = order or _choose_order(transcripts)
     stream = _stream(transcripts)
-    order = order or choose_order(stream, KEYS, max_window_rows=MAX_WINDOW_ROWS)
     segments = _segments(_whole_markers(stream, order))
     if order.sliced:
         segments = write_through(segments, "transcript")
