@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelltrace.operators.joins import join_by
-from shelltrace.session import cut_lineage
+from shelltrace.session import cut_lineage, write_through
 
 # Sessions up to this many rows are ordered in a single window.
 MAX_WINDOW_ROWS = 1_000_000
@@ -222,11 +222,18 @@ def assemble(
         return df.groupBy(*order.keys).agg(
             F.lit(0).cast("long").alias("part"), in_order.alias(text), *kept
         )
-    size = F.octet_length(text).cast("long")
-    df = order.carry(order.start(df), _before=Before(F.sum(size), "sum"))
-    offset = F.sum(size).over(order.so_far()) - size + F.col("_before")
-    df = df.withColumn("part", F.floor(offset / max_part_bytes).cast("long"))
-    return df.groupBy(*order.keys, "part").agg(in_order.alias(text), *kept)
+    rows = df.withColumn("_size", F.octet_length(text).cast("long"))
+    if order.sliced:
+        # Only lengths are added up in order; the texts meet their part once.
+        df = write_through(df, "texts")
+        place = [*order.keys, order.seq]
+        rows = df.select(*place, F.octet_length(text).cast("long").alias("_size"))
+    rows = order.carry(order.start(rows), _before=Before(F.sum("_size"), "sum"))
+    offset = F.sum("_size").over(order.so_far()) - F.col("_size") + F.col("_before")
+    rows = rows.withColumn("part", F.floor(offset / max_part_bytes).cast("long"))
+    if order.sliced:
+        rows = join_by(df, rows.select(*place, "part"), place)
+    return rows.groupBy(*order.keys, "part").agg(in_order.alias(text), *kept)
 
 
 # Folds whose state resets cannot be written as window functions. A fold over

@@ -172,7 +172,8 @@ def plan_processed(
         join_by(wide, chunked, ["session_id", "seq"])
     ).withColumn("system", F.lit(SUMMARY_SYSTEM))
 
-    direct = kept.where(~is_chunked).drop("ts")
+    # Numbered before commands and output are joined to them.
+    direct = render.number_events(kept.where(~is_chunked).drop("ts"), order)
     bounded = chunk_size > 0
     direct_prompts = _direct_prompts(
         join_by(wide, direct, ["session_id", "seq"]),
@@ -200,7 +201,6 @@ def _direct_prompts(events, session_plan, context, order, max_part_bytes):
         "StartedAt": F.col("started_at"),
         "CommandCount": F.col("n_events").cast("string"),
     }
-    numbered = render.number_events(events, order)
     line = render.command_line(F.col("event_index") + 1)
     names = templates.list_templates()
     sections = {
@@ -221,7 +221,7 @@ def _direct_prompts(events, session_plan, context, order, max_part_bytes):
     )
     # Command lines: once per occurrence of the list in the template.
     lists = {n: len(s) - 1 for n, s in sections.items()}
-    lines = numbered.select(
+    lines = events.select(
         "session_id", (F.col("event_index") + 1).alias("_at"), line.alias("text")
     )
     if most_lists == 1 and min(lists.values()) == 1:

@@ -38,17 +38,17 @@ def chat_request(model: Column, system: Column, user: Column) -> Column:
 
 
 def chat_requests(prompts: DataFrame) -> DataFrame:
-    """Add ``request`` to prompts with ``model``, ``system`` and ``text``."""
+    """Add ``request`` to prompts with ``model``, ``system`` and ``text``.
+
+    A part of a prompt is no request; the ledger keeps parts together.
+    """
+    if "part" in prompts.columns:
+        raise ValueError("prompts in parts are requests of plans.ledger")
     return prompts.withColumn(
         "request", chat_request(F.col("model"), F.col("system"), F.col("text"))
     )
 
 
-def write_requests(requests: DataFrame, path: str) -> None:
-    """One request body per line."""
-    requests.select(F.col("request").alias("value")).write.mode("append").text(path)
-
-
 def parse_fragments(lines: DataFrame) -> DataFrame:
     """Decode ``value`` into ``content`` and ``done``, keeping other columns.
 

@@ -220,6 +220,8 @@ def test_request_body_and_report_header(spark):
         '{"role":"user","content":"say \\"hi\\"\\n"}],"model":"m",'
         '"options":{"temperature":0.3},"stream":true}'
     )
+    with pytest.raises(ValueError, match="in parts"):
+        reports.chat_requests(df.withColumn("part", F.lit(0)))
     responses = spark.createDataFrame(
         [("s", 0, "# R"), ("s", 1, "more")], "session_id string, part long, content string"
     )

@@ -227,3 +227,34 @@ def test_custom_registrations(spark):
     finally:
         extractors.unregister_signature("^MAGIC")
         extractors.unregister_extractor("upper")
+
+
+def test_python_extractors_get_their_own_outputs_only(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def first_letters(texts):
+        seen.add(len(texts))
+        return texts.str[:1]
+
+    rows = [("mine", "abc"), ("nmap", "80/tcp open x"), ("other", "left"), ("mine", "xyz")] * 5
+    df = spark.createDataFrame(rows, "tool string, out string")
+    extractors.register_series_extractor("mine", first_letters)
+    try:
+        found = df.select("tool", extractors.extract(F.col("tool"), F.col("out")).alias("f")).collect()
+    finally:
+        extractors.unregister_extractor("mine")
+    assert {(r.tool, r.f) for r in found} == {
+        ("mine", "a"), ("mine", "x"), ("nmap", "80/tcp open x"), ("other", "left")
+    }
+    assert seen.value == 10
+
+
+def test_budgets_of_the_caller(spark):
+    df = spark.createDataFrame([("nmap",), ("ps",), ("x",)], "tool string")
+    def budgets(limits):
+        return [r[0] for r in df.select(terminal.byte_limit(F.col("tool"), limits)).collect()]
+    assert budgets(None) == [2048, 4096, 4096]
+    assert budgets(terminal.Limits({"nmap": 7, "ps": None}, 9)) == [7, None, 9]
+    assert budgets(terminal.NO_LIMITS) == [None] * 3
+    whole = df.select(terminal.truncate_bytes(F.lit("long\n" * 9), F.lit(None).cast("int")).alias("t"))
+    assert {r.t for r in whole.collect()} == {"long\n" * 9}
