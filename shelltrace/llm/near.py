@@ -41,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from shelltrace.llm.common import bounded, compared_words, components, text_key
 from shelltrace.session import write_through
@@ -198,7 +199,7 @@ def _nodes(trees: int, levels: int, depth: int):
     return nodes
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of equal values of two signatures."""
     equal = [
