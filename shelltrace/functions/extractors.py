@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shelltrace.functions import patterns as P
 from shelltrace.functions import text as X
@@ -182,7 +183,7 @@ class SeriesExtractor:
     """
 
     def __init__(self, function: Callable[[pd.Series], pd.Series]):
-        @F.pandas_udf("string")
+        @F.pandas_udf(StringType())
         def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 mine = texts.notna()
