@@ -30,3 +30,8 @@ def test_entry_without_optional_parts(tmp_path, left_out):
     names, checked = (line.split() for line in run.stdout.splitlines())
     assert names == sorted(QUERIES)
     assert set(checked) <= set(names)
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; e.queries(), e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
