@@ -4,7 +4,8 @@ The rows of a terminal are numbered without gaps from 0. A row that is not the
 next one waits in a map state by its number; the next one is read as it comes,
 and with it all that had been waiting for it. So delivery in any order, and
 repeated delivery, gives what delivery in order gives, and a terminal's rows of
-a batch are read chunk by chunk.
+a batch are read chunk by chunk. Waiting rows are stored in blocks of numbers,
+so a chunk asks the state store once a block and not several times a row.
 
 Two event-time timers end what would stay open for ever: one gives up the rows
 missing in front of those that wait, the other lets a terminal expire that has
@@ -18,11 +19,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import batched
 from typing import Any
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -60,13 +61,101 @@ _OPEN = T.StructType(
         T.StructField("idle_timer", T.LongType()),
     ]
 )
-_WAITING_KEY = T.StructType([T.StructField("seq", T.LongType())])
+_ROW = Row(*_COMMAND.fieldNames())
+_WAITING_KEY = T.StructType([T.StructField("place", T.LongType())])
 _WAITING = T.StructType(
-    [T.StructField("payload", T.BinaryType()), T.StructField("at", T.LongType())]
+    [
+        T.StructField("seqs", T.ArrayType(T.LongType())),
+        T.StructField("payloads", T.ArrayType(T.BinaryType())),
+        T.StructField("ats", T.ArrayType(T.LongType())),
+    ]
 )
 _NEW = (b"", False, b"", 0, 0, -1, None, 0, None, None)
 
 
+#: Numbers of a block of waiting rows.
+BLOCK_ROWS = 64
+#: A payload of more bytes waits outside its block.
+BLOCK_PAYLOAD = 16 << 10
+#: Rows of a terminal that are read and sorted together.
+CHUNK_ROWS = 4096
+#: Waiting rows of a terminal that are in memory at a time.
+_ROWS_IN_MEMORY = 8192
+
+
+class WaitingRows:
+    """A map state's methods for rows, ``(payload, at)`` by number, on a map
+    state of blocks of rows.
+
+    A block has the key ``-1 - seq // BLOCK_ROWS``. A long payload has its
+    number as key; in the block it is None. ``flush`` writes what has changed.
+    The state is not asked where ``nothing`` is known to be stored.
+    """
+
+    def __init__(self, state: Any, nothing: bool = False):
+        self.state, self.nothing = state, nothing
+        self.stored: set[int] = set()
+        self.blocks: dict[int, dict[int, tuple]] = {}
+        self.changed: set[int] = set()
+        self.n_rows = 0
+
+    def _block(self, seq: int) -> dict[int, tuple]:
+        place = -1 - seq // BLOCK_ROWS
+        if place not in self.blocks:
+            if self.n_rows > _ROWS_IN_MEMORY:
+                self.flush()
+            found = None if self.nothing else self.state.getValue((place,))
+            if found:
+                self.stored.add(place)
+            columns = zip(*(found or ((), (), ())), strict=True)
+            rows = {n: (payload, at) for n, payload, at in columns}
+            self.n_rows += len(rows)
+            self.blocks[place] = rows
+        return self.blocks[place]
+
+    def containsKey(self, key: tuple) -> bool:
+        return key[0] in self._block(key[0])
+
+    def getValue(self, key: tuple) -> tuple | None:
+        payload, at = self._block(key[0]).get(key[0], (None, None))
+        if at is not None and payload is None:
+            payload = self.state.getValue(key)[1][0]
+        return None if at is None else (payload, at)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        (seq,), (payload, at) = key, value
+        rows = self._block(seq)
+        self.n_rows += seq not in rows
+        if len(payload) > BLOCK_PAYLOAD:
+            self.state.updateValue(key, ([seq], [payload], [at]))
+            payload = None
+        rows[seq] = (payload, at)
+        self.changed.add(-1 - seq // BLOCK_ROWS)
+
+    def removeKey(self, key: tuple) -> None:
+        payload, _ = self._block(key[0]).pop(key[0])
+        if payload is None:
+            self.state.removeKey(key)
+        self.n_rows -= 1
+        self.changed.add(-1 - key[0] // BLOCK_ROWS)
+
+    def keys(self) -> Iterator[tuple]:
+        """The numbers of the first block that has rows."""
+        self.flush()
+        first = max(key[0] for key in self.state.keys() if key[0] < 0)
+        yield from ((seq,) for seq in self._block((-1 - first) * BLOCK_ROWS))
+
+    def flush(self) -> None:
+        for place in self.changed:
+            if rows := self.blocks[place]:
+                payloads, ats = zip(*rows.values(), strict=True)
+                self.state.updateValue((place,), ([*rows], [*payloads], [*ats]))
+                self.nothing = False
+            elif place in self.stored:
+                self.state.removeKey((place,))
+        self.blocks, self.changed, self.stored, self.n_rows = {}, set(), set(), 0
+
+
 class Reader:
     """One terminal's rows in the order of their numbers.
 
@@ -124,7 +213,10 @@ class Reader:
         self.terminal.n_events = 0
 
     def give_up(self) -> Iterator[tuple]:
-        """Go on with the first of the rows that wait."""
+        """Go on with the first of the rows that wait.
+
+        ``waiting.keys()`` need not have more than the first of them.
+        """
         self.terminal.lose()
         self.terminal.last_seq = min(key[0] for key in self.waiting.keys()) - 1
         yield from self._drain()
@@ -144,9 +236,11 @@ class Reorder(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", _WAITING_KEY, _WAITING)
 
     def _reader(self) -> Reader:
-        state = self.open.get() if self.open.exists() else _NEW
+        state = self.open.get() or _NEW
         state = tuple(bytes(x) if isinstance(x, bytearray) else x for x in state)
-        return Reader(state, self.waiting, self.limits, self.idle)
+        reader = Reader(state, None, self.limits, self.idle)
+        reader.waiting = WaitingRows(self.waiting, nothing=reader.n_waiting == 0)
+        return reader
 
     def _timer(self, old: int | None, at: int | None) -> int | None:
         """Move a timer, in milliseconds, to ``at`` microseconds or none."""
@@ -167,23 +261,22 @@ class Reorder(StatefulProcessor):
         if self.idle is not None:
             idle_at = None if waits or at is None else at + self.idle
             reader.idle_timer = self._timer(reader.idle_timer, idle_at)
+        reader.waiting.flush()
         self.open.update(reader.state())
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         reader, latest = self._reader(), 0
         before = reader.terminal.last_seq
-        for chunk in rows:
-            if chunk["seq"].isna().any():
+        for chunk in batched(rows, CHUNK_ROWS):
+            if any(row.seq is None for row in chunk):
                 raise ValueError("rows of a terminal without seq have no order")
-            chunk = chunk.sort_values("seq", kind="stable")
-            found = []
-            for seq, payload, at in zip(chunk["seq"], chunk["payload"], chunk["at"]):
-                latest = max(int(at), latest)
-                found += reader.offer(int(seq), b"" if payload is None else bytes(payload), int(at))
-            yield self._commands(key, found)
+            for row in sorted(chunk, key=lambda r: r.seq):
+                latest = max(row.at, latest)
+                payload = b"" if row.payload is None else row.payload
+                yield from self._commands(key, reader.offer(row.seq, payload, row.at))
         self._keep(reader, latest, reader.terminal.last_seq != before)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         reader, due = self._reader(), expiredTimerInfo.getExpiryTimeInMs()
         found = []
         if due == reader.gap_timer:
@@ -195,11 +288,12 @@ class Reorder(StatefulProcessor):
             reader.idle_timer = None
             reader.expire()
             self.open.update(reader.state())
-        yield self._commands(key, found)
+        yield from self._commands(key, found)
 
     @staticmethod
-    def _commands(key, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in found], columns=_COMMAND.fieldNames())
+    def _commands(key, found) -> Iterator[Row]:
+        for row in found:
+            yield _ROW(*key, *row)
 
 
 def ingest_unordered(
@@ -235,7 +329,7 @@ def ingest_unordered(
     )
     if timed:
         rows = rows.withWatermark("ts", lateness)
-    commands = rows.groupBy(*KEYS).transformWithStateInPandas(
+    commands = rows.groupBy(*KEYS).transformWithState(
         Reorder(limits, idle_seconds, gap_seconds),
         _COMMAND,
         "append",

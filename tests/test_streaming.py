@@ -145,3 +145,62 @@ def test_shuffled_stream_equals_batch(spark, tmp_path):
         (sid, *e[:5]) for sid in sorted(data) for e in models.transcript_events(data[sid], 9)
     ]
     assert [g[:1] + g[2:] for g in got] == want
+
+
+class Asked(dict):
+    """A map state that counts what it is asked."""
+
+    n = 0
+
+    def _count(self, found):
+        self.n += 1
+        return found
+
+    def containsKey(self, key):
+        return self._count(key in self)
+
+    def getValue(self, key):
+        return self._count(self.get(key))
+
+    def updateValue(self, key, value):
+        self._count(self.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._count(self.pop(key))
+
+
+def test_waiting_rows_ask_the_store_by_block():
+    rnd = random.Random(5)
+    start, end = b"\x1b]7770;S\x07", b"\x1b]7770;E;0;1;/;bHM=\x07"
+    chunks = []
+    for i in range(300):
+        chunks += [start, b"x" * (reorder.BLOCK_PAYLOAD + i if i % 50 == 0 else i), end]
+    places = list(range(len(chunks)))
+    want, _ = read_in(places, chunks)
+    rnd.shuffle(places)
+    limits = {"max_output": None, "max_events": None, "max_marker": 1 << 20}
+    state, store, found = reorder._NEW, Asked(), []
+    for batch in (places[:400], places[400:650], places[650:] + places[:9]):
+        reader = reorder.Reader(state, None, limits, None)
+        reader.waiting = reorder.WaitingRows(store, nothing=reader.n_waiting == 0)
+        for seq in sorted(batch):
+            found += reader.offer(seq, chunks[seq], 0)
+        reader.waiting.flush()
+        state = reader.state()
+    assert found == want and not store and reader.n_waiting == 0
+    # Six long rows are asked for on their own.
+    assert store.n < 120
+
+
+def test_a_block_gives_the_first_of_the_rows_that_wait():
+    start, end = b"\x1b]7770;S\x07x", b"\x1b]7770;E;0;1;/;bHM=\x07"
+    limits = {"max_output": None, "max_events": None, "max_marker": 1 << 20}
+    store = Asked()
+    reader = reorder.Reader(reorder._NEW, None, limits, None)
+    reader.waiting = reorder.WaitingRows(store, nothing=True)
+    for seq in (900, 901, 130, 131, 902):
+        assert not list(reader.offer(seq, end if seq % 2 else start, 0))
+    assert [c[1] for c in reader.give_up()] == [b"x"] and reader.n_waiting == 3
+    assert [c[1] for c in reader.give_up()] == [b"x"] and reader.n_waiting == 0
+    reader.waiting.flush()
+    assert not store
