@@ -775,7 +775,9 @@ def stream_transcript(spark, sf_dir):
     rows = write_through(_cut_transcripts(spark, sf_dir), "transcripts")
     for part in _quarters(rows):
         part.repartition("session_id", "terminal_id").write.mode("append").parquet(source)
-    feed = spark.readStream.schema(S.TRANSCRIPT).option("maxFilesPerTrigger", 2).parquet(source)
+    # A larger feed has larger batches and not more of them.
+    files = max(2, len(spark.read.schema(S.TRANSCRIPT).parquet(source).inputFiles()) // 8)
+    feed = spark.readStream.schema(S.TRANSCRIPT).option("maxFilesPerTrigger", files).parquet(source)
     ingest.run_ingest(feed, target, scratch_path(spark, "checkpoint"))
     return _recorded(spark.read.schema(ingest.EVENTS).parquet(target))
 

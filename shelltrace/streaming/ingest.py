@@ -162,11 +162,14 @@ def ingest_stream(
             return
         start = state.get if state.exists else (b"", False, b"", 0, 0, None)
         terminal = Terminal(start, max_output_bytes, max_events, max_marker_bytes)
-        rows = pd.concat(frames).sort_values("seq")
-        if rows["seq"].isna().any():
-            raise ValueError("rows of a terminal without seq have no order")
+        rows = []
+        for frame in frames:
+            if frame["seq"].isna().any():
+                raise ValueError("rows of a terminal without seq have no order")
+            rows += zip(frame["seq"].tolist(), frame["payload"], frame["ts"])
+        rows.sort(key=lambda row: row[0])
         found = []
-        for seq, payload, ts in zip(rows["seq"], rows["payload"], rows["ts"]):
+        for seq, payload, ts in rows:
             terminal.follow(int(seq))
             found += [
                 (*key, *command, ts)
@@ -175,7 +178,8 @@ def ingest_stream(
         state.update(terminal.state())
         if idle_seconds is not None:
             state.setTimeoutDuration(idle_seconds * 1000)
-        yield pd.DataFrame(found, columns=_COMMAND.fieldNames())
+        if found:
+            yield pd.DataFrame(found, columns=_COMMAND.fieldNames())
 
     timeout = (
         GroupStateTimeout.NoTimeout

@@ -7,6 +7,7 @@ import models
 from test_sources import event_rows
 from test_transcripts import BASE, streams, table
 from shelltrace import schema as S
+from shelltrace.plans import catalog
 from shelltrace.sources.processed import build_processed, read_processed
 from shelltrace.streaming import ingest, preprocess, reorder
 
@@ -204,3 +205,35 @@ def test_a_block_gives_the_first_of_the_rows_that_wait():
     assert [c[1] for c in reader.give_up()] == [b"x"] and reader.n_waiting == 0
     reader.waiting.flush()
     assert not store
+
+
+def small_events(spark, path, n_users, n_each=1):
+    rows = spark.range(n_users * n_each).selectExpr(
+        "id as event_id",
+        "timestamp_seconds(1704067200 + id * 60) as ts",
+        f"id % {n_users} as user_id",
+        "element_at(array('view', 'click', 'signup', 'purchase', 'error'), cast(id % 5 as int) + 1) as event_type",
+        "id * 0.5 as value",
+        "'' as props",
+    )
+    rows.coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_a_larger_feed_has_no_more_batches(spark, tmp_path, monkeypatch):
+    sf_dir = small_events(spark, tmp_path, 40, 5)
+    changed = {
+        "spark.sql.shuffle.partitions": "12",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: str(tmp_path / name))
+    before = {key: spark.conf.get(key, None) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        assert catalog.stream_transcript(spark, sf_dir).count() == 200
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    commits = tmp_path.glob("checkpoint/commits/[0-9]*")
+    assert 2 <= len(list(commits)) <= 12
