@@ -22,7 +22,7 @@ from shelltrace.operators.preprocess import from_cached, preprocess, process_eve
 from shelltrace.plans import ledger
 from shelltrace.plans import views as V
 from shelltrace.plans.report import plan_reports
-from shelltrace.session import scratch_path, write_through
+from shelltrace.session import scratch_path, spread_rows, write_through
 from shelltrace.sources import events as event_logs
 from shelltrace.sources import processed as processed_table
 from shelltrace.sources import reports, sessions, transcripts
@@ -598,7 +598,7 @@ def _with_bad_lines(lines: DataFrame) -> DataFrame:
 
 def strict_json_scan(spark, sf_dir):
     """Log lines, good and bad, decoded strictly."""
-    lines = event_logs.event_lines(V.sessions_log(spark, sf_dir))
+    lines = event_logs.event_lines(spread_rows(V.sessions_log(spark, sf_dir)))
     bad = _with_bad_lines(lines).select("value")
     return event_logs.parse_lines(bad, S.EVENT).select(
         "timestamp", "session_id", "stdin", "stdout", "exit_code", "duration_ms"

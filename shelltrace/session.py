@@ -17,6 +17,9 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Rows of a task whose work on each of them is long.
+ROWS_PER_TASK = 50_000
+
 # A side is broadcast only when it is proven to hold at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -80,6 +83,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
+def spread_rows(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Tasks of about ``rows_per_task`` rows, for work that costs much a row.
+
+    A columnar file splits at its row groups only, which may be few and long,
+    whatever number of splits is planned. Rows are counted from its footers.
+    """
+    tasks = -(-df.count() // rows_per_task)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def broadcast_if_bounded(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``dim`` for broadcast only when it has at most ``max_rows`` rows."""
     if dim.limit(max_rows + 1).count() <= max_rows:

@@ -103,7 +103,11 @@ def parse_lines(
 
     # One expression, so that each line is parsed once: a filter on a parsed
     # column would be pushed below it and parse again.
-    parsed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    # Failing to parse costs more than parsing, so lines that by their first and
+    # last character are no object are not tried.
+    inner = F.trim(value, F.lit(" \t\r\n"))
+    likely = (inner.startswith("{") & inner.endswith("}")) | (inner == "null")
+    parsed = F.when(likely, F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))))
     rows = F.filter(F.transform(F.array(parsed), decode), lambda r: r.isNotNull())
     others = [c for c in lines.columns if c != "value"]
     return lines.select(*others, F.inline(rows))

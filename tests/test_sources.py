@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelltrace import schema as S
 from shelltrace.operators import clean
 from shelltrace.operators.joins import join_by_session
+from shelltrace.session import spread_rows
 from shelltrace.sources import events, processed, sessions
 
 FIELDS = S.EVENT.fieldNames()
@@ -214,3 +215,19 @@ def test_spread_join_equals_plain_join(spark, how):
     assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
     shares = salted._jdf.queryExecution().toString()
     assert "_share" in shares
+
+
+def test_rows_of_one_split_are_spread(spark, tmp_path):
+    spark.range(1000, numPartitions=1).write.parquet(str(tmp_path / "one"))
+    rows = spread_rows(spark.read.parquet(str(tmp_path / "one")), 50)
+    assert rows.rdd.getNumPartitions() == 20
+    assert max(map(len, rows.rdd.glom().collect())) <= 60
+
+
+def test_lines_that_are_no_object_are_not_parsed(spark):
+    good = ["{}", ' \t{"stdin":"a"}\r', "null", " null\t", '{"stdin":"}"}']
+    bad = ["{", "}", "{}x", "x{}", "{},{}", "{}]", "[{}]", '"{}"', "nullnull", "{]}", "\v{}", "{}\x00"]
+    lines = spark.createDataFrame([(x,) for x in good + bad], "value string")
+    parsed = events.parse_lines(lines, S.EVENT)
+    assert sorted(r.stdin for r in parsed.collect()) == ["", "", "", "a", "}"]
+    assert "startswith(trim" in parsed._jdf.queryExecution().optimizedPlan().toString().lower()
