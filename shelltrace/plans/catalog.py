@@ -22,7 +22,7 @@ from shelltrace.operators.preprocess import from_cached, preprocess, process_eve
 from shelltrace.plans import ledger
 from shelltrace.plans import views as V
 from shelltrace.plans.report import plan_reports
-from shelltrace.session import scratch_path, spread_rows, write_through
+from shelltrace.session import by_folder, folder_tasks, scratch_path, spread_rows, write_through
 from shelltrace.sources import events as event_logs
 from shelltrace.sources import processed as processed_table
 from shelltrace.sources import reports, sessions, transcripts
@@ -611,9 +611,11 @@ def log_files_scan(spark, sf_dir):
     path = scratch_path(spark, "log-files")
     lines = _with_bad_lines(event_logs.event_lines(V.sessions_log(spark, sf_dir)))
     lines = write_through(lines.select("session_id", "value"), "log-lines")
+    tasks = folder_tasks(lines, "session_id")
     for i in range(3):
         part = lines.where(F.pmod(F.xxhash64("value"), F.lit(3)) == i)
-        part.repartition("session_id").write.mode("append").partitionBy("session_id").text(path)
+        part = by_folder(part, "session_id", tasks)
+        part.write.mode("append").partitionBy("session_id").text(path)
     found = event_logs.read_events(spark, path)
     return found.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -638,7 +640,8 @@ def log_line_counts(spark, sf_dir):
     lines = _with_bad_lines(event_logs.event_lines(V.sessions_log(spark, sf_dir)))
     blank = lines.select("session_id", F.explode(F.array("value", F.lit(""))).alias("value"))
     # Files of a session stay together, one folder each.
-    blank.repartition("session_id").write.partitionBy("session_id").text(path)
+    tasks = folder_tasks(V.sessions_log(spark, sf_dir), "session_id")
+    by_folder(blank, "session_id", tasks).write.partitionBy("session_id").text(path)
     return event_logs.count_lines(spark, path)
 
 
@@ -702,9 +705,10 @@ def session_documents(spark, sf_dir):
     """One indented metadata document per session folder, scanned."""
     path = scratch_path(spark, "documents")
     document = F.to_json(F.struct(*S.META.fieldNames()), {"pretty": "true"})
-    V.session_meta(spark, sf_dir).select(
-        F.col("session_id").alias("folder"), document.alias("value")
-    ).write.partitionBy("folder").text(path)
+    meta = V.session_meta(spark, sf_dir)
+    documents = meta.select(F.col("session_id").alias("folder"), document.alias("value"))
+    tasks = folder_tasks(documents, "folder")
+    by_folder(documents, "folder", tasks).write.partitionBy("folder").text(path)
     return sessions.read_session_documents(spark, f"{path}/*/*.txt")
 
 

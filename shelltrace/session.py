@@ -19,6 +19,8 @@ _SETTINGS = {
 
 # Rows of a task whose work on each of them is long.
 ROWS_PER_TASK = 50_000
+# A task that writes a folder per key makes some so many folders.
+FOLDERS_PER_TASK = 250
 
 # A side is broadcast only when it is proven to hold at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -73,6 +75,26 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder_tasks(keyed: DataFrame, column: str) -> int:
+    """Tasks to write a folder for each value of ``column``."""
+    spark = keyed.sparkSession
+    least = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+    )
+    folders = keyed.agg(F.approx_count_distinct(column)).first()[0]
+    return max(least, -(-folders // FOLDERS_PER_TASK))
+
+
+def by_folder(df: DataFrame, column: str, tasks: int) -> DataFrame:
+    """``df`` with a folder's rows in one task, in exactly ``tasks`` tasks.
+
+    Without a number Spark merges partitions by their bytes, and the time to
+    make files is that of their number: many small folders are one task's.
+    """
+    return df.repartition(tasks, column)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for input that Spark cannot split far enough.
 

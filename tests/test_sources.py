@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shelltrace import schema as S
 from shelltrace.operators import clean
 from shelltrace.operators.joins import join_by_session
-from shelltrace.session import spread_rows
+from shelltrace.plans import catalog
+from shelltrace.session import FOLDERS_PER_TASK, spread_rows
 from shelltrace.sources import events, processed, sessions
 
 FIELDS = S.EVENT.fieldNames()
@@ -217,6 +218,18 @@ def test_spread_join_equals_plain_join(spark, how):
     assert "_share" in shares
 
 
+def test_folders_are_written_in_many_tasks(spark, tmp_path, monkeypatch):
+    n = 3 * FOLDERS_PER_TASK
+    spark.range(n).selectExpr(
+        "id as event_id", "timestamp_seconds(id) as ts", "id as user_id",
+        "'view' as event_type", "1.0 as value", "'' as props",
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: str(tmp_path / name))
+    assert catalog.session_documents(spark, str(tmp_path)).count() == n
+    files = list(tmp_path.glob("documents/*/part-*.txt"))
+    assert len(files) == n and len({f.name.split("-")[1] for f in files}) > 1
+
+
 def test_rows_of_one_split_are_spread(spark, tmp_path):
     spark.range(1000, numPartitions=1).write.parquet(str(tmp_path / "one"))
     rows = spread_rows(spark.read.parquet(str(tmp_path / "one")), 50)
