@@ -8,8 +8,8 @@ folds by their key, and each fold is predicted by a model of the others. Later
 models so learn from probabilities as good as those they get in use.
 
 The models are fitted in one task on a bounded sample of the labelled rows of
-``docs``, each with all its features: rows whose hashed number falls below a
-share of the range, so that neither ``max_rows`` rows nor ``MAX_FEATURES``
+``docs``, each with all its features: rows of ``docs`` whose hashed number falls
+below a share of the range, drawn before the labels are joined, so that neither ``max_rows`` rows nor ``MAX_FEATURES``
 features in all are exceeded in expectation. Scoring covers all rows, and all
 their words.
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelltrace.llm.common import compared_words
-from shelltrace.session import write_through
+from shelltrace.session import broadcast_if_bounded, write_through
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 10_000_000
@@ -210,24 +210,26 @@ def fit_chain(
         labels[id_col].alias("_id"),
         *[c.cast("double").alias(n) for n, c in categories.items()],
     ).dropna()
+    known = broadcast_if_bounded(known)
+    # Rows are counted by their ids, so that texts move for the sample alone.
+    rows = docs.select(docs[id_col].alias("_id")).join(known, "_id").count()
+    share = min(1.0, max_rows / max(rows, 1))
+    # Ids repeat, so the sample is of the documents' rows.
+    level = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))
     labelled = write_through(
         docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+        .where(level < int((1 << 20) * share))
         .join(known, "_id")
         .select(
             features(F.col("_text")).alias("features"),
             F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(folds)).alias("fold"),
             F.array(*names).alias("labels"),
-            # Ids repeat, so the sample is of rows.
-            F.xxhash64(F.monotonically_increasing_id()).alias("_number"),
         ),
         "labelled",
     )
-    rows, total = labelled.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.size("features").cast("long")), F.lit(0))
-    ).first()
-    share = min(1.0, max_rows / max(rows, 1), MAX_FEATURES / max(total, 1))
-    level = F.pmod("_number", F.lit(1 << 20))
-    sample = labelled.where(level < int((1 << 20) * share)).select(
+    total = labelled.agg(F.sum(F.size("features").cast("long"))).first()[0] or 0
+    fewer = min(1.0, MAX_FEATURES / max(total, 1))
+    sample = labelled.where(level < int((1 << 20) * fewer)).select(
         "features", "fold", "labels", F.lit("sample").alias("task")
     )
 

@@ -161,3 +161,22 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert len(set(seen.values())) == len(seen) > 30
     other = {r.doc_id: r.text for r in private.replace_private(df, "another").collect()}
     assert other[0] != texts[0].text
+
+
+def test_texts_are_drawn_before_they_meet_their_labels(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('word', id, ' other', id % 7) as text")
+    labels = spark.range(2000).selectExpr(
+        "id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 3 = 0 as int) as toxic"
+    )
+    written, write = [], toxic.write_through
+
+    def counted(df, name):
+        table = write(df, name)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(toxic, "write_through", counted)
+    categories = {"junk": labels["quality"] == 0, "toxic": labels["toxic"] == 1}
+    toxic.fit_chain(docs, labels, categories, max_rows=200)
+    toxic.fit_chain(docs, labels, categories)
+    assert 100 < written[0] < 300 and written[1] == 2000
