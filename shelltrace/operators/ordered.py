@@ -10,6 +10,7 @@ slice must know of its neighbours is computed from one summary row per slice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ from shelltrace.session import cut_lineage, write_through
 MAX_WINDOW_ROWS = 1_000_000
 ROWS_PER_SLICE = 65_536
 
-_SLICE = "_slice"
+_SLICE, _NUMBER, _HASH = "_slice", "_number", "_slice_hash"
 _OVERALL = {"total": F.sum, "min": F.min, "max": F.max}
 
 
@@ -33,13 +34,16 @@ class Before:
 
     ``how``: ``sum`` of the preceding slices, ``last`` non-null value of the
     preceding slices, ``next`` non-null value of the following slices,
-    ``total`` / ``min`` / ``max`` over all slices of the session, or ``suffix``: the last
-    ``length`` characters of the preceding slices' non-empty texts.
+    ``total`` / ``min`` / ``max`` over all slices of the session, ``own``: the
+    slice's value itself, or ``suffix``: the last ``length`` characters of the
+    preceding slices' non-empty texts. ``given`` makes a slice's value from the
+    one aggregated and from what is carried under the names before.
     """
 
     value: Column
     how: str
     length: int = 0
+    given: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -60,22 +64,32 @@ class LogOrder:
     @property
     def group(self) -> list[str]:
         """Columns whose groups are ordered within one task."""
-        return [*self.keys, _SLICE] if self.sliced else [*self.keys]
+        return [_HASH, _SLICE] if self.sliced else [*self.keys]
 
     def by(self, seq: str) -> LogOrder:
         """The same strategy over another sequence column."""
         return replace(self, seq=seq)
 
     def start(self, df: DataFrame) -> DataFrame:
-        """Assign slices."""
+        """Assign slices.
+
+        A slice is a struct of its keys and number. It is never null, and equal
+        to one with the same nulls, so windows, groups and joins by slice need
+        rows partitioned in one way only. Its hash decides most comparisons of
+        a sort, which are slow on structs.
+        """
         if not self.sliced:
             return df
-        return df.withColumn(
-            _SLICE, F.expr(f"{self.seq} div {self.rows_per_slice}")
-        )
+        number = F.expr(f"{self.seq} div {self.rows_per_slice}").alias(_NUMBER)
+        df = df.withColumn(_SLICE, F.struct(*self.keys, number))
+        return df.withColumn(_HASH, F.xxhash64(_SLICE))
+
+    def gather(self, df: DataFrame) -> DataFrame:
+        """Assign slices and shuffle by them once, for all that is done in slices."""
+        return self.start(df).repartition(*self.group) if self.sliced else df
 
     def finish(self, df: DataFrame) -> DataFrame:
-        return df.drop(_SLICE)
+        return df.drop(_HASH, _SLICE)
 
     def rows(self):
         """Window over the rows of a group, in order."""
@@ -87,35 +101,48 @@ class LogOrder:
     def before(self):
         return self.rows().rowsBetween(W.unboundedPreceding, -1)
 
-    def after(self):
-        """The rows after the current one, nearest last."""
-        return (
-            W.partitionBy(*self.group)
-            .orderBy(F.desc(self.seq))
-            .rowsBetween(W.unboundedPreceding, -1)
-        )
+    def next(self, column: str) -> Column:
+        """The nearest non-null value of the rows after the current one."""
+        return F.expr(f"lead({column}) ignore nulls").over(self.rows())
 
     def carry(self, df: DataFrame, **values: Before) -> DataFrame:
         """Add one column per value, as known from the other slices."""
         if not self.sliced:
             return self._carry_in_window(df, values)
-        df = cut_lineage(df)
-        summary = df.groupBy(*self.group).agg(
-            *[v.value.alias(name) for name, v in values.items()]
+        return self._join_carried(cut_lineage(df), values)
+
+    def carry_over(self, df: DataFrame, **values: Before) -> DataFrame:
+        """As ``carry`` in slices, for rows just gathered: lineage is not cut.
+
+        The summary reads the rows' shuffle if it takes all their columns; the
+        keys are taken from the slice.
+        """
+        keys = {k: F.col(f"{_SLICE}.{k}") for k in self.keys}
+        return self._join_carried(df.drop(*keys), values).withColumns(keys)
+
+    def _join_carried(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
+        of = {name: f"_of{name}" for name in values}
+        carried = df.groupBy(*self.group).agg(
+            *[v.value.alias(of[name]) for name, v in values.items()]
         )
-        slices = W.partitionBy(*self.keys).orderBy(_SLICE)
+        # As columns of their own, all windows share one shuffle.
+        keys = {f"_of_key_{k}": F.col(f"{_SLICE}.{k}") for k in self.keys}
+        number = F.col(f"{_SLICE}.{_NUMBER}")
+        carried = carried.withColumns({**keys, "_of_number": number})
+        slices = W.partitionBy(*keys).orderBy("_of_number")
         earlier = slices.rowsBetween(W.unboundedPreceding, -1)
         # The following rows, as the preceding ones in reverse: a frame that
         # ends at the last row is evaluated anew for every row.
         later = (
-            W.partitionBy(*self.keys)
-            .orderBy(F.desc(_SLICE))
+            W.partitionBy(*keys)
+            .orderBy(F.desc("_of_number"))
             .rowsBetween(W.unboundedPreceding, -1)
         )
-        all_slices = W.partitionBy(*self.keys)
+        all_slices = W.partitionBy(*keys)
 
-        def across(name: str, v: Before) -> Column:
-            c = F.col(name)
+        def across(c: Column, v: Before) -> Column:
+            if v.how == "own":
+                return c
             if v.how == "sum":
                 return F.coalesce(F.sum(c).over(earlier), F.lit(0))
             if v.how == "last":
@@ -127,11 +154,12 @@ class LogOrder:
                 return suffix_before(c, slices, v.length)
             return _OVERALL[v.how](c).over(all_slices)
 
-        carried = summary.select(
-            *self.group,
-            *[across(name, v).alias(name) for name, v in values.items()],
-        )
-        return join_by(df, carried, self.group)
+        for name, v in values.items():
+            if v.given:
+                own = v.given(F.col(of[name]))
+                carried = carried.withColumn(of[name], own)
+            carried = carried.withColumn(name, across(F.col(of[name]), v))
+        return df.join(carried.select(*self.group, *values), self.group)
 
     def _carry_in_window(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
         # In order, although order is of no account, to share the rows' sort.

@@ -65,6 +65,12 @@ def _cut_start(before: Column) -> Column:
     return F.regexp_extract(before, _CUT_START, 0)
 
 
+def _completes(before: Column, first: Column) -> Column:
+    """Whether ``first`` completes the marker start that ``before`` ends in."""
+    lead = _cut_start(before)
+    return (lead != "") & F.concat(lead, first).startswith(_START)
+
+
 def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
     """What crosses each row's borders: ``(keys, seq, lead, lag_length,
     in_marker, closes, closed_by)``.
@@ -85,56 +91,57 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
         F.contains(after_end, F.lit(_START)).alias("opens"),
         *wide,
     )
-    in_order = F.array_join(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(order.seq, "tail"))),
-            lambda r: r["tail"],
-        ),
-        "",
-    )
-    rows = order.carry(
-        order.start(rows),
-        _before=Before(F.right(in_order, F.lit(_PARTIAL)), "suffix", _PARTIAL),
-        _closed_by=Before(F.min(F.when(F.col("closes"), F.col("seq"))), "next"),
-    )
-    before = F.right(
-        F.concat("_before", suffix_before(F.col("tail"), order.rows(), _PARTIAL)),
-        F.lit(_PARTIAL),
+    rows = order.gather(rows).withColumn(
+        "_before", suffix_before(F.col("tail"), order.rows(), _PARTIAL)
     )
-    rows = rows.withColumn("_before", before).withColumns(
-        {
-            "lead": _cut_start(F.col("_before")),
-            "lag_length": F.length(_cut_start(F.concat("_before", "tail"))),
-        }
+    opens = F.col("opens") | (
+        ~F.col("closes") & _completes(F.col("_before"), F.col("head"))
     )
-    # A row without an end, whose first bytes complete the cut marker start.
-    completes = (F.col("lead") != "") & F.concat("lead", "head").startswith(_START)
-    opens = F.col("opens") | (~F.col("closes") & completes)
     # After the last end of a row the stream is outside any marker.
     state = F.when(opens, F.lit(1)).when(F.col("closes"), F.lit(0))
-    rows = rows.withColumn("_state", state)
-    rows = order.carry(
-        rows,
-        _last_state=Before(
-            F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("seq"))),
-            "last",
-        ),
-    )
-    in_marker = F.coalesce(
-        F.last("_state", ignorenulls=True).over(order.before()), "_last_state", F.lit(0)
-    )
-    closed_by = F.coalesce(
-        F.last(F.when(F.col("closes"), F.col("seq")), ignorenulls=True).over(
-            order.after()
-        ),
-        "_closed_by",
-    )
+    closed = F.when(F.col("closes"), F.col("seq"))
+    rows = rows.withColumns({"_state": state, "_closed": closed})
+    state_before = F.last("_state", ignorenulls=True).over(order.before())
+    closed_by = order.next("_closed")
+    before = F.col("_before")
+    if order.sliced:
+        # What a slice knows by itself is completed by what is carried into it.
+        place = F.col("seq")
+        short = F.length("_before") < _PARTIAL
+        rows = order.carry_over(
+            rows.withColumns({"_own_state": state_before, "_own_closed_by": closed_by}),
+            _suffix=Before(
+                F.max_by(F.right(F.concat("_before", "tail"), F.lit(_PARTIAL)), place),
+                "suffix",
+                _PARTIAL,
+            ),
+            # The slice's first bytes complete the marker start cut before it.
+            _completed=Before(
+                F.max_by(F.concat("_before", "head"), F.when(short, place)),
+                "own",
+                given=lambda first: _completes(F.col("_suffix"), first),
+            ),
+            # A state of its own is that of the row completed, or of a later one.
+            _last_state=Before(
+                F.max_by("_state", F.when(F.col("_state").isNotNull(), place)),
+                "last",
+                given=lambda last: F.coalesce(last, F.when(F.col("_completed"), 1)),
+            ),
+            _closed_by=Before(F.min(closed), "next"),
+        )
+        missing = len(_START) - F.length(_cut_start(F.col("_suffix")))
+        completed = F.col("_completed") & (F.length("_before") >= missing)
+        state_before = F.coalesce(
+            "_own_state", F.when(completed, F.lit(1)), "_last_state"
+        )
+        closed_by = F.coalesce("_own_closed_by", "_closed_by")
+        before = F.right(F.concat("_suffix", "_before"), F.lit(_PARTIAL))
     return rows.select(
         *KEYS,
         "seq",
-        "lead",
-        "lag_length",
-        (in_marker == 1).alias("in_marker"),
+        _cut_start(before).alias("lead"),
+        F.length(_cut_start(F.concat(before, "tail"))).alias("lag_length"),
+        (F.coalesce(state_before, F.lit(0)) == 1).alias("in_marker"),
         "closes",
         closed_by.alias("closed_by"),
         *wide,
@@ -145,7 +152,8 @@ def _whole_markers(stream: DataFrame, order: LogOrder) -> DataFrame:
     """The stream with every marker in one row: the row that holds its end."""
     rows = _cuts(stream, order)
     if order.sliced:
-        rows = join_by(stream, rows, (*KEYS, "seq"))
+        # Rows with a payload are never broadcast, however small their files are.
+        rows = join_by(stream.hint("merge"), rows, (*KEYS, "seq"))
     shifted = F.concat("lead", "bytes")
     rows = rows.withColumn(
         "bytes",
@@ -168,10 +176,11 @@ def _whole_markers(stream: DataFrame, order: LogOrder) -> DataFrame:
             F.right("bytes", open_length).alias("piece"),
         ),
     )
-    # An open marker that never ends is dropped with its bytes.
+    # An open marker that never ends is dropped with its bytes. A row that others
+    # move bytes to keeps its marker end.
     return (
         rows.select(*KEYS, "seq", "ts", F.inline(pieces))
-        .where("to is not null and (piece != '' or to = seq)")
+        .where("to is not null and piece != ''")
         .groupBy(*KEYS, F.col("to").alias("row"))
         .agg(
             F.expr("listagg(piece, '') within group (order by seq)").alias("bytes"),
@@ -205,39 +214,50 @@ def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
         *KEYS,
         "seq",
         F.size("bodies").cast("long").alias("n"),
-        F.try_element_at("bodies", F.lit(-1)).alias("last_body"),
+        (F.try_element_at("bodies", F.lit(-1)) == "S").alias("starts"),
         F.length(F.element_at("texts", -1)).cast("long").alias("open_length"),
         *wide,
     )
-    rows = order.carry(
-        order.start(rows),
-        _n=Before(F.sum("n"), "sum"),
-        _length=Before(F.sum("open_length"), "sum"),
-        _last_body=Before(
-            F.max_by("last_body", F.when(F.col("n") > 0, F.col("seq"))), "last"
-        ),
-    )
     earlier = order.before()
 
-    def total(column: str, base: str) -> Column:
-        return F.coalesce(F.sum(column).over(earlier), F.lit(0)) + F.col(base)
+    def total(column: str) -> Column:
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
-    rows = rows.withColumns(
-        {"_n": total("n", "_n"), "_length": total("open_length", "_length")}
+    rows = order.gather(rows).withColumns(
+        {"_own_n": total("n"), "_own_length": total("open_length")}
     )
     # Stream length at which the capture open after a row began.
-    began = F.when(F.col("n") > 0, F.col("_length"))
-    rows = order.carry(rows, _began=Before(F.max(began), "last"))
-    began_before = F.coalesce(F.max(began).over(earlier), "_began", F.lit(0))
-    last_body = F.coalesce(
-        F.last("last_body", ignorenulls=True).over(earlier), "_last_body", F.lit("")
+    began = F.when(F.col("n") > 0, F.col("_own_length"))
+    rows = rows.withColumns(
+        {
+            "_own_began": F.max(began).over(earlier),
+            "_own_starts": F.last("starts", ignorenulls=True).over(earlier),
+        }
     )
+    n, length = F.col("_own_n"), F.col("_own_length")
+    began_before, capturing = F.col("_own_began"), F.col("_own_starts")
+    if order.sliced:
+        # Lengths count from the slice's start until its own is known.
+        rows = order.carry_over(
+            rows,
+            _n=Before(F.sum("n"), "sum"),
+            _length=Before(F.sum("open_length"), "sum"),
+            _starts=Before(
+                F.max_by("starts", F.when(F.col("n") > 0, F.col("seq"))), "last"
+            ),
+            _began=Before(
+                F.max(began), "last", given=lambda at: at + F.col("_length")
+            ),
+        )
+        n, length = n + F.col("_n"), length + F.col("_length")
+        began_before = F.coalesce(began_before + F.col("_length"), "_began")
+        capturing = F.coalesce(capturing, "_starts")
     return rows.select(
         *KEYS,
         "seq",
-        F.col("_n").alias("n_before"),
-        (last_body == "S").alias("capturing"),
-        (F.col("_length") - began_before).alias("captured"),
+        n.alias("n_before"),
+        F.coalesce(capturing, F.lit(False)).alias("capturing"),
+        (length - F.coalesce(began_before, F.lit(0))).alias("captured"),
         *wide,
     )
 
@@ -277,7 +297,7 @@ def read_transcripts(
         segments = write_through(segments, "transcript")
     rows = _captures(segments, order)
     if order.sliced:
-        rows = join_by(segments, rows, (*KEYS, "seq"))
+        rows = join_by(segments.hint("merge"), rows, (*KEYS, "seq"))
     body = F.get("bodies", F.col("i"))
     opened = F.when(F.col("i") == 0, F.col("capturing")).otherwise(
         F.get("bodies", F.col("i") - 1) == "S"
