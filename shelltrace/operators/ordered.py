@@ -56,6 +56,7 @@ class LogOrder:
     keys: tuple[str, ...] = ("session_id",)
     seq: str = "seq"
     rows_per_slice: int | None = None
+    gathered: bool = False
 
     @property
     def sliced(self) -> bool:
@@ -64,29 +65,37 @@ class LogOrder:
     @property
     def group(self) -> list[str]:
         """Columns whose groups are ordered within one task."""
-        return [_HASH, _SLICE] if self.sliced else [*self.keys]
+        if self.gathered:
+            return [_HASH, _SLICE]
+        return [*self.keys, _SLICE] if self.sliced else [*self.keys]
 
     def by(self, seq: str) -> LogOrder:
         """The same strategy over another sequence column."""
         return replace(self, seq=seq)
 
     def start(self, df: DataFrame) -> DataFrame:
-        """Assign slices.
+        """Assign slices."""
+        if not self.sliced:
+            return df
+        return df.withColumn(
+            _SLICE, F.expr(f"{self.seq} div {self.rows_per_slice}")
+        )
 
-        A slice is a struct of its keys and number. It is never null, and equal
-        to one with the same nulls, so windows, groups and joins by slice need
-        rows partitioned in one way only. Its hash decides most comparisons of
-        a sort, which are slow on structs.
+    def gather(self, df: DataFrame) -> tuple[DataFrame, LogOrder]:
+        """Assign slices and shuffle by them once, for all that is done in slices.
+
+        A slice is a struct of its keys and number here. It is never null, and
+        equal to one with the same nulls, so windows, groups and joins by slice
+        need rows partitioned in one way only. Its hash decides most comparisons
+        of a sort, which are slow on structs. Follow with ``carry_over``.
         """
         if not self.sliced:
-            return df
+            return df, self
+        order = replace(self, gathered=True)
         number = F.expr(f"{self.seq} div {self.rows_per_slice}").alias(_NUMBER)
         df = df.withColumn(_SLICE, F.struct(*self.keys, number))
-        return df.withColumn(_HASH, F.xxhash64(_SLICE))
-
-    def gather(self, df: DataFrame) -> DataFrame:
-        """Assign slices and shuffle by them once, for all that is done in slices."""
-        return self.start(df).repartition(*self.group) if self.sliced else df
+        df = df.withColumn(_HASH, F.xxhash64(_SLICE))
+        return df.repartition(*order.group), order
 
     def finish(self, df: DataFrame) -> DataFrame:
         return df.drop(_HASH, _SLICE)
@@ -101,41 +110,52 @@ class LogOrder:
     def before(self):
         return self.rows().rowsBetween(W.unboundedPreceding, -1)
 
-    def next(self, column: str) -> Column:
-        """The nearest non-null value of the rows after the current one."""
-        return F.expr(f"lead({column}) ignore nulls").over(self.rows())
+    def after(self):
+        """The rows after the current one, nearest last."""
+        return (
+            W.partitionBy(*self.group)
+            .orderBy(F.desc(self.seq))
+            .rowsBetween(W.unboundedPreceding, -1)
+        )
 
     def carry(self, df: DataFrame, **values: Before) -> DataFrame:
         """Add one column per value, as known from the other slices."""
         if not self.sliced:
             return self._carry_in_window(df, values)
-        return self._join_carried(cut_lineage(df), values)
+        df = cut_lineage(df)
+        carried = self._across(self._summary(df, values), values, self.keys, _SLICE)
+        return join_by(df, carried.select(*self.group, *values), self.group)
 
     def carry_over(self, df: DataFrame, **values: Before) -> DataFrame:
-        """As ``carry`` in slices, for rows just gathered: lineage is not cut.
+        """As ``carry``, for rows just gathered: lineage is not cut.
 
         The summary reads the rows' shuffle if it takes all their columns; the
         keys are taken from the slice.
         """
         keys = {k: F.col(f"{_SLICE}.{k}") for k in self.keys}
-        return self._join_carried(df.drop(*keys), values).withColumns(keys)
-
-    def _join_carried(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
-        of = {name: f"_of{name}" for name in values}
-        carried = df.groupBy(*self.group).agg(
-            *[v.value.alias(of[name]) for name, v in values.items()]
-        )
+        df = df.drop(*keys)
         # As columns of their own, all windows share one shuffle.
-        keys = {f"_of_key_{k}": F.col(f"{_SLICE}.{k}") for k in self.keys}
-        number = F.col(f"{_SLICE}.{_NUMBER}")
-        carried = carried.withColumns({**keys, "_of_number": number})
-        slices = W.partitionBy(*keys).orderBy("_of_number")
+        place = {**keys, _NUMBER: F.col(f"{_SLICE}.{_NUMBER}")}
+        summary = self._summary(df, values).withColumns(place)
+        carried = self._across(summary, values, self.keys, _NUMBER)
+        return df.join(carried.select(*self.group, *values), self.group).withColumns(keys)
+
+    def _summary(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
+        return df.groupBy(*self.group).agg(
+            *[v.value.alias(f"_of{name}") for name, v in values.items()]
+        )
+
+    def _across(
+        self, carried: DataFrame, values: dict[str, Before], keys, number: str
+    ) -> DataFrame:
+        """The summary with what is known from the other slices."""
+        slices = W.partitionBy(*keys).orderBy(number)
         earlier = slices.rowsBetween(W.unboundedPreceding, -1)
         # The following rows, as the preceding ones in reverse: a frame that
         # ends at the last row is evaluated anew for every row.
         later = (
             W.partitionBy(*keys)
-            .orderBy(F.desc("_of_number"))
+            .orderBy(F.desc(number))
             .rowsBetween(W.unboundedPreceding, -1)
         )
         all_slices = W.partitionBy(*keys)
@@ -156,10 +176,9 @@ class LogOrder:
 
         for name, v in values.items():
             if v.given:
-                own = v.given(F.col(of[name]))
-                carried = carried.withColumn(of[name], own)
-            carried = carried.withColumn(name, across(F.col(of[name]), v))
-        return df.join(carried.select(*self.group, *values), self.group)
+                carried = carried.withColumn(f"_of{name}", v.given(F.col(f"_of{name}")))
+            carried = carried.withColumn(name, across(F.col(f"_of{name}"), v))
+        return carried
 
     def _carry_in_window(self, df: DataFrame, values: dict[str, Before]) -> DataFrame:
         # In order, although order is of no account, to share the rows' sort.

@@ -91,7 +91,8 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
         F.contains(after_end, F.lit(_START)).alias("opens"),
         *wide,
     )
-    rows = order.gather(rows).withColumn(
+    rows, order = order.gather(rows)
+    rows = rows.withColumn(
         "_before", suffix_before(F.col("tail"), order.rows(), _PARTIAL)
     )
     opens = F.col("opens") | (
@@ -100,9 +101,9 @@ def _cuts(stream: DataFrame, order: LogOrder) -> DataFrame:
     # After the last end of a row the stream is outside any marker.
     state = F.when(opens, F.lit(1)).when(F.col("closes"), F.lit(0))
     closed = F.when(F.col("closes"), F.col("seq"))
-    rows = rows.withColumns({"_state": state, "_closed": closed})
+    rows = rows.withColumn("_state", state)
     state_before = F.last("_state", ignorenulls=True).over(order.before())
-    closed_by = order.next("_closed")
+    closed_by = F.last(closed, ignorenulls=True).over(order.after())
     before = F.col("_before")
     if order.sliced:
         # What a slice knows by itself is completed by what is carried into it.
@@ -218,12 +219,13 @@ def _captures(segments: DataFrame, order: LogOrder) -> DataFrame:
         F.length(F.element_at("texts", -1)).cast("long").alias("open_length"),
         *wide,
     )
+    rows, order = order.gather(rows)
     earlier = order.before()
 
     def total(column: str) -> Column:
         return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
-    rows = order.gather(rows).withColumns(
+    rows = rows.withColumns(
         {"_own_n": total("n"), "_own_length": total("open_length")}
     )
     # Stream length at which the capture open after a row began.
