@@ -605,18 +605,23 @@ def strict_json_scan(spark, sf_dir):
     )
 
 
+def _lines_by_session(spark, sf_dir) -> DataFrame:
+    """The log's lines, those of a session in one task."""
+    log = V.sessions_log(spark, sf_dir)
+    tasks = folder_tasks(log, "session_id")
+    lines = event_logs.event_lines(log).select("session_id", "seq", "value")
+    return by_folder(lines, "session_id", tasks)
+
+
 def log_files_scan(spark, sf_dir):
     """Real log files with bad lines, several for each session: every good line
     has a place of its own in its session."""
     path = scratch_path(spark, "log-files")
-    lines = _with_bad_lines(event_logs.event_lines(V.sessions_log(spark, sf_dir)))
-    lines = write_through(lines.select("session_id", "value"), "log-lines")
-    tasks = folder_tasks(lines, "session_id")
-    for i in range(3):
-        part = lines.where(F.pmod(F.xxhash64("value"), F.lit(3)) == i)
-        part = by_folder(part, "session_id", tasks)
-        part.write.mode("append").partitionBy("session_id").text(path)
-    found = event_logs.read_events(spark, path)
+    lines = _with_bad_lines(_lines_by_session(spark, sf_dir))
+    event_logs.write_folders(
+        lines, path, "session_id", F.pmod(F.xxhash64("value"), F.lit(3))
+    )
+    found = event_logs.read_events(spark, path, nested=True)
     return found.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("seq").alias("n_places"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ ROWS_PER_TASK = 50_000
 # A task that writes a folder per key makes some so many folders.
 FOLDERS_PER_TASK = 250
 
+# Tasks for each core that list folders.
+LISTING_TASKS_PER_CORE = 4
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 # A side is broadcast only when it is proven to hold at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -95,6 +101,24 @@ def by_folder(df: DataFrame, column: str, tasks: int) -> DataFrame:
     return df.repartition(tasks, column)
 
 
+@contextmanager
+def listing_by_cores(spark: SparkSession) -> Iterator[None]:
+    """List the folders of files opened within in a few tasks for each core.
+
+    Spark takes a task for each folder, up to 10,000, and a task costs more to
+    start than a folder to list. A number that is set stays.
+    """
+    if spark.conf.get(_LISTING, None) is not None:
+        yield
+        return
+    tasks = LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    spark.conf.set(_LISTING, str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_LISTING)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for input that Spark cannot split far enough.
 

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +19,7 @@ from pyspark.sql import types as T
 from shelltrace import schema as S
 from shelltrace.functions import text as X
 from shelltrace.operators.joins import join_by
-from shelltrace.session import broadcast_if_bounded, prepare
+from shelltrace.session import broadcast_if_bounded, listing_by_cores, prepare
 
 _ROW_IN_PARTITION = (1 << 33) - 1
 # Room for files of 512 GiB.
@@ -18,18 +27,29 @@ _POSITIONS_PER_FILE = 1 << 40
 # Names of so many files are broadcast.
 MAX_FILES = 1_000_000
 _STORED = T.StructType([T.StructField("seq", T.LongType())])
+# How Spark names the folder of a key.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+_NO_KEY = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _read_lines(spark: SparkSession, paths, columns: list[Column]) -> DataFrame | None:
-    """Non-empty log lines with ``columns``, or None when nothing is there."""
+def _read_lines(
+    spark: SparkSession, paths, columns: list[Column], nested: bool = False
+) -> DataFrame | None:
+    """Non-empty log lines with ``columns``, or None when nothing is there.
+
+    Where folders are named after a key, Spark makes that a column, in a time
+    that grows with the square of their number. ``nested`` reads the same files
+    without, and files in folders of any other name too.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
-        lines = spark.read.text(paths)
+        with listing_by_cores(spark):
+            lines = spark.read.option("recursiveFileLookup", nested).text(paths)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return lines.select("value", *columns).where(F.length("value") > 0)
+    return lines.select("value", *columns).where(F.octet_length("value") > 0)
 
 
 def log_position() -> Column:
@@ -135,17 +155,17 @@ def check_line_length(
     return lines.where(F.when(short, F.lit(True)).otherwise(F.raise_error(message)))
 
 
-def _read_log(spark, paths, schema, max_line_bytes, on_long_line) -> DataFrame:
+def _read_log(spark, paths, schema, max_line_bytes, on_long_line, nested=False) -> DataFrame:
     prepare(spark)
     columns = [
         log_position().alias("_position"),
         F.col("_metadata.file_path").alias("log_file"),
     ]
-    lines = _read_lines(spark, paths, columns)
+    lines = _read_lines(spark, paths, columns, nested)
     if lines is None:
         empty = S.with_engine_columns(schema).add("log_file", T.StringType())
         return spark.createDataFrame([], empty)
-    lines = _after_earlier_files(lines, spark, paths)
+    lines = _after_earlier_files(lines, spark, paths, nested)
     lines = check_line_length(lines, max_line_bytes, on_long_line)
     return parse_lines(lines, schema, _STORED).select(
         *schema.fieldNames(),
@@ -160,14 +180,16 @@ def read_events(
     paths: str | list[str],
     max_line_bytes: int | None = None,
     on_long_line: str = "error",
+    nested: bool = False,
 ) -> DataFrame:
     """Events of JSON-lines logs, with ``seq`` and ``ts``.
 
     ``seq`` is the position stored with the line or else that of the line among
     all lines, files being in the order of their names. Malformed lines are
-    skipped; a missing path gives no rows.
+    skipped; a missing path gives no rows. ``nested`` reads all folders below
+    ``paths`` and is the way to read many of them.
     """
-    return _read_log(spark, paths, S.EVENT, max_line_bytes, on_long_line)
+    return _read_log(spark, paths, S.EVENT, max_line_bytes, on_long_line, nested)
 
 
 def read_processed_log(
@@ -180,13 +202,15 @@ def read_processed_log(
     return _read_log(spark, paths, S.CACHED, max_line_bytes, on_long_line)
 
 
-def _after_earlier_files(lines: DataFrame, spark: SparkSession, paths) -> DataFrame:
+def _after_earlier_files(lines: DataFrame, spark: SparkSession, paths, nested) -> DataFrame:
     """``_position`` behind those of the files whose names sort first.
 
     Only names are read for it, as many as the driver has listed anyway.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths).select("_metadata.file_path")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", nested)
+    with listing_by_cores(spark):
+        files = reader.load(paths).select("_metadata.file_path")
     names = sorted(r[0] for r in files.distinct().collect())
     if len(names) < 2:
         return lines
@@ -216,6 +240,87 @@ def event_lines(events: DataFrame, schema: T.StructType = S.EVENT) -> DataFrame:
     )
 
 
+def folder_name(column: str, key: str) -> str:
+    """The folder that Spark gives the rows of a key; none is the empty one."""
+    escaped = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", key)
+    return f"{column}={escaped or _NO_KEY}"
+
+
+def _full_uri(spark: SparkSession, path: str) -> str:
+    """``path`` on the file system that Spark finds it on."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(there).toUri().toString()
+
+
+def _folder_writer(path: str, column: str) -> Callable:
+    job = uuid.uuid4().hex
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        task = TaskContext.get().partitionId()
+        attempt = uuid.uuid4().hex
+        current = out = None
+        files: dict[tuple[str, int], tuple[str, str]] = {}
+
+        def close():
+            if out is not None:
+                out.close()
+                folder, name = files[current]
+                store.move(f"{folder}/.{attempt}-{name}", f"{folder}/{name}")
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys, numbers, values = batch.columns
+            # Where a row is of another file than the one before it.
+            other = pc.or_(
+                pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(numbers[1:], numbers[:-1])
+            )
+            starts = [0, *(np.flatnonzero(other) + 1).tolist()]
+            bounds = pa.array([*starts, len(values)], pa.int32())
+            texts = pc.binary_join(pa.ListArray.from_arrays(bounds, values), "\n")
+            for start, text in zip(starts, texts):
+                key = (keys[start].as_py(), numbers[start].as_py())
+                if key != current:
+                    close()
+                    folder = f"{root}/{folder_name(column, key[0])}"
+                    current, files[key] = key, (folder, f"part-{task:05d}-{key[1]}-{job}.txt")
+                    store.create_dir(folder)
+                    hidden = f"{folder}/.{attempt}-{files[key][1]}"
+                    out = store.open_output_stream(hidden, compression=None)
+                out.write(text.as_buffer())
+                out.write(b"\n")
+        close()
+        names = pa.array([name for _, name in files.values()], pa.string())
+        yield pa.RecordBatch.from_arrays([names], ["file"])
+
+    return write
+
+
+def write_folders(
+    lines: DataFrame, path: str, column: str, file: Column | None = None
+) -> int:
+    """Write ``value``, one or more lines, as text files in a folder for each
+    ``column`` below ``path``; returns their number.
+
+    Each task that has rows of a folder writes a file there, or one for each
+    number in ``file``. The layout is that of Spark's own writer, which on a
+    local disk starts two processes for every file to set its mode. A task
+    writes under names Spark does not read and then gives each file a name that
+    its other attempts give it too: a repeated task replaces files and leaves
+    none twice.
+    """
+    columns = lines.select(
+        F.coalesce(F.col(column).cast("string"), F.lit("")).alias("key"),
+        (F.lit(0) if file is None else file).cast("long").alias("number"),
+        F.coalesce("value", F.lit("")).alias("value"),
+    ).sortWithinPartitions("key", "number")
+    write = _folder_writer(_full_uri(lines.sparkSession, path), column)
+    written = columns.mapInArrow(write, "file string")
+    return written.agg(F.count("file")).first()[0]
+
+
 def count_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-empty lines per log directory, malformed ones included:
     ``(session_id, n_lines)``, the session being the file's folder."""

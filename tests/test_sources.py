@@ -1,7 +1,10 @@
 import json
 import os
+import re
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from shelltrace import schema as S
 from shelltrace.operators import clean
 from shelltrace.operators.joins import join_by_session
 from shelltrace.plans import catalog
-from shelltrace.session import FOLDERS_PER_TASK, spread_rows
+from shelltrace.session import FOLDERS_PER_TASK, LISTING_TASKS_PER_CORE, spread_rows
 from shelltrace.sources import events, processed, sessions
 
 FIELDS = S.EVENT.fieldNames()
@@ -244,3 +247,96 @@ def test_lines_that_are_no_object_are_not_parsed(spark):
     parsed = events.parse_lines(lines, S.EVENT)
     assert sorted(r.stdin for r in parsed.collect()) == ["", "", "", "a", "}"]
     assert "startswith(trim" in parsed._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+KEYS = ["a", "b/c", "d=e%", "f g+h", "'#?*:{[]}^\"\\", None, ""]
+
+
+def written_texts(path):
+    """The lines of each folder's files, hidden ones included."""
+    return {
+        folder.name: sorted(sorted(f.read_text().split("\n")) for f in folder.iterdir())
+        for folder in path.iterdir()
+        if folder.is_dir()
+    }
+
+
+def test_folders_are_those_of_sparks_writer(spark, tmp_path):
+    rows = [(k, None if i == 3 else f"{k}{i}" * i) for k in KEYS for i in range(9)]
+    lines = spark.createDataFrame(rows, "session_id string, value string")
+    lines = lines.repartition(1)
+    lines.write.option("lineSep", "\n").partitionBy("session_id").text(str(tmp_path / "spark"))
+    ours = tmp_path / "our files %20"
+    assert events.write_folders(lines, str(ours), "session_id") == len(KEYS) - 1
+    spark_texts = {
+        f.parent.name: [sorted(f.read_text().split("\n"))]
+        for f in (tmp_path / "spark").glob("*/part-*.txt")
+    }
+    assert written_texts(ours) == spark_texts
+    split = lines.withColumn("n", F.length("value") % 3).where("n is not null")
+    events.write_folders(split, str(tmp_path / "split"), "session_id", F.col("n"))
+    counts = {k: len(v) for k, v in written_texts(tmp_path / "split").items()}
+    assert counts["session_id=a"] == 3 and set(counts) == set(spark_texts)
+
+
+def arrow_lines(rows):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))],
+        ["key", "number", "value"],
+    )
+
+
+def test_a_repeated_task_leaves_each_file_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(events.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 7))
+    write = events._folder_writer(str(tmp_path / "log"), "session_id")
+    first, second = arrow_lines([("a", 0, "1"), ("b", 0, "2")]), arrow_lines([("b", 0, "3")])
+
+    def broken():
+        yield first
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        list(write(broken()))
+    for _ in range(2):
+        assert sum(b.num_rows for b in write(iter([first, second]))) == 2
+    files = {f.parent.name: f.read_text() for f in tmp_path.glob("log/*/part-*")}
+    assert files == {"session_id=a": "1\n", "session_id=b": "2\n3\n"}
+    assert len(list(tmp_path.glob("log/*/part-*"))) == 2
+
+
+def users_with_events(spark, path, n):
+    """A table of one event for each of ``n`` users."""
+    spark.range(n).selectExpr(
+        "id as event_id", "timestamp_seconds(id) as ts", "id as user_id",
+        "'view' as event_type", "1.0 as value", "'' as props",
+    ).coalesce(1).write.parquet(str(path / "events.parquet"))
+
+
+@pytest.mark.parametrize("name, files", [("log_files_scan", 3)])
+def test_session_files_are_listed_and_read_without_keys(spark, tmp_path, monkeypatch, name, files):
+    n = 100
+    users_with_events(spark, tmp_path, n)
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: str(tmp_path / name))
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        found = getattr(catalog, name)(spark, str(tmp_path))
+        tracker = context.statusTracker()
+        jobs = map(tracker.getJobInfo, tracker.getJobIdsForGroup(name))
+        tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+        # No task for each folder.
+        assert max(tasks) <= LISTING_TASKS_PER_CORE * context.defaultParallelism < n
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    # The folders' keys are no column, which would take the square of their number.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"Relation \[value#\d+(,_metadata#\d+)?\] text", plan)
+    rows = {r[0]: r[1] for r in found.collect()}
+    if files == 1:
+        assert rows == {f"u{i}": 9 for i in range(n)}
+    else:
+        assert rows == {"": n} | {f"u{i}": 1 for i in range(n)}
+    # Spark's writer leaves a checksum, and starts two processes, for each file.
+    written = [f.name for f in tmp_path.glob("l*/session_id=u*/*")]
+    assert n <= len(written) <= files * n and not any(f.startswith(".") for f in written)
