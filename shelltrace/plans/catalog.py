@@ -579,10 +579,10 @@ def report_documents(spark, sf_dir):
 # Logs and tables
 
 
-def _with_bad_lines(lines: DataFrame) -> DataFrame:
-    """Every good line plus lines a strict reader has to skip."""
+def _bad_lines():
+    """The good line in ``value`` plus lines a strict reader has to skip."""
     value = F.col("value")
-    variants = F.array(
+    return F.array(
         value,
         F.lit("{invalid json}"),
         F.concat(value, F.lit(" trailing")),
@@ -593,7 +593,10 @@ def _with_bad_lines(lines: DataFrame) -> DataFrame:
         F.lit('"text"'),
         F.concat(F.lit('{"stdin":"only","exit_code":null,"extra":['), F.col("seq"), F.lit("]}")),
     )
-    return lines.select("session_id", F.explode(variants).alias("value"))
+
+
+def _with_bad_lines(lines: DataFrame) -> DataFrame:
+    return lines.select("session_id", F.explode(_bad_lines()).alias("value"))
 
 
 def strict_json_scan(spark, sf_dir):
@@ -642,12 +645,13 @@ def event_log_round_trip(spark, sf_dir):
 def log_line_counts(spark, sf_dir):
     """Non-empty lines of each session's log folder."""
     path = scratch_path(spark, "lines")
-    lines = _with_bad_lines(event_logs.event_lines(V.sessions_log(spark, sf_dir)))
-    blank = lines.select("session_id", F.explode(F.array("value", F.lit(""))).alias("value"))
-    # Files of a session stay together, one folder each.
-    tasks = folder_tasks(V.sessions_log(spark, sf_dir), "session_id")
-    by_folder(blank, "session_id", tasks).write.partitionBy("session_id").text(path)
-    return event_logs.count_lines(spark, path)
+    # An event's lines, each with an empty one after it, are one value.
+    line = F.transform(_bad_lines(), lambda x: F.concat(F.coalesce(x, F.lit("")), F.lit("\n")))
+    blank = _lines_by_session(spark, sf_dir).select(
+        "session_id", F.array_join(line, "\n").alias("value")
+    )
+    event_logs.write_folders(blank, path, "session_id")
+    return event_logs.count_lines(spark, path, nested=True)
 
 
 def _without_id(log: DataFrame) -> DataFrame:

@@ -321,14 +321,20 @@ def write_folders(
     return written.agg(F.count("file")).first()[0]
 
 
-def count_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def count_lines(
+    spark: SparkSession, paths: str | list[str], nested: bool = False
+) -> DataFrame:
     """Non-empty lines per log directory, malformed ones included:
-    ``(session_id, n_lines)``, the session being the file's folder."""
-    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    ``(session_id, n_lines)``, the session being the file's folder. ``nested``
+    is that of ``read_events``."""
+    lines = _read_lines(spark, paths, [F.col("_metadata.file_path").alias("file")], nested)
+    if lines is None:
+        return spark.createDataFrame([], "session_id string, n_lines long")
+    # A file's lines share its name, which is taken apart once.
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+    folder = F.element_at(F.split("file", "/"), -2)
     # Spark gives paths percent-encoded, with plus signs as they are.
     folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
     folder = F.regexp_replace(folder, "^session_id=", "")
-    lines = _read_lines(spark, paths, [folder.alias("session_id")])
-    if lines is None:
-        return spark.createDataFrame([], "session_id string, n_lines long")
-    return lines.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    files = files.select(folder.alias("session_id"), "n_lines")
+    return files.groupBy("session_id").agg(F.sum("n_lines").alias("n_lines"))

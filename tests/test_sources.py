@@ -312,7 +312,7 @@ def users_with_events(spark, path, n):
     ).coalesce(1).write.parquet(str(path / "events.parquet"))
 
 
-@pytest.mark.parametrize("name, files", [("log_files_scan", 3)])
+@pytest.mark.parametrize("name, files", [("log_files_scan", 3), ("log_line_counts", 1)])
 def test_session_files_are_listed_and_read_without_keys(spark, tmp_path, monkeypatch, name, files):
     n = 100
     users_with_events(spark, tmp_path, n)
